@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from .bind import let
 from .text import strip, words
@@ -13,7 +14,7 @@ from .text import strip, words
 METHODS = ("ratio", "levenshtein", "jaccard")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio; the one measure that Spark has no function for."""
     return pd.Series(
@@ -52,4 +53,8 @@ def similarity(a: Column, b: Column, method: str = "ratio", stripped: bool = Tru
         score = _levenshtein(a, b)
     else:
         score = _jaccard(a, b)
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0)))
+    return (
+        F.when((a == "") | (b == ""), F.lit(0.0))
+        .when(a == b, F.lit(1.0))
+        .otherwise(F.coalesce(score, F.lit(0.0)))
+    )

@@ -161,19 +161,19 @@ def masking(source: str, name: str = "masked") -> str:
         )
         return f"list_slice({items}, 1, {last})"
 
-    return f"""{name}_a as (select *, coalesce({full('text')}, '') as t, coalesce({full('span')}, '') as span_text from {source}),
-{name}_b as (select *, span_text <> '' and contains(t, span_text) as removed from {name}_a),
-{name}_c as (select *, case when removed
+    return f"""{name}_a as materialized (select *, coalesce({full('text')}, '') as t, coalesce({full('span')}, '') as span_text from {source}),
+{name}_b as materialized (select *, span_text <> '' and contains(t, span_text) as removed from {name}_a),
+{name}_c as materialized (select *, case when removed
     then {trim("left(t, len(t) - strpos(reverse(t), reverse(span_text)) - len(span_text) + 1)")} else t end as u from {name}_b),
-{name}_d as (select *, regexp_extract_all(u, {head}, 1) as hs, string_split_regex(u, {head}) as ps from {name}_c),
-{name}_e as (select *, case when len(hs) > 0 then len(u) - len(list_last(ps)) - len(list_last(hs)) end as cut from {name}_d),
-{name}_f as (select *, coalesce(cut >= 0.4 * len(u) or len(u) - cut <= {rules.MASK_MAX_TAIL}, false) as was_cut from {name}_e),
-{name}_g as (select *, string_split_regex(case when was_cut then {trim('left(u, cut)')} else u end, '\\n\\s*\\n') as para from {name}_f),
-{name}_h as (select *, {kept('para')} as para_kept from {name}_g),
-{name}_i as (select *, string_split(regexp_replace({trim("array_to_string(para_kept, chr(10) || chr(10))")},
+{name}_d as materialized (select *, regexp_extract_all(u, {head}, 1) as hs, string_split_regex(u, {head}) as ps from {name}_c),
+{name}_e as materialized (select *, case when len(hs) > 0 then len(u) - len(list_last(ps)) - len(list_last(hs)) end as cut from {name}_d),
+{name}_f as materialized (select *, coalesce(cut >= 0.4 * len(u) or len(u) - cut <= {rules.MASK_MAX_TAIL}, false) as was_cut from {name}_e),
+{name}_g as materialized (select *, string_split_regex(case when was_cut then {trim('left(u, cut)')} else u end, '\\n\\s*\\n') as para from {name}_f),
+{name}_h as materialized (select *, {kept('para')} as para_kept from {name}_g),
+{name}_i as materialized (select *, string_split(regexp_replace({trim("array_to_string(para_kept, chr(10) || chr(10))")},
     '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as sent from {name}_h),
-{name}_j as (select *, {kept('sent')} as sent_kept from {name}_i),
-{name} as (select *, {trim("array_to_string(sent_kept, ' ')")} as out,
+{name}_j as materialized (select *, {kept('sent')} as sent_kept from {name}_i),
+{name} as materialized (select *, {trim("array_to_string(sent_kept, ' ')")} as out,
     was_cut or len(para_kept) < len(para) or len(sent_kept) < len(sent) as changed from {name}_j)"""
 
 

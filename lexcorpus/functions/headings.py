@@ -105,13 +105,23 @@ def extract_section(
 
 def heading_hits(c: Column, patterns: Mapping[str, str]) -> Column:
     """Names of the patterns found in the text, in the order given."""
-    found = F.array(*[F.when(c.rlike(p), F.lit(name)) for name, p in patterns.items()])
-    return F.filter(found, lambda n: n.isNotNull())
+    return let(
+        c,
+        lambda t: F.filter(
+            F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in patterns.items()]),
+            lambda n: n.isNotNull(),
+        ),
+    )
 
 
 def heading_flags(c: Column, patterns: Mapping[str, str]) -> Column:
     """One boolean per pattern, as a struct."""
-    return F.struct(*[F.coalesce(c.rlike(p), F.lit(False)).alias(n) for n, p in patterns.items()])
+    return let(
+        c,
+        lambda t: F.struct(
+            *[F.coalesce(t.rlike(p), F.lit(False)).alias(n) for n, p in patterns.items()]
+        ),
+    )
 
 
 def classify_rules(

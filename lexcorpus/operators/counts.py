@@ -17,8 +17,13 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def exploded_counts(df: DataFrame, array: str, out: str) -> DataFrame:
-    """``(out, n)`` over the elements of an array column."""
-    return value_counts(df.select(F.explode(array).alias(out)), out)
+    """``(out, n)`` over the elements of an array column.
+
+    The outer form keeps Catalyst from adding a size filter below, which would
+    compute an array that is still an expression once more.
+    """
+    listed = df.select(F.explode_outer(array).alias(out))
+    return value_counts(listed.where(F.col(out).isNotNull()), out)
 
 
 def top_k(counts: DataFrame, k: int, key: str, by: str = "n") -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.bind import let
+from ..sources.readers import spread_small
+
 # (text in the table, text in the corpus), applied in this order.
 RENDER = (
     (".\nTha", ".\nSONUÇ:\nTha"),
@@ -34,15 +37,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _swapped(c: Column, old: str, new: str) -> Column:
+    return let(
+        c, lambda t: F.when(t.contains(old), F.replace(t, F.lit(old), F.lit(new))).otherwise(t)
+    )
+
+
 def rendered(c: Column) -> Column:
     for old, new in RENDER:
-        c = F.replace(c, F.lit(old), F.lit(new))
+        c = _swapped(c, old, new)
     return c
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, text, source)``."""
-    return table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return spread_small(rows, f"{sf_dir}/documents.parquet", "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), rendered(F.col("text")).alias("text"), "source"
     )
 

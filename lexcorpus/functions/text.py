@@ -15,7 +15,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = f"[{WHITESPACE}]+"
+# The same characters as a class: Unicode white space and the four separators U+001C..U+001F.
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 LEVELS = ("light", "search", "full")
 
@@ -25,21 +26,28 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def _plain_characters(t: Column) -> Column:
+    """NBSP, ``**`` and CR out; texts without any of them are left alone."""
+    out = t
+    for old, new in (("\xa0", " "), ("**", ""), ("\r\n", "\n"), ("\r", "\n")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    dirty = t.contains("\xa0") | t.contains("**") | t.contains("\r")
+    return F.when(dirty, out).otherwise(t)
+
+
 def canonicalize(c: Column, level: str = "full", null_as_empty: bool = False) -> Column:
     """Canonical text.
 
     ``light``: NBSP to space, no ``**``, LF line ends, one space per blank run.
     ``search``: also at most two LF in a row. ``full``: also stripped.
 
-    The two regex steps run only on texts that hold a run to collapse; the
-    guards are plain byte searches.
+    Every step runs only on texts that need it; the guards are plain byte searches.
     """
     if level not in LEVELS:
         raise ValueError(f"unknown level {level!r}, expected one of {LEVELS}")
     if null_as_empty:
         c = F.coalesce(c, F.lit(""))
-    for old, new in (("\xa0", " "), ("**", ""), ("\r\n", "\n"), ("\r", "\n")):
-        c = F.replace(c, F.lit(old), F.lit(new))
+    c = let(c, _plain_characters)
     c = let(
         c,
         lambda t: F.when(
@@ -57,7 +65,14 @@ def canonicalize(c: Column, level: str = "full", null_as_empty: bool = False) ->
 
 def fold_tr(c: Column) -> Column:
     """Turkish letters to ASCII, then lower case; both capital I forms give ``i``."""
-    return F.lower(F.translate(c, rules.FOLD_FROM, rules.FOLD_TO))
+    return let(
+        c,
+        lambda t: F.lower(
+            F.when(F.octet_length(t) == F.length(t), t).otherwise(
+                F.translate(t, rules.FOLD_FROM, rules.FOLD_TO)
+            )
+        ),
+    )
 
 
 def tail(c: Column, n: int) -> Column:

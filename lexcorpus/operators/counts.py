@@ -80,7 +80,7 @@ def length_stats(df: DataFrame, **metrics: Column) -> DataFrame:
 
 
 def _terms(df: DataFrame, text: str, stop: Sequence[str]) -> Column:
-    return tokens(canonicalize(F.col(text), "search"), rules.RESIDUAL_TOKEN_PATTERN, stop)
+    return tokens(canonicalize(F.col(text), "search"), rules.RESIDUAL_TOKENS, stop)
 
 
 def term_counts(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
+from ..functions.bind import let
 from ..functions.headings import extract_tail, heading_hits
 from ..functions.text import canonicalize
 from .schema import require_columns
@@ -105,5 +106,8 @@ def without_headings(
     df: DataFrame, patterns: Mapping[str, str] = rules.COLON_HEADINGS, text: str = "text"
 ) -> DataFrame:
     """Rows whose text holds none of the headings; one alternation, one scan."""
-    clean = canonicalize(F.col(text), "search")
-    return df.where(~clean.rlike(rules.any_of(patterns.values())))
+    pattern = rules.any_of(patterns.values())
+    value = let(
+        F.col(text), lambda t: F.when(~canonicalize(t, "search").rlike(pattern), t)
+    )
+    return keep_not_null(df, value, text).select(*df.columns)

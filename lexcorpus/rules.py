@@ -7,7 +7,20 @@ line, i for case-insensitive matching.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from typing import NamedTuple
+
+
+class Rule(NamedTuple):
+    """A pattern and literals of which every match holds at least one.
+
+    A search for a literal is many times cheaper than a regex scan, so the
+    pattern is only tried on texts that hold one of them.
+    """
+
+    pattern: str
+    needles: tuple[str, ...] = ()
 
 
 def ignore_case(pattern: str) -> str:
@@ -23,6 +36,37 @@ def any_of(patterns: Iterable[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def opening_literal(pattern: str) -> str:
+    """Literal at the start of a pattern of the form ``\\b<literal>``."""
+    literal = re.fullmatch(r"\\b([a-z ]*[a-z])(?:\\.*)?", pattern)
+    if literal is None:
+        raise ValueError(f"no opening literal: {pattern!r}")
+    return literal.group(1)
+
+
+def phrase_tree(phrases: Iterable[str]) -> str:
+    """Alternation of phrases with shared beginnings factored out.
+
+    Finds a phrase wherever the plain alternation does, without trying every
+    phrase at every character. A phrase that begins with another one is
+    dropped: the shorter one is found there anyway.
+    """
+    tree: dict = {}
+    for phrase in phrases:
+        node = tree
+        for ch in phrase:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""
+        parts = [re.escape(ch) + pattern(rest) for ch, rest in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(tree)
+
+
 # --------------------------------------------------------------------------
 # Patterns, phrases and word lists that decide the results.
 # --------------------------------------------------------------------------
@@ -164,9 +208,22 @@ PROMPT_TAIL_CHARS = 2000
 STRICT = tuple(ignore_case(p) for p in STRICT_PATTERNS)
 COLON_HEADINGS = {k: ignore_case(p) for k, p in COLON_HEADING_PATTERNS.items()}
 SPACED_HEADINGS = {k: ignore_case(p) for k, p in SPACED_HEADING_PATTERNS.items()}
-AUDIT_HEADINGS = {k: exact_case(p) for k, p in AUDIT_HEADING_PATTERNS.items()}
-SECTION_HEADERS = tuple(exact_case(p) for p in SECTION_HEADER_PATTERNS)
-SECTION_FALLBACKS = tuple(exact_case(p) for p in SECTION_FALLBACK_PATTERNS)
-CATEGORIES = {k: exact_case(any_of(ps)) for k, ps in CATEGORY_PATTERNS.items()}
+AUDIT_HEADINGS = {
+    k: Rule(exact_case(p), (opening_literal(p),)) for k, p in AUDIT_HEADING_PATTERNS.items()
+}
+SECTION_HEADERS = tuple(
+    Rule(exact_case(p), needles)
+    for p, needles in zip(SECTION_HEADER_PATTERNS, (("hukum", "sonuc"), ("hukum:",), ("sonuc:",)))
+)
+SECTION_FALLBACKS = tuple(
+    Rule(exact_case(p), needles)
+    for p, needles in zip(SECTION_FALLBACK_PATTERNS, (("sanigin",), ("mahkumiyet",), ("beraat",)))
+)
+CATEGORIES = {
+    k: Rule(exact_case(any_of(ps)), tuple(opening_literal(p) for p in ps))
+    for k, ps in CATEGORY_PATTERNS.items()
+}
+# RESIDUAL_TOKEN_PATTERN as a union of classes: ASCII letters are decided first.
+RESIDUAL_TOKENS = r"[a-zA-Z[çğıöşüÇĞİÖŞÜ]]{3,}"
 MASK_HEADING = ignore_case(MASK_HEADING_PATTERN)
-MASK_CUE = ignore_case("|".join(MASK_CUES))
+MASK_CUE = ignore_case(phrase_tree(MASK_CUES))

@@ -20,6 +20,27 @@ def _load(spark: SparkSession, path: str, fmt: str, schema: StructType | str | N
         raise
 
 
+# Size from which a scan has enough splits by itself.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Spread the rows of a few small files over the cores, by key.
+
+    A Parquet file with one row group is read by one task, and everything up
+    to the next shuffle would run in it. Whether that is the case is seen from
+    the sizes of at most as many files as there are cores; larger inputs have
+    enough splits and are not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.read.format("binaryFile").load(path).select("length").limit(cores)
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).first()
+    if seen.n >= cores or (seen.size or 0) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def read_corpus(
     spark: SparkSession,
     path: str,

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,9 @@ def test_tokens_bigrams_budget(spark):
     assert toks == [["uzun", "i̇şte"], [], ["bir", "iki", "dört"]]
     grams = column(spark, texts, T.bigrams(T.tokens(F.col("t"), rules.RESIDUAL_TOKEN_PATTERN, ["çok"])))
     assert grams == [["karar uzun", "uzun i̇şte"], [], ["bir iki", "iki dört"]]
+    many = random_texts(400, 7)
+    want = [[w.lower() for w in re.findall(rules.RESIDUAL_TOKEN_PATTERN, t)] for t in many]
+    assert column(spark, many, T.tokens(F.col("t"), rules.RESIDUAL_TOKENS)) == want
     cut = column(spark, texts, T.token_budget(F.col("t"), 3, pad=True))
     assert [r.asDict() for r in cut] == [
         {"tokens": ["Bu", "KARAR", "çok"], "n_tokens": 3, "truncated": True},
@@ -145,6 +149,13 @@ def test_sections_and_categories(spark):
     assert cats == [models.categories(models.section(t)[0]) for t in texts]
 
 
+def test_phrase_tree_finds_what_the_plain_list_finds():
+    tree = re.compile(rules.phrase_tree(rules.MASK_CUES))
+    plain = re.compile("|".join(rules.MASK_CUES))
+    probes = random_texts(500, 8) + [f"x {c}y" for c in rules.MASK_CUES] + [c[:-1] for c in rules.MASK_CUES]
+    assert [bool(tree.search(t)) for t in probes] == [bool(plain.search(t)) for t in probes]
+
+
 def test_heading_flags(spark):
     df = spark.createDataFrame([("HÜKÜM : a KARAR:",), ("none",), (None,)], "t string")
     flags = [r[0].asDict() for r in df.select(H.heading_flags(F.col("t"), rules.COLON_HEADINGS)).collect()]

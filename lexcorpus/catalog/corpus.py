@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.bind import let
 from ..sources.readers import spread_small
 
 # (text in the table, text in the corpus), applied in this order.
@@ -37,23 +36,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _swapped(c: Column, old: str, new: str) -> Column:
-    return let(
-        c, lambda t: F.when(t.contains(old), F.replace(t, F.lit(old), F.lit(new))).otherwise(t)
-    )
+def _literal(text: str) -> str:
+    escapes = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "'": "\\'", "\\": "\\\\"}
+    return "'" + "".join(escapes.get(ch, ch) for ch in text) + "'"
 
 
-def rendered(c: Column) -> Column:
+def rendered(column: str) -> Column:
+    """One SQL expression; each replacement runs only on texts that hold its left side."""
+    sql = column
     for old, new in RENDER:
-        c = _swapped(c, old, new)
-    return c
+        swap = f"if(contains(t, {_literal(old)}), replace(t, {_literal(old)}, {_literal(new)}), t)"
+        sql = f"transform(array({sql}), t -> {swap})[0]"
+    return F.expr(sql)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, text, source)``."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return spread_small(rows, f"{sf_dir}/documents.parquet", "doc_id").select(
-        F.col("doc_id").cast("string").alias("id"), rendered(F.col("text")).alias("text"), "source"
+    return spread_small(rows, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"), rendered("text").alias("text"), "source"
     )
 
 

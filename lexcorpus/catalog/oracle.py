@@ -419,7 +419,7 @@ def oracle() -> dict[str, str]:
     sql["class_weights"] = f"""with {ASSIGNED}, c as (select i as cluster_id, (select count(*) from assigned a where a.cluster_id = i) as n
         from range(8) t(i))
         select cluster_id, n, round(sum(greatest(n, 1)) over () / (8 * greatest(n, 1)), 6) as weight from c"""
-    sql["label_names"] = f"""with {CLUSTERED}, {ASSIGNED}, names as (select distinct cluster_id, name from clustered where cluster_id < 4)
+    sql["label_names"] = f"""with {CLUSTERED}, {ASSIGNED}, names as (select distinct cluster_id, name from clustered where contains(name, {q(rules.MERGE_KEYWORD)}))
         select l.label, coalesce(n.name, 'LABEL_' || l.label) as name from (select distinct cluster_id as label from assigned) l
         left join names n on n.cluster_id = l.label"""
     sql["merge_clusters"] = f"with {MERGED} select distinct new_id as cluster_id, name from merged"

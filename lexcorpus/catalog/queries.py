@@ -355,7 +355,7 @@ def class_weights(spark, sf_dir):
 def label_names(spark, sf_dir):
     clusters = materialize(source_clusters(spark, sf_dir).select("cluster_id", "name").distinct(), "clusters")
     known = labels.distinct_labels(assignments(spark, sf_dir), "cluster_id")
-    named = clusters.where(F.col("cluster_id") < 4)
+    named = clusters.where(F.contains("name", F.lit(rules.MERGE_KEYWORD)))
     return labels.label_names(known.withColumnRenamed("cluster_id", "label"), named)
 
 
@@ -623,7 +623,7 @@ def stream_extract(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     source = jobs.read_stream(spark, sf_dir, schema, glob="documents.parquet")
     out = scratch_path(spark, "stream-out")
-    rows = source.select(F.col("doc_id").cast("string").alias("id"), rendered(F.col("text")).alias("text"))
+    rows = source.select(F.col("doc_id").cast("string").alias("id"), rendered("text").alias("text"))
 
     def narrow(df: DataFrame) -> DataFrame:
         return extraction.with_verdict(df).select("id", "verdict")
@@ -638,7 +638,7 @@ def stream_enrich(spark, sf_dir):
     source = jobs.read_stream(spark, sf_dir, schema, glob="documents.parquet")
     out = scratch_path(spark, "stream-results")
     rows = source.select(
-        F.col("doc_id").cast("string").alias("id"), T.build_prompt(rendered(F.col("text"))).alias("prompt")
+        F.col("doc_id").cast("string").alias("id"), T.build_prompt(rendered("text")).alias("prompt")
     )
     query_ = jobs.stream_enrich(rows, out, scratch_path(spark, "stream-log"), echo_model, "prompt")
     query_.awaitTermination()

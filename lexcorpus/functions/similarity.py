@@ -27,17 +27,20 @@ def _levenshtein(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    """Overlap of the two sets of words."""
-    return let(
-        F.array_distinct(words(a)),
-        lambda x: let(
-            F.array_distinct(words(b)),
-            lambda y: let(
-                F.size(F.array_intersect(x, y)), lambda n: F.try_divide(n, F.size(x) + F.size(y) - n)
-            ),
-        ),
+def word_set(c: Column) -> Column:
+    return F.array_distinct(words(c))
+
+
+def jaccard_of_sets(x: Column, y: Column) -> Column:
+    """Overlap of two sets of words; 0.0 when both are empty."""
+    share = let(
+        F.size(F.array_intersect(x, y)), lambda n: F.try_divide(n, F.size(x) + F.size(y) - n)
     )
+    return F.coalesce(share, F.lit(0.0))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    return let(word_set(a), lambda x: let(word_set(b), lambda y: jaccard_of_sets(x, y)))
 
 
 def similarity(a: Column, b: Column, method: str = "ratio", stripped: bool = True) -> Column:

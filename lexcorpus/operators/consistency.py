@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import jaccard_of_sets, similarity, word_set
 
 
 def runs_wide(runs: DataFrame, n_runs: int, key: str = "id", output: str = "output") -> DataFrame:
@@ -40,16 +40,17 @@ def consistency(
     """
     wide = runs_wide(runs, n_runs, key, output)
     names = [f"run_{i}_output" for i in range(1, n_runs + 1)]
-    scored = wide
+    if method == "jaccard":  # the word set of a run serves all of its pairs
+        wide = wide.select("*", *[word_set(F.col(n)).alias(f"{n}_words") for n in names])
     pairs = []
     for a, b in combinations(names, 2):
-        pair = f"_{len(pairs)}"
-        score = F.when(
-            F.col(a).isNotNull() & F.col(b).isNotNull(),
-            similarity(F.col(a), F.col(b), method, stripped=False),
-        )
-        pairs.append(score.alias(pair))
-    scored = wide.select("*", *pairs)
+        if method == "jaccard":
+            score = jaccard_of_sets(F.col(f"{a}_words"), F.col(f"{b}_words"))
+        else:
+            score = similarity(F.col(a), F.col(b), method, stripped=False)
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        pairs.append(F.when(both, score).alias(f"_{len(pairs)}"))
+    scored = wide.select(key, *names, *pairs)
     cols = [F.col(f"_{i}") for i in range(len(pairs))]
     total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
     count = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))

@@ -20,25 +20,15 @@ def _load(spark: SparkSession, path: str, fmt: str, schema: StructType | str | N
         raise
 
 
-# Size from which a scan has enough splits by itself.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread_small(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Spread the rows of a few small files over the cores, by key.
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread the rows by key when the scan has fewer splits than there are cores.
 
     A Parquet file with one row group is read by one task, and everything up
-    to the next shuffle would run in it. Whether that is the case is seen from
-    the sizes of at most as many files as there are cores; larger inputs have
-    enough splits and are not shuffled.
+    to the next shuffle would run in it. Inputs of at least one split per core
+    are left alone: a large corpus is never shuffled for this.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").load(path).select("length").limit(cores)
-    seen = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).first()
-    if seen.n >= cores or (seen.size or 0) >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(2 * cores, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_corpus(
@@ -48,10 +38,12 @@ def read_corpus(
     schema: StructType | str | None = None,
     key: str | None = None,
     shard: bool = False,
+    spread: bool = False,
 ) -> DataFrame:
     """Parquet file or folder; ``split`` reads one partition folder only.
 
-    ``key`` is cast to string, ``shard`` adds the file name each row came from.
+    ``key`` is cast to string, ``shard`` adds the file name each row came from,
+    ``spread`` calls :func:`spread_small` with the key.
     """
     df = _load(spark, path, "parquet", schema)
     if split is not None:
@@ -60,7 +52,7 @@ def read_corpus(
         df = df.withColumn(key, F.col(key).cast("string"))
     if shard:
         df = df.withColumn("shard", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    return df
+    return spread_small(df, key) if spread and key is not None else df
 
 
 def ingest_corpus(

@@ -344,6 +344,11 @@ def oracle() -> dict[str, str]:
     sql["residual_bigrams"] = f"""with {TOKENS} select bigram, count(*) as n from (
         select unnest(list_transform(list_slice(a, 2, len(a)), lambda w, i: a[i] || ' ' || w)) as bigram from toks)
         group by 1 order by n desc, bigram limit 40"""
+    picked = RESIDUAL + f", picked as (select * from rest order by {rank_of()} limit 1000)"
+    sampled = TOKENS.replace(RESIDUAL, picked).replace("from rest)", "from picked)")
+    sql["residual_sample_terms"] = f"""with {sampled} select term, count(*) as n from (select unnest(a) as term from toks)
+        group by 1 order by n desc, term limit 40"""
+    sql["residual_sample_examples"] = f"with {picked} select id, left(n, 500) as example from picked order by {rank_of()} limit 5"
 
     # masking
     sql["mask_rows"] = f"""with {CORPUS}, {tails('every', rules.MAX_VERDICT_CHARS)},
@@ -416,6 +421,7 @@ def oracle() -> dict[str, str]:
     sql["union_sources"] = """select doc_id as id, len(text) as chars, lang, 'documents' as origin from documents
         union all select page_id, len(html), null, 'pages' from pages"""
     sql["reindex_labels"] = f"with {ASSIGNED} select id, dense_rank() over (order by cluster_id) - 1 as cluster_id from assigned"
+    sql["distinct_labels"] = f"with {ASSIGNED} select cluster_id as label from assigned union select label from embeddings"
     sql["class_weights"] = f"""with {ASSIGNED}, c as (select i as cluster_id, (select count(*) from assigned a where a.cluster_id = i) as n
         from range(8) t(i))
         select cluster_id, n, round(sum(greatest(n, 1)) over () / (8 * greatest(n, 1)), 6) as weight from c"""

@@ -13,7 +13,7 @@ from ..functions.masking import mask_span, strip_trailing_cues
 from ..functions.vectors import argmax
 from ..operators import consistency as agree
 from ..operators import counts, enrichment, extraction, features, labels, metrics, sampling
-from ..plans import audit, categorize, comparison, datasets
+from ..plans import audit, categorize, comparison, datasets, vocabulary
 from ..session import materialize, scratch_path
 from ..sources import readers, writers
 from ..streaming import jobs
@@ -179,6 +179,18 @@ def residual_bigrams(spark, sf_dir):
     return counts.top_k(counts.bigram_counts(rest), 40, "bigram")
 
 
+@query
+def residual_sample_terms(spark, sf_dir):
+    """Vocabulary of 1,000 texts without headings, as the report samples them."""
+    terms, _, _ = vocabulary.residual_vocabulary(corpus(spark, sf_dir))
+    return terms
+
+
+@query
+def residual_sample_examples(spark, sf_dir):
+    return vocabulary.residual_vocabulary(corpus(spark, sf_dir))[2]
+
+
 # -- masking ---------------------------------------------------------------
 
 
@@ -345,6 +357,14 @@ def reindex_labels(spark, sf_dir):
     return labels.reindex_labels(assignments(spark, sf_dir), "cluster_id")
 
 
+@query
+def distinct_labels(spark, sf_dir):
+    """Labels of two sets together."""
+    train = assignments(spark, sf_dir).select(F.col("cluster_id").alias("label"))
+    test = table(spark, sf_dir, "embeddings").select("label")
+    return labels.distinct_labels(train.union(test))
+
+
 @query
 def class_weights(spark, sf_dir):
     out = labels.class_weights(assignments(spark, sf_dir), "cluster_id", 8)

@@ -1,11 +1,14 @@
 """Seeded samples, splits and slices that do not depend on partitioning.
 
-Rows are ordered by ``md5(seed:key)``; the key must identify a row. A sample
-is what lies at or below a *cutoff* of that order. The cutoff is found from
+Rows are ordered by ``md5(seed:key)``. The key must identify a row: copies of
+one key are taken or left together. A sample is what lies at or below a *cutoff* of that order. The cutoff is found from
 narrow rows (hash and key only): counts per hash prefix give the prefix in
 which the n-th row lies, and only that prefix is ranked. The rows themselves
 are then filtered where they are, without a shuffle, however large the sample
 is and however the rows are spread over groups.
+
+The rows are looked at three times (twice for the key only). When they come
+from an expensive step, write them first (``session.materialize``).
 """
 
 from __future__ import annotations
@@ -57,6 +60,18 @@ def _narrow(df: DataFrame, groups: list[str], seed: int, key: str | Sequence[str
     )
 
 
+def _at_need(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """The order value at which the rows of a prefix reach ``need``.
+
+    Equal order values are counted first, so copies of one key cost one row.
+    """
+    counted = rows.groupBy(*groups, "b", "need", "o").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*groups, "b").orderBy("o"))
+    return counted.withColumn("upto", upto).where(
+        (F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))
+    )
+
+
 def cutoff(df: DataFrame, n: int, seed: int, key: str | Sequence[str], strict: bool = False) -> Column:
     """Scalar subquery: the n-th smallest order value, or the last if there are fewer.
 
@@ -71,14 +86,8 @@ def cutoff(df: DataFrame, n: int, seed: int, key: str | Sequence[str], strict: b
 
     rows = _narrow(df, [], seed, key)
     edge = _edges(rows, [], target).select(F.struct("b", "need").alias("e")).scalar()
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("o"))
-    return (
-        rows.where(F.col("b") == edge["b"])
-        .withColumn("r", rank)
-        .where(F.col("r") == edge["need"])
-        .select("o")
-        .scalar()
-    )
+    inside = rows.where(F.col("b") == edge["b"]).withColumn("need", edge["need"])
+    return _at_need(inside, []).select("o").scalar()
 
 
 def group_cutoffs(
@@ -95,13 +104,7 @@ def group_cutoffs(
     """
     rows = _narrow(df, [group], seed, key).where(F.col(group).isNotNull())
     edges = materialize(_edges(rows, [group], target), "edges")
-    rank = F.row_number().over(Window.partitionBy(group, "b").orderBy("o"))
-    cuts = (
-        rows.join(edges, [group, "b"])
-        .withColumn("r", rank)
-        .where(F.col("r") == F.col("need"))
-        .select(group, F.col("o").alias("cut"))
-    )
+    cuts = _at_need(rows.join(edges, [group, "b"]), [group]).select(group, F.col("o").alias("cut"))
     return materialize(cuts, "cutoffs")
 
 

@@ -18,9 +18,14 @@ SAMPLES_PER_CLUSTER = 10
 def cluster_texts(
     df: DataFrame, k: int = 10, seed: int = 42, text: str = "verdict", key: str = "id", **vocab_params
 ):
-    """``(assignments, default names, samples source)`` of a TF-IDF k-means fit."""
+    """``(assigned rows, names by center terms)`` of a TF-IDF k-means fit.
+
+    The texts are read for the vocabulary, the fit and the assignment, so they
+    are written once: an extraction behind them does not run again.
+    """
+    df = materialize(df.select(key, text), "texts")
     vocab = materialize(vocabulary(df, text, **vocab_params), "vocabulary")
-    features = vectorize(df.select(key, text), vocab, text)
+    features = vectorize(df, vocab, text)
     model = fit_clusters(features, k, seed)
     assigned = materialize(model.transform(features).select(key, text, "cluster_id"), "assigned")
     return assigned, center_terms(model, vocab)

@@ -46,14 +46,14 @@ def scratch_dir(spark: SparkSession) -> str:
     cluster an unset folder is an error, since lost executors could not be
     replaced from machine-local files.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running this job")
     folder = tempfile.mkdtemp(prefix="lexcorpus-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_CONF, folder)
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

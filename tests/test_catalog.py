@@ -24,8 +24,6 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
-    if name in ("cluster_sizes", "cluster_names"):
-        pytest.skip("too few documents per term on the smallest tables")
     assert compare(spark, con, SF_DIR, name, entry.queries()[name], SQL.get(name)) is None
 
 

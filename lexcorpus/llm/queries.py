@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, mixing, packing
+from . import cascade, mixing, packing, repeats
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,9 @@ def op9_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.digest(repeats.cut_repeats(docs))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, mixing, packing, repeats, sketches
+from . import cascade, hidden_markov, mixing, packing, repeats, sketches
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
+@query
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))

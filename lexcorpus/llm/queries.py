@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, hidden_markov, mixing, packing, repeats, sketches
+from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -15,7 +15,7 @@ from ..session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Bytes of text that one step of a vectorised task works on.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

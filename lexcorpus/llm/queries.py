@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches
+from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,16 @@ def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        "evidence",
+    )

@@ -39,7 +39,7 @@ from .hashing import Hashed, Powers, group_of, mix, signed
 
 DEPTH = 100
 GRAM = 32
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 18
 _PLACE_BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
 

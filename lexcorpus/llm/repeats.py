@@ -2,17 +2,18 @@
 
 Every suffix of every text is ordered through its first ``depth`` bytes only, by passes over
 digits, most significant first; what is equal after the last digit is a group of equal windows,
-and all but the earliest member of a group are repeats.
-
-* First digit: the ``GRAM`` bytes with the smallest hash among those inside the window. Equal
-  windows have the same one at the same place. Suffixes that follow each other mostly share it, so
-  a run of them (about 40) stays one row: its first start, its length, and this digit.
-* Second digit: all bytes that the run's windows cover. Runs equal in both digits have equal
-  windows throughout, so every run but the earliest is covered whole. A first digit that only one
-  distinct run has is done: its windows occur nowhere else.
-* Last digits: what is left are the earliest runs of first digits that several different runs
-  share, which is where a shared passage begins or ends. Their windows become rows of their own,
-  ordered by the digits of their first and second half.
+and all but the earliest member of a group are repeats. Suffixes that follow each other share
+most digits and stay one row, a run, until a digit tells them apart.
+
+* First pass. The digit of a suffix is the ``GRAM`` bytes with the smallest hash inside its window:
+  equal windows have the same one at the same place, and a run of about 35 suffixes shares it. Runs
+  whose windows cover equal bytes are equal throughout, so every run but the earliest is covered
+  whole. A digit that only one distinct run has is done: its windows occur nowhere else.
+* Second pass, over the earliest runs of digits that several different runs share (where a shared
+  passage begins or ends, or a phrase is common). Runs are cut to ``STEP`` places around the first
+  digit, and the second digit is the bytes that all windows of such a place have in common.
+* Last pass, over what is still shared: the suffixes themselves, ordered by the first and the second
+  half of their window.
 
 Before each exchange a task orders what it holds and settles all but the earliest member of each
 group on the spot, so a passage that a third of all documents share costs one row per task. After
@@ -40,27 +41,55 @@ from .hashing import Hashed, Powers, group_of, mix, signed
 DEPTH = 100
 GRAM = 32
 FLUSH_ROWS = 1 << 18
+STEP = 16
 _PLACE_BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
 
 COVERED, RUN, SHARED = 0, 1, 2
-_ROWS = "kind int, digit1 long, digit2 long, doc long, lo long, size long"
-_SCHEMA = pa.schema(
-    [("kind", pa.int32()), *((n, pa.int64()) for n in ("digit1", "digit2", "doc", "lo", "size"))]
-)
+_ROWS = "kind int, digit1 long, digit2 long, doc long, lo long, size long, near long, piece binary"
+_NUMBERS = ("digit1", "digit2", "doc", "lo", "size", "near")
+_SCHEMA = pa.schema([("kind", pa.int32()), *((n, pa.int64()) for n in _NUMBERS), ("piece", pa.binary())])
 
 
-def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c.astype(np.int64, copy=False)) for c in columns)]
-    return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
+class _Runs:
+    """Rows of the passes: the numbers of ``_NUMBERS`` and, in the second pass, the bytes of the run's windows."""
 
+    def __init__(self, numbers: list[np.ndarray], piece: pa.Array):
+        self.numbers, self.piece = numbers, piece
+        self.digit1, self.digit2, self.doc, self.lo, self.size, self.near = numbers
 
-def _covered(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Covered bytes as rows, overlapping ones of a document joined."""
-    if len(doc):
-        doc, lo, end = joined(doc, lo, end)
+    @classmethod
+    def of(cls, *numbers: np.ndarray, piece: pa.Array | None = None) -> "_Runs":
+        return cls([n.astype(np.int64, copy=False) for n in numbers], pa.nulls(len(numbers[0]), pa.binary()) if piece is None else piece)
+
+    @classmethod
+    def joined(cls, parts: list["_Runs"]) -> "_Runs":
+        columns = [np.concatenate(c) for c in zip(*(p.numbers for p in parts))]
+        return cls(columns, pa.concat_arrays([p.piece for p in parts]))
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> "_Runs":
+        return cls([batch.column(n).to_numpy(zero_copy_only=False) for n in _NUMBERS], batch.column("piece"))
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def take(self, which: np.ndarray) -> "_Runs":
+        which = np.flatnonzero(which) if which.dtype == bool else which
+        return _Runs([n[which] for n in self.numbers], self.piece.take(pa.array(which)))
+
+    def batch(self, kind: int) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(self), kind, np.int32))
+        return pa.RecordBatch.from_arrays([kinds, *(pa.array(n) for n in self.numbers), self.piece], schema=_SCHEMA)
+
+
+def _covered(rows: _Runs, depth: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of these runs as covered, overlapping ones of a document joined."""
+    if len(rows):
+        doc, lo, end = joined(rows.doc, rows.lo, rows.lo + rows.size + depth)
         spread = signed(mix(doc.view(np.uint64) + mix(lo.view(np.uint64))))
-        yield _batch(COVERED, spread, np.zeros_like(lo), doc, lo, end - lo)
+        none = np.zeros_like(lo)
+        yield _Runs.of(spread, none, doc, lo, end - lo, none).batch(COVERED)
 
 
 def joined(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,16 +106,15 @@ def joined(doc: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
     return doc[first], lo[first], reach[np.concatenate([first[1:] - 1, [len(doc) - 1]])]
 
 
-def _settle(digit1: np.ndarray, digit2: np.ndarray, doc: np.ndarray, lo: np.ndarray, size: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+def _settle(rows: _Runs, depth: int) -> Iterator[pa.RecordBatch]:
     """Earliest member of each group as a row to exchange, the others as covered."""
-    order = np.lexsort((lo, doc, digit2, digit1))
-    digit1, digit2, doc, lo, size = (x[order] for x in (digit1, digit2, doc, lo, size))
-    new = np.ones(len(doc), bool)
-    new[1:] = (digit1[1:] != digit1[:-1]) | (digit2[1:] != digit2[:-1])
+    rows = rows.take(np.lexsort((rows.lo, rows.doc, rows.digit2, rows.digit1)))
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows.digit1[1:] != rows.digit1[:-1]) | (rows.digit2[1:] != rows.digit2[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc != doc[first]) | (lo != lo[first])
-    yield from _covered(doc[later], lo[later], lo[later] + size[later] + depth)
-    yield _batch(RUN, digit1[new], digit2[new], doc[new], lo[new], size[new])
+    later = (rows.doc != rows.doc[first]) | (rows.lo != rows.lo[first])
+    yield from _covered(rows.take(later), depth)
+    yield rows.take(new).batch(RUN)
 
 
 class _Pending:
@@ -95,15 +123,15 @@ class _Pending:
     def __init__(self, depth: int):
         self.depth, self.parts, self.rows = depth, [], 0
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(columns)
-        self.rows += len(columns[0])
+    def add(self, rows: _Runs) -> Iterator[pa.RecordBatch]:
+        self.parts.append(rows)
+        self.rows += len(rows)
         if self.rows >= FLUSH_ROWS:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            yield from _settle(*(np.concatenate(c) for c in zip(*self.parts)), self.depth)
+            yield from _settle(_Runs.joined(self.parts), self.depth)
         self.parts, self.rows = [], 0
 
 
@@ -120,7 +148,7 @@ def _blocks(part: pa.RecordBatch, depth: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def runs(data: np.ndarray, at: np.ndarray, depth: int, gram: int, powers: Powers):
-    """``(digit1, digit2, text, lo, hi)``: runs of window starts with the same first digit, in each text."""
+    """``(digit1, digit2, text, lo, hi, place)``: runs of window starts with the same first digit, and where that is."""
     count = len(data) - gram + 1
     width = depth - gram + 1
     starts = np.arange(max(0, len(data) - depth + 1))
@@ -128,7 +156,7 @@ def runs(data: np.ndarray, at: np.ndarray, depth: int, gram: int, powers: Powers
     starts = starts[owner[starts] == owner[starts + depth - 1]] if len(starts) else starts
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     hashed = Hashed(data, powers)
     place = np.arange(count)
     value = (hashed.ranges(place, place + gram) & ~_PLACE) | place.astype(np.uint64)
@@ -144,93 +172,128 @@ def runs(data: np.ndarray, at: np.ndarray, depth: int, gram: int, powers: Powers
     lo, hi, least = starts[first], starts[np.concatenate([first[1:] - 1, [len(starts) - 1]])], least[first]
     digit1 = hashed.ranges(least, least + gram)
     digit2 = mix(hashed.ranges(lo, hi + depth) + (least - lo).astype(np.uint64))
-    return signed(digit1), signed(digit2), owner[lo], lo, hi
+    return signed(digit1), signed(digit2), owner[lo], lo, hi, least
 
 
 def _order(rows: DataFrame, depth: int) -> DataFrame:
     """Covered rows, and the earliest runs of first digits that several runs share."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[np.ndarray, ...] | None = None  # earliest row of the group that may go on
+        last: _Runs | None = None  # earliest row of the group that may go on
         alone = False  # whether that row is the only run of its first digit so far
         for batch in batches:
-            kind, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            done = kind == COVERED
+            rows = _Runs.read(batch)
+            done = batch.column("kind").to_numpy() == COVERED
             if done.any():
-                yield _batch(COVERED, *(c[done] for c in columns))
-            columns = [c[~done] for c in columns]
-            if not len(columns[0]):
+                yield rows.take(done).batch(COVERED)
+                rows = rows.take(~done)
+            if not len(rows):
                 continue
             held = last is not None
             if held:
-                columns = [np.concatenate([a, b]) for a, b in zip(last, columns)]
-            digit1, digit2, doc, lo, size = columns
-            change1 = np.ones(len(doc), bool)
-            change1[1:] = digit1[1:] != digit1[:-1]
+                rows = _Runs.joined([last, rows])
+            change1 = np.ones(len(rows), bool)
+            change1[1:] = rows.digit1[1:] != rows.digit1[:-1]
             change2 = change1.copy()
-            change2[1:] |= digit2[1:] != digit2[:-1]
+            change2[1:] |= rows.digit2[1:] != rows.digit2[:-1]
             first = np.flatnonzero(change2)
             rep = first[np.cumsum(change2) - 1]
-            later = (doc != doc[rep]) | (lo != lo[rep])
-            yield from _covered(doc[later], lo[later], lo[later] + size[later] + depth)
+            later = (rows.doc != rows.doc[rep]) | (rows.lo != rows.lo[rep])
+            yield from _covered(rows.take(later), depth)
             number = np.cumsum(change1[first]) - 1  # of the first digit, for each distinct run
             shared = np.bincount(number)[number] > 1
             if held and not alone:
                 shared[number == 0] = True
                 shared[0] = False  # given out before
             if shared.any():
-                yield _batch(SHARED, *(c[first[shared]] for c in columns))
+                yield rows.take(first[shared]).batch(SHARED)
             final = number == number[-1]
             alone = bool(final.sum() == 1 and not (held and not alone and number[-1] == 0))
-            last = tuple(c[first[-1:]] for c in columns)
+            last = rows.take(first[-1:])
 
     exchanged = rows.repartition("digit1").sortWithinPartitions("digit1", "digit2", "doc", "lo")
     return exchanged.mapInArrow(stream, _ROWS)
 
 
+def _repeat(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position ``count`` times, and 0, 1, ... within it."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _parts_of(data: np.ndarray, at: np.ndarray, ids: np.ndarray, owner, lo, size, near, depth: int, powers: Powers) -> _Runs:
+    """Runs cut to ``STEP`` places around their first digit; the digits are what the windows share, and all they cover."""
+    hashed = Hashed(data, powers)
+    base = at[owner]
+    place = lo + size + near  # of the first digit
+    count = (size + near) // STEP - near // STEP + 1
+    run, inner = _repeat(count)
+    step = near[run] // STEP + inner
+    farthest = np.minimum(size[run] + near[run], step * STEP + STEP - 1)
+    nearest = np.maximum(near[run], step * STEP)
+    start, last = place[run] - farthest, place[run] - nearest
+    origin = base[run]
+    core = origin + place[run] - step * STEP
+    digit1 = mix(hashed.ranges(core, core - (STEP - 1) + depth) + step.astype(np.uint64))
+    digit2 = mix(hashed.ranges(origin + start, origin + last + depth) + farthest.astype(np.uint64))
+    raw = data.tobytes()
+    edges = zip((origin + start).tolist(), (origin + last + depth).tolist())
+    piece = pa.array([raw[a:b] for a, b in edges], pa.binary())
+    none = np.zeros_like(start)
+    return _Runs.of(signed(digit1), signed(digit2), ids[owner[run]], start, last - start, none, piece=piece)
+
+
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """``doc, spans``: the covered bytes of every document that has some, joined and in order.
+    """``doc, spans``: the covered bytes of every document that has some, in order of their start.
 
     ``docs`` has ``doc`` (long, not null) and ``text``.
     """
+    if not STEP < depth or not 0 < gram <= depth:
+        raise ValueError(f"depth must be above {STEP} and at least gram")
 
-    def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, pending = Powers(), _Pending(depth)
         for batch in batches:
             for part in chunks(batch, "text"):
                 for data, at, ids, base in _blocks(part, depth):
-                    digit1, digit2, owner, lo, hi = runs(data, at, depth, gram, powers)
-                    yield from pending.add(digit1, digit2, ids[owner], lo - at[owner] + base, hi - lo)
+                    digit1, digit2, owner, lo, hi, place = runs(data, at, depth, gram, powers)
+                    yield from pending.add(_Runs.of(digit1, digit2, ids[owner], lo - at[owner] + base, hi - lo, place - hi))
         yield from pending.flush()
 
-    def last_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, pending = Powers(), _Pending(depth)
-        half = depth // 2
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, at = text_bytes(part.column("text"))
-                hashed = Hashed(data, powers)
                 ids = part.column("doc").to_numpy(zero_copy_only=False)
                 owner = np.repeat(np.arange(len(ids)), part.column("runs").value_lengths().to_numpy(zero_copy_only=False))
-                lo, size = (part.column("runs").flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                inner = np.arange(int((size + 1).sum())) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-                own = np.repeat(owner, size + 1)
-                start = np.repeat(lo, size + 1) + inner
-                place = start + at[own]
-                yield from pending.add(
-                    signed(hashed.ranges(place, place + half)),
-                    signed(hashed.ranges(place + half, place + depth)),
-                    ids[own],
-                    start,
-                    np.zeros_like(start),
-                )
+                fields = (part.column("runs").flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                yield from pending.add(_parts_of(data, at, ids, owner, *fields, depth, powers))
+        yield from pending.flush()
+
+    def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, pending = Powers(), _Pending(depth)
+        half = depth // 2
+        for batch in batches:
+            for part in chunks(batch, "piece"):
+                data, at = text_bytes(part.column("piece"))
+                rows = _Runs.read(part)
+                run, inner = _repeat(rows.size + 1)
+                place = at[run] + inner
+                hashed = Hashed(data, powers)
+                digits = (signed(hashed.ranges(a, b)) for a, b in ((place, place + half), (place + half, place + depth)))
+                none = np.zeros_like(place)
+                yield from pending.add(_Runs.of(*digits, rows.doc[run], rows.lo[run] + inner, none, none))
         yield from pending.flush()
 
-    ordered = keep(_order(docs.mapInArrow(first_digits, _ROWS), depth), "runs")
-    shared = ordered.where(F.col("kind") == SHARED).groupBy("doc").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
-    windows = docs.join(shared, "doc").mapInArrow(last_digits, _ROWS)
-    edges = keep(_order(windows, depth).where(F.col("kind") == COVERED).select("doc", "lo", "size"), "edges")
-    covered = ordered.where(F.col("kind") == COVERED).select("doc", "lo", "size").unionByName(edges)
+    span = ("doc", "lo", "size")
+    first = keep(_order(docs.mapInArrow(first_pass, _ROWS), depth).drop("digit1", "digit2", "piece"), "runs")
+    shared = first.where(F.col("kind") == SHARED).groupBy("doc").agg(F.collect_list(F.struct("lo", "size", "near")).alias("runs"))
+    second = keep(_order(docs.join(shared, "doc").mapInArrow(second_pass, _ROWS), depth), "parts")
+    rest = second.where(F.col("kind") == SHARED).mapInArrow(last_pass, _ROWS)
+    covered = first.where(F.col("kind") == COVERED).select(*span)
+    for rows in (second, _order(rest, depth)):
+        covered = covered.unionByName(rows.where(F.col("kind") == COVERED).select(*span))
     return covered.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "size"))).alias("spans"))
 
 

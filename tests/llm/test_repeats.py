@@ -39,10 +39,10 @@ def run(spark, rows, depth, gram):
 
 def texts(seed, n, alphabet):
     dice = random.Random(seed)
-    passages = ["".join(dice.choice(alphabet) for _ in range(dice.randint(5, 60))) for _ in range(6)]
+    passages = ["".join(dice.choice(alphabet) for _ in range(dice.randint(5, 90))) for _ in range(6)]
     out = []
     for _ in range(n):
-        parts = [dice.choice(passages) if dice.random() < 0.5 else "".join(dice.choice(alphabet) for _ in range(dice.randint(0, 25))) for _ in range(dice.randint(0, 6))]
+        parts = [dice.choice(passages) if dice.random() < 0.5 else "".join(dice.choice(alphabet) for _ in range(dice.randint(0, 40))) for _ in range(dice.randint(0, 6))]
         out.append("".join(parts))
     return out
 
@@ -51,7 +51,7 @@ def test_random_texts(spark):
     for seed, alphabet in ((1, "ab"), (2, "abcdefgh é\n"), (3, "a")):
         rows = list(enumerate(texts(seed, 40, alphabet)))
         random.Random(seed).shuffle(rows)
-        assert run(spark, rows, 12, 5) == brute(rows, 12)
+        assert run(spark, rows, 20, 7) == brute(rows, 20)
 
 
 def test_nulls_ties_repeats_and_empty(spark):

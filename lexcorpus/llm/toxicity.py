@@ -2,7 +2,8 @@
 
 Examples are a bounded sample of the labelled rows (``EXAMPLES``, picked by hash). Terms are words
 and word beginnings; the vocabulary holds those whose document frequency among the examples depends
-on the label (chi-square of ``CHI_SQUARE`` or more, ``TERMS`` at most). Document frequencies for IDF
+on the label: so strongly that by chance fewer than ``CHANCE`` such terms would be expected among
+all terms (``TERMS`` at most). Document frequencies for IDF
 are counted over all documents. Examples lie in blocks of ``BLOCK``; each term knows its largest
 weight in every block, which bounds the cosine of a whole block. A query opens blocks in descending order
 of their bound and stops when the bound falls below the k-th best cosine, so the neighbours are
@@ -31,8 +32,7 @@ from .hidden_markov import remainder
 
 EXAMPLES = 20_000
 TERMS = 2048
-CHI_SQUARE = 30.0
-LEAST_TEXTS = 3
+CHANCE = 0.1
 NEIGHBOURS = 15
 BLOCK = 64
 PREFIXES = (4, 5)
@@ -77,12 +77,14 @@ def _vocabulary(rows: DataFrame) -> list[str]:
     if len(size) < 2:
         return []
     total, part = sum(size.values()), size[True]
-    n = F.col("clean") + F.col("toxic")
-    gap = (F.col("toxic") * F.lit(total) - n * F.lit(part)).cast("double")
-    chi = gap * gap / (n.cast("double") * (total - n + 1e-9) * float(part) * float(total - part)) * float(total)
+    rate = part / total
+    n, c = (F.col("clean") + F.col("toxic")).cast("double"), F.col("toxic").cast("double")
+    # a share of c in n is at most exp(-gain) likely where the rate is that of all examples
+    gain = F.when(c > 0, c * F.log(c / (n * rate))).otherwise(0.0) + F.when(n > c, (n - c) * F.log((n - c) / (n * (1 - rate)))).otherwise(0.0)
     summed = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = summed.withColumn("chi", chi).where((n >= LEAST_TEXTS) & (F.col("chi") >= CHI_SQUARE))
-    return [r.term for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]  # at most TERMS rows
+    gains = keep(summed.select("term", gain.alias("gain")), "terms")
+    best = gains.where(F.col("gain") >= math.log(max(gains.count(), 1) / CHANCE))
+    return [r.term for r in best.orderBy(F.desc("gain"), "term").limit(TERMS).collect()]  # at most TERMS rows
 
 
 class _Memo(dict):

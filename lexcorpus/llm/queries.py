@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches, toxicity
+from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,23 @@ def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
         "evidence",
     )
+
+
+@query
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op2_warc_index"] = """
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to
+FROM (
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+            sha256(coalesce(html, '')) AS payload_digest,
+            min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first
+        FROM pages))
+"""

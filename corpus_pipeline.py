@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 ``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)`` and returns a
-DataFrame that is written as Parquet and read again as the ``docs`` of the next stage.
+DataFrame that is written as Parquet and read again as the ``docs`` of the next stage. All but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,24 +11,54 @@ import sys
 from pathlib import Path
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 ROOT = str(Path(__file__).resolve().parent)
 if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
 
 import lexcorpus  # noqa: E402
+from lexcorpus.llm import toxicity as toxic  # noqa: E402
 from lexcorpus.llm.common import keep, table  # noqa: E402
 from lexcorpus.llm.mixing import mixed_rows  # noqa: E402
 from lexcorpus.llm.packing import pack  # noqa: E402
+from lexcorpus.llm.repeats import cut_repeats  # noqa: E402
+from lexcorpus.llm.sketches import near_duplicates  # noqa: E402
 
 # Python workers may start in another folder: ship functions of the package by value.
 cloudpickle.register_pickle_by_value(lexcorpus)
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not call toxic."""
+    model = toxic.fit(docs, table(spark, sf_dir, "labels"))
+    return toxic.scored(docs, model).where("toxicity < 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are alike by 0.8 or more."""
+    ids = near_duplicates(docs.select("doc_id", "text"), words=5).where("kept and doc_id is not null")
+    known = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # of rows with the same id
+    first = known.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
+    return first.unionByName(docs.where("doc_id is null"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte windows that occur earlier, also within a text.
+
+    A character that loses a byte goes whole. A document that loses everything goes too, unless
+    it was empty before.
+    """
+    cut = cut_repeats(docs, as_text=True).where("kept != '' or n_bytes = 0")
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for."""
-    return mixed_rows(docs)
+    return mixed_rows(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +67,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_array", repeats),
     ("mixing", mixing),
     ("packing", packing),
 ]

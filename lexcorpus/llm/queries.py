@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches, toxicity, warc
+from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches, snapshots, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,25 @@ FROM (
             min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first
         FROM pages))
 """
+
+
+@query
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.rendered(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op8_chat_snapshots"] = """
+WITH turns AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+chats AS (
+    SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS said
+    FROM turns GROUP BY conv_id),
+classes AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, said FROM chats GROUP BY said),
+inner_prefixes AS (
+    SELECT DISTINCT said[1:n] AS said
+    FROM (SELECT said, unnest(generate_series(1, len(said) - 1)) AS n FROM classes))
+SELECT conv_id, len(said) AS n_turns, copies,
+    array_to_string(['<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10) FOR t IN said], '')
+        AS rendered
+FROM classes WHERE NOT EXISTS (SELECT 1 FROM inner_prefixes p WHERE p.said = classes.said)
+"""

@@ -297,10 +297,11 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     return covered.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "size"))).alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """All columns of ``docs`` and ``kept`` (binary: the text's bytes that are no repeats), ``n_bytes``, ``removed``.
+def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` and ``kept`` (the text's bytes that are no repeats), ``n_bytes``, ``removed``.
 
-    ``removed`` lists start and end of every maximal removed run.
+    ``removed`` lists start and end of every maximal removed run. With ``as_text``, ``kept`` is a
+    string without those bytes that no longer belong to a whole character.
     """
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
     spans = keep(repeated_spans(keyed, depth, gram), "spans")
@@ -323,13 +324,14 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFr
                     else:
                         found.append([lo, end])
                 edges = [0, *(e for span in found for e in span), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 removed.append(found)
             columns = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays(
                 [
                     *columns,
-                    pa.array(kept, pa.binary()),
+                    pa.array(kept, pa.string() if as_text else pa.binary()),
                     pa.array([len(t or b"") for t in texts], pa.int64()),
                     pa.array(removed, pa.list_(pa.list_(pa.int64()))),
                 ],
@@ -337,7 +339,7 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFr
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.join(spans, "doc", "left").mapInArrow(cut, f"{kinds}, kept binary, n_bytes long, removed array<array<bigint>>")
+    return rows.join(spans, "doc", "left").mapInArrow(cut, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, removed array<array<bigint>>")
 
 
 def digest(cut: DataFrame) -> DataFrame:

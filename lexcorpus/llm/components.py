@@ -25,7 +25,8 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
         hung = joined.where("b > a").select(F.col("b").alias("a"), top.alias("b")).unionByName(
             least.where("a > least").select("a", F.col("least").alias("b"))
         )
-    return hung.where("a > b").distinct()
+    hung = hung.where("a > b")
+    return hung.distinct() if small else hung
 
 
 def components(links: DataFrame) -> DataFrame:

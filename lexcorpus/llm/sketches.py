@@ -10,9 +10,8 @@ concentration of independent samples, at a cost near one pass over the set.
 Documents with equal sets are one node. Sketches of nodes are cut into ``BANDS`` bands; nodes that
 share a band are candidates. At similarity 0.8 a pair misses all 32 bands of 4 bins with a
 probability of 5e-8. Within a band's bucket, nodes are compared with one leader each, never all with
-all, and linked if the whole sets say so. What this leaves open, and only that, goes on: in buckets
-whose nodes still lie in different components, every component elects a new leader in each round,
-and after ``STAR_ROUNDS`` the nodes of different components are compared in blocks, where sketches
+all, and linked if the whole sets say so. What this leaves open, and only that, goes on: buckets whose nodes still lie in different components
+get another leader, and after ``STAR_ROUNDS`` of them their nodes are compared in blocks, where sketches
 that agree in less than ``FLOOR`` of the bins are passed over (a pair of similarity 0.8 falls below
 it with a probability under 1e-9).
 
@@ -36,7 +35,8 @@ from .hashing import LOWER, Hashed, Powers, group_of, mix, signed, sorted_in_gro
 COORDINATES = 128
 BANDS = 32
 FLOOR = 0.56
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+BLOCK_SHINGLES = 1_000_000
 MEMBERS = 512  # nodes that one leader, or one block, is compared with in one go
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -143,6 +143,16 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, hashes binary")
 
 
+def _alike(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    small, large = sorted((own, other), key=len)
+    if 100 * len(small) < percent * len(large):
+        return False
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[place] == small).sum())
+    return 100 * common >= percent * (len(small) + len(large) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets reach the similarity.
 
@@ -167,12 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     leader, own = a, hashes
                     continue
                 assert leader == a, "a leader's set comes before its members"
-                small, large = sorted((own, hashes), key=len)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[place] == small).sum())
-                if 100 * common >= percent * (len(small) + len(large) - common):
+                if _alike(own, hashes, percent):
                     found.append((a, node))
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -181,22 +186,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _labelled(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``buckets(bucket, node)`` with the node's component so far, only buckets with several of them."""
-    if links is None:
-        rows = buckets.withColumn("component", F.col("node"))
-    else:
-        rows = buckets.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, component`` with further links: only the components that they join are looked at again."""
+    if component is None:
+        return components(links)
+    for end in ("a", "b"):
+        root = component.select(F.col("node").alias(end), F.col("component").alias("root"))
+        links = links.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    joined = components(links.where("a != b"))
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    # a root is no node of the table, so the rows of ``joined`` are new ones
+    old = component.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return keep(old.unionByName(joined), "components")
+
+
+def _open(buckets: DataFrame, component: DataFrame) -> DataFrame:
+    """``bucket, node, component`` of the buckets whose nodes lie in several components."""
+    rows = buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(mixed.select("bucket"), "bucket")
+    return keep(rows.join(mixed.select("bucket"), "bucket"), "open")
 
 
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs of each bucket's leader with the nodes of other components.
 
-    The leader changes from round to round: the node with the smallest hash of that round.
+    The first leader is the smallest node; later ones have the smallest hash of their round.
     """
-    lead = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("lead"))
+    rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    lead = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("lead"))
     return (
         rows.join(lead, "bucket")
         .where("component != lead.component")
@@ -205,77 +222,84 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs across the components of a bucket whose sketches agree in ``FLOOR`` of the bins.
+def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of open buckets, every pair that shares a band considered.
 
-    A bucket's nodes are dealt into blocks of about ``MEMBERS``; every two blocks of a bucket are
-    compared by one task, which gives out a pair only in the first bucket that both nodes share.
+    Nodes that hang together over open buckets are a group. A group is dealt into blocks of bounded
+    rows and bytes, every two blocks meet in one task with the nodes' whole sets, and the task gives out
+    links only, one for each two components that it finds joined.
     """
-    sized = rows.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+    lead = rows.groupBy("bucket").agg(F.min("node").alias("b"))
+    group = components(rows.join(lead, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
+    members = (
+        rows.select("node", "component")
+        .distinct()
+        .join(group, "node", "left")
+        .withColumn("group", F.coalesce("group", "node"))
+        .join(nodes, "node")
+    )
+    members = keep(members, "members")
+    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long")
+    sized = members.groupBy("group").agg(blocks.alias("blocks"))
     # block i meets block j in task (min, max): a node goes to every task its block takes part in
     dealt = (
-        rows.join(sized, "bucket")
-        .withColumn("block", block)
+        members.join(sized, "group")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .join(sets, "node")
         .select(
-            "bucket",
+            "group",
             F.least("block", "other").alias("low"),
             F.greatest("block", "other").alias("high"),
             (F.col("block") > F.col("other")).alias("upper"),
-            "node",
-            "component",
+            *("node", "component", "sketch", "bands", "hashes"),
         )
-        .join(nodes.select("node", "n_shingles", "sketch", "bands"), "node")
     )
+    task = ("group", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            key = np.stack([batch.column(n).to_numpy() for n in ("bucket", "low", "high")])
+            key = np.stack([batch.column(n).to_numpy() for n in task])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             edges = [0, *cuts.tolist(), batch.num_rows]
             for start, end in zip(edges[:-1], edges[1:]):
                 if end == start:
                     continue
-                if held and any(held[0].column(n)[0] != batch.column(n)[start] for n in ("bucket", "low", "high")):
-                    yield _across(held)
+                if held and any(held[0].column(n)[0] != batch.column(n)[start] for n in task):
+                    yield _across(held, percent)
                     held = []
                 held.append(batch.slice(start, end - start))
         if held:
-            yield _across(held)
+            yield _across(held, percent)
 
-    order = ("bucket", "low", "high")
-    return (
-        dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(compare, "a long, b long").distinct()
-    )
+    return dealt.repartition(*task).sortWithinPartitions(*task, "node").mapInArrow(compare, "a long, b long")
 
 
-def _across(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _across(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
     get = lambda name: whole.column(name).to_numpy(zero_copy_only=False)
-    node, component, size, upper = get("node"), get("component"), get("n_shingles"), get("upper")
+    node, label, upper = get("node"), get("component").copy(), get("upper")
     one = whole.column("low")[0] == whole.column("high")[0]
     sketches = np.stack([np.frombuffer(s, np.uint16) for s in whole.column("sketch").to_pylist()])
-    banded = np.stack([np.asarray(b) for b in whole.column("bands").to_pylist()])
-    bucket = whole.column("bucket")[0].as_py()
-    found_a, found_b = [], []
-    for i in np.flatnonzero(~upper) if not one else range(len(node)):
-        rest = np.arange(i + 1, len(node)) if one else np.flatnonzero(upper)
-        rest = rest[component[rest] != component[i]]
-        rest = rest[(5 * np.minimum(size[rest], size[i]) >= 4 * np.maximum(size[rest], size[i]))]
-        if not len(rest):
-            continue
-        rest = rest[(sketches[rest] == sketches[i]).mean(axis=1) >= FLOOR]
-        shared = banded[rest] == banded[i]
-        first = banded[i][shared.argmax(axis=1)] == bucket if len(rest) else np.zeros(0, bool)
-        rest = rest[first]
-        found_a.append(np.maximum(node[i], node[rest]))
-        found_b.append(np.minimum(node[i], node[rest]))
-    empty = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([empty, *found_a])), pa.array(np.concatenate([empty, *found_b]))], names=["a", "b"]
-    )
+    banded = whole.column("bands").flatten().to_numpy().reshape(len(node), -1)
+    hashes = [np.frombuffer(s, np.uint64) for s in whole.column("hashes").to_pylist()]
+    size = np.array([len(h) for h in hashes])
+    found: list[tuple[int, int]] = []
+    others = np.flatnonzero(upper)
+    for i in range(len(node)) if one else np.flatnonzero(~upper).tolist():
+        rest = np.arange(i + 1, len(node)) if one else others
+        rest = rest[label[rest] != label[i]]
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
+        rest = rest[(banded[rest] == banded[i]).any(axis=1)]
+        agree = (sketches[rest] == sketches[i]).mean(axis=1)
+        near = agree >= FLOOR
+        for j in rest[near][np.argsort(-agree[near], kind="stable")].tolist():
+            if label[i] != label[j] and _alike(hashes[i], hashes[j], percent):
+                found.append((max(node[i], node[j]), min(node[i], node[j])))
+                label[label == label[j]] = label[i]
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -305,30 +329,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved, "node")
     sets = keep(_sets(texts, words), "sets")
 
-    found: list[DataFrame] = []
-
-    def all_links() -> DataFrame | None:
-        if not found:
-            return None
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        return links
-
-    for turn in range(STAR_ROUNDS):
-        rows = keep(_labelled(buckets, all_links()), "open")
-        found.append(keep(_verified(_star_pairs(rows, turn), sets, percent), "found"))
+    # documents of one id that have several sets
+    several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high")
+    component = components(member.join(several, "doc_id").select(F.col("node").alias("a"), "b"))
+    for turn in range(STAR_ROUNDS + 1):
+        rows = _open(buckets, component)
+        if rows.isEmpty():
+            break
+        if turn < STAR_ROUNDS:
+            found = keep(_verified(keep(_star_pairs(rows, turn), "pairs"), sets, percent), "found")
+        else:
+            found = keep(_block_links(rows, nodes, sets, percent), "found")
         discard(rows)
-    rows = keep(_labelled(buckets, all_links()), "open")
-    found.append(keep(_verified(_block_pairs(rows, nodes), sets, percent), "found"))
-
-    # documents with the same id but different sets, and different documents of one class
-    joined = all_links().unionByName(member.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    component = keep(components(joined), "components")
-    discard(buckets, sets, nodes, rows, member)
-    result = sketched.select("doc_id", "n_shingles").join(
-        component.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    )
+        if not found.isEmpty():
+            component = _merged(component, found)
+
+    discard(buckets, sets, nodes)
+    of_doc = member.join(component, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    result = sketched.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")
     return result.select(
         "doc_id",

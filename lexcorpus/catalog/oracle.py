@@ -11,7 +11,7 @@ from .. import rules
 from ..functions.text import WHITESPACE
 from ..plans import audit, datasets
 from .corpus import RENDER
-from .queries import ECHO_CHARS, RUN_WORDS
+from .queries import ECHO_CHARS, RESIDUAL_ROWS, RUN_WORDS
 
 
 def q(text: str) -> str:
@@ -258,11 +258,19 @@ def without(word: str, x: str) -> str:
 
 TWO = (
     found()
-    + ", ascii as (select id, regexp_replace(verdict, '[^\\x00-\\x7F]', '', 'g') as a from v)"
-    + f", two as (select id, {trim('a')} as a, {trim(without(RUN_WORDS[0], without(RUN_WORDS[1], 'a')))} as b from ascii)"
+    + f", two as (select id, {trim('verdict')} as a, {trim(without(RUN_WORDS[0], without(RUN_WORDS[1], 'verdict')))} as b from v)"
 )
 
 
+# The edit distance here counts bytes: letters of several bytes become free single ones.
+WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüĞİŞğışÀâ"
+NARROW = "".join(map(chr, [*range(1, 9), 11, 12, *range(14, 28), 127, 94, 95, 96, 126]))[: len(WIDE)]
+
+
+def narrow(x: str) -> str:
+    return f"translate({x}, {q(WIDE)}, {q(NARROW)})"
+
+
 def word_set(x: str) -> str:
     return f"list_distinct(regexp_extract_all({x}, '\\S+'))"
 
@@ -291,7 +299,7 @@ SPLIT_SETS = (
     "sets as (select *, case when r <= 50 then 'test' else 'train' end as part from ranked)"
 )
 
-METRICS = """scored as (select list_position(list_slice(embedding, 1, 12), list_max(list_slice(embedding, 1, 12))) - 1 as p, label as l from embeddings),
+METRICS = """scored as (select list_position(embedding, list_max(embedding)) - 1 as p, label as l from embeddings),
 classes as (select distinct l as class from scored union select distinct p from scored),
 stats as (select class, (select count(*) from scored where l = class and p = class) as tp,
   (select count(*) from scored where l = class) as support,
@@ -300,6 +308,15 @@ scores as (select *, case when predicted = 0 then 0.0 else tp / predicted end as
   case when support = 0 then 0.0 else tp / support end as recall, 2 * tp / (support + predicted) as f1 from stats)"""
 
 
+def shares(rows: str, label: str) -> str:
+    """CTE ``shares(label, wanted)``: a tenth of all rows, dealt by largest remainder."""
+    return (
+        f"sizes as (select {label}, count(*) as n from {rows} group by 1), "
+        f"shares as (select {label}, n // 10 + (row_number() over (order by n % 10 desc, {label}) "
+        "<= (sum(n) over () + 9) // 10 - sum(n // 10) over ())::int as wanted from sizes)"
+    )
+
+
 def oracle() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -344,7 +361,7 @@ def oracle() -> dict[str, str]:
     sql["residual_bigrams"] = f"""with {TOKENS} select bigram, count(*) as n from (
         select unnest(list_transform(list_slice(a, 2, len(a)), lambda w, i: a[i] || ' ' || w)) as bigram from toks)
         group by 1 order by n desc, bigram limit 40"""
-    picked = RESIDUAL + f", picked as (select * from rest order by {rank_of()} limit 1000)"
+    picked = RESIDUAL + f", picked as (select * from rest order by {rank_of()} limit {RESIDUAL_ROWS})"
     sampled = TOKENS.replace(RESIDUAL, picked).replace("from rest)", "from picked)")
     sql["residual_sample_terms"] = f"""with {sampled} select term, count(*) as n from (select unnest(a) as term from toks)
         group by 1 order by n desc, term limit 40"""
@@ -385,13 +402,27 @@ def oracle() -> dict[str, str]:
     sql["audit_examples"] = f"""with {AUDITED}, listed as (select id, unnest(cats) as category, left(r.s, {audit.EXAMPLE_CHARS}) as example from categories)
         select category, id, example from (select *, row_number() over (partition by category order by {rank_of()}) as r from listed)
         where r <= {audit.EXAMPLES}"""
-    sql["audit_report"] = f"""with {AUDITED}, picked as (select * from categories order by {rank_of()} limit 20000),
-        lens as (select list_sort(list(len(text))) as l, median({words('text')}) as m, count(*) as n from picked)
-        select (select count(*) from documents) as total_rows, n as sample_size,
-        cast(l[cast(least(n - 1, floor(0.95::double * n)) as bigint) + 1] as double) as chars_p95, m as words_median,
-        (select source from picked group by source order by count(*) desc, source limit 1) as first_source,
-        (select round(count(*) / (select count(*) from picked), 4) from picked where regexp_matches(f, {q(rules.AUDIT_HEADING_PATTERNS['karar'])})) as karar_rate,
-        (select count(distinct c) from (select unnest(cats) as c from picked)) as categories from lens"""
+    lens = "select metric, " + ", ".join(audit.STATS) + f" from ({audit_lengths})"
+    stats = ", ".join(
+        f"(select {s} from lens where metric = '{part}_length') as {part}_{s}" for part in ("char", "word") for s in audit.STATS
+    )
+
+    def listed(name: str, rows: str) -> str:
+        return f"(select string_agg(k || '=' || n, '|' order by k || '=' || n) from ({rows})) as {name}"
+
+    sql["audit_report"] = f"""with {AUDITED}, lens as ({lens}), total as (select count(*) as n from documents),
+        heads as (select h as k, count(*) as n from (select unnest({audit_hits}) as h from categories) group by 1),
+        named as (select id, unnest(cats) as category, left(r.s, {audit.EXAMPLE_CHARS}) as example from categories),
+        chosen as (select category as k, string_agg(example, ';' order by example) as n from (
+            select *, row_number() over (partition by category order by {rank_of()}) as r from named) where r <= {audit.EXAMPLES} group by 1)
+        select n as total_rows, n as sample_size, {stats},
+        (select string_agg(source || '=' || c, '|' order by c desc, source) from (
+            select source, count(*) as c from corpus group by 1 order by 2 desc, 1 limit 20)) as sources,
+        {listed('heading_counts', 'select * from heads')},
+        {listed('extraction_mode_counts', 'select r.m as k, count(*) as n from categories group by 1')},
+        {listed('category_counts', 'select category as k, count(*) as n from named group by 1')},
+        {listed('heading_rates', 'select k, cast(round(round(heads.n / total.n, 4) * 10000) as int) as n from heads, total')},
+        md5({listed('x', 'select * from chosen').rsplit(' as ', 1)[0]}) as examples_md5 from total"""
     sql["quality_summary"] = f"""with {LABELED}
         select 'rows_per_source' as metric, source as key, cast(count(*) as double) as value from labeled group by source
         union all select 'rows_per_label', cast(label as varchar), count(*) from labeled group by label
@@ -404,9 +435,17 @@ def oracle() -> dict[str, str]:
     sql["slice_rows"] = f"select id, source from ({ids}) order by {rank_of()} limit 75 offset 50"
     sql["shuffle_rows"] = ids
     sql["holdout_split"] = f"with {SPLIT_SETS} select id, source, verdict, part as split from sets"
-    sql["stratified_split"] = f"""with {ASSIGNED}, ranked as (select *, row_number() over (partition by cluster_id order by {rank_of()}) as r,
-        count(*) over (partition by cluster_id) as n from assigned)
-        select id, cluster_id, case when r <= floor(0.1::double * n + 0.5) then 'test' else 'train' end as split from ranked"""
+    sql["stratified_split"] = f"""with {ASSIGNED}, {shares('assigned', 'cluster_id')}, ranked as (
+        select *, row_number() over (partition by cluster_id order by {rank_of()}) as r from assigned)
+        select id, cluster_id, case when r <= wanted then 'test' else 'train' end as split from ranked join shares using (cluster_id)"""
+    sql["stratified_split_many_labels"] = f"""with rows as (select o_orderkey as id, o_custkey % 400 as label from orders),
+        {shares('rows', 'label')}, ranked as (select *, row_number() over (partition by label order by {rank_of()}) as r from rows)
+        select id, label, case when r <= wanted then 'test' else 'train' end as split from ranked join shares using (label)"""
+    sql["sample_exact_repeated_keys"] = """select conv_id, turn, role from conversations order by md5('42:' || role), role,
+        md5('42:{\"conv_id\":' || conv_id || ',\"turn\":' || turn || ',\"role\":\"' || role || '\"}') limit 50"""
+    sql["sample_per_group_nulls"] = """select l_orderkey, l_linenumber, flag from (
+        select *, row_number() over (partition by flag order by md5('42:' || k), k) as r
+        from (select *, nullif(l_returnflag, 'R') as flag, l_orderkey || ':' || l_linenumber as k from lineitem)) where r <= 700"""
     sql["sample_per_group"] = f"""select id, source from (select *, row_number() over (partition by source order by {rank_of()}) as r from ({ids}))
         where r <= 10"""
     sql["sample_per_group_large"] = """select l_orderkey, l_linenumber, l_returnflag from (
@@ -434,7 +473,7 @@ def oracle() -> dict[str, str]:
 
     # similarity and runs
     sql["similarity_levenshtein"] = f"""with {TWO} select id, round(case when a = '' or b = '' then 0.0
-        else 1.0 - levenshtein(a, b) / greatest(len(a), len(b)) end, 6) as score from two"""
+        else 1.0 - levenshtein({narrow('a')}, {narrow('b')}) / greatest(len(a), len(b)) end, 6) as score from two"""
     sql["similarity_jaccard"] = f"with {TWO} select id, round({jaccard('a', 'b')}, 6) as score from two"
     sql["mean_similarity"] = f"""with {TWO} select count(*) as rows, round(avg({jaccard('a', 'b')}), 4) as mean_score from two"""
     wide = ", ".join(f"md5(max(output) filter (run = {i})) as run_{i}_output" for i in range(1, 6))
@@ -470,21 +509,46 @@ def oracle() -> dict[str, str]:
         round(recall, 6) as recall, round(f1, 6) as f1 from scores"""
 
     # whole flows, sources and sinks
-    sql["finetune_set"] = f"""with {SPLIT_SETS}, {ASSIGNED},
+    every = f"""{SPLIT_SETS}, {ASSIGNED},
         lab_in as (select id, text, verdict as span, cluster_id, part, verdict from sets join assigned using (id)), {masking('lab_in')},
-        usable as (select *, row_number() over (partition by cluster_id order by {rank_of()}) as k, count(*) over (partition by cluster_id) as m
-          from masked where part = 'train' and len(out) > 0),
+        usable as (select *, row_number() over (partition by cluster_id order by {rank_of()}) as k
+          from masked where part = 'train' and len(out) > 0), {shares('usable', 'cluster_id')},
         every_row as (
           select id, cluster_id as label, 'train_regex_masked' as source,
-            case when k <= floor(0.1::double * m + 0.5) then 'test' else 'train' end as split, removed, changed, span_text, out, null as llm
-          from usable
-          union all select id, cluster_id, 'gold_regex_masked', 'test', removed, changed, span_text, out, left(verdict, 20) from masked where part = 'test')
-        select id, label, source, split, removed as verdict_removed, changed as tail_cues_removed,
+            case when k <= wanted then 'test' else 'train' end as split, removed, changed, span_text, out, null as llm
+          from usable join shares using (cluster_id)
+          union all select id, cluster_id, 'gold_regex_masked', 'test', removed, changed, span_text, out, left(verdict, 20) from masked where part = 'test')"""
+    sql["finetune_set"] = f"""with {every} select id, label, source, split, removed as verdict_removed, changed as tail_cues_removed,
           span_text <> '' and contains(out, span_text) as possible_leakage, md5(out) as text_md5, llm as llm_verdict_text from every_row"""
+    sql["finetune_written"] = f"with {every} select id, md5(out) as text_md5, label, source, split from every_row"
+    sql["quality_summary_all"] = f"""with {every}, leaks as (select *, span_text <> '' and contains(out, span_text) as leak from every_row)
+        select 'rows_per_source' as metric, source as key, cast(count(*) as double) as value from leaks group by source
+        union all select 'rows_per_label', cast(label as varchar), count(*) from leaks group by label
+        union all select 'rate', 'verdict_removed', round(avg(removed::int), 4) from leaks
+        union all select 'rate', 'possible_leakage', round(avg(leak::int), 4) from leaks"""
+    sql["quality_rows"] = f"with {LABELED} select id, label, md5(text) as text_md5, md5(verdict_text) as span_md5 from labeled"
+    sql["cleaned_shards"] = f"with {CORPUS} select id, md5({full('text')}) as clean_md5, true as has_shard from corpus"
+    sql["ingest_corpus"] = "select doc_id, md5(text) as text_md5, lang, source, n_chars from documents"
+    sql["label_map_import"] = f"with {MERGED} select c.id, m.new_id as cluster_id, m.name as category from clustered c join merged m using (cluster_id)"
+    sql["peek_rows"] = "select doc_id, lang, source from documents order by doc_id limit 10"
+    sql["categorize_together"] = f"""with {MERGED} select c.id, d.source, m.new_id as cluster_id, m.name as category,
+        case when d.doc_id in (select doc_id from labels) then 'train' else 'test' end as part
+        from clustered c join merged m using (cluster_id) join documents d on c.id = cast(d.doc_id as varchar)"""
+    sql["separator_headings"] = sql["extract_bounded_rows"]
+    sql["merge_clusters_unchanged"] = f"""with {CLUSTERED} select id, cluster_id,
+        case when cluster_id = 1 then 'x Temyiz' else 'Grup ' || cluster_id end as category from clustered"""
+    sql["label_ids"] = f"""with {ASSIGNED} select distinct cluster_id as label,
+        case cluster_id when 0 then 'sıfır' when 5 then 'beş' else 'LABEL_' || cluster_id end as name from assigned"""
     sql["corpus_roundtrip"] = f"with {SPLIT_SETS} select id, verdict, part as split from sets where part = 'test'"
     sql["csv_roundtrip"] = f"with {found()} select id, source, verdict from v"
     sql["label_map_roundtrip"] = f"with {MERGED} select c.id, m.new_id as cluster_id, m.name as category from clustered c join merged m using (cluster_id)"
-    sql["text_report"] = f"with {found()} select id from v"
+    rule, end = "-" * 40, "=" * 80
+    tail_text = "'...' || replace(right(text, 300), chr(10), '  ')"
+    block = (
+        f"['DECISION: ' || id, {q(rule)}, 'END OF THE TEXT:', {tail_text}, '', 'EXTRACTED:', replace(verdict, chr(10), '  '), '', {q(end)}]"
+    )
+    sql["text_report"] = f"""with {found()} select md5(line) as line_md5, count(*) as count
+        from (select unnest({block}) as line from v) group by 1"""
     sql["stream_extract"] = sql["extract_bounded_rows"]
     sql["stream_enrich"] = f"with {PROMPTS} select id, {echo} as output_md5, 'ok' as status from prompts"
     return sql

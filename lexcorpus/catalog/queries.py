@@ -25,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 # Words left out by run 1..5 of the stand-in for a model that varies.
 RUN_WORDS = ("the", "of", "and", "to", "in")
 ECHO_CHARS = 300
+# Size of the sampled vocabulary report; the sample is its feature.
+RESIDUAL_ROWS = 1000
 
 
 def query(fn: Query) -> Query:
@@ -181,14 +183,14 @@ def residual_bigrams(spark, sf_dir):
 
 @query
 def residual_sample_terms(spark, sf_dir):
-    """Vocabulary of 1,000 texts without headings, as the report samples them."""
-    terms, _, _ = vocabulary.residual_vocabulary(corpus(spark, sf_dir))
+    """Vocabulary of a sample of the texts without headings."""
+    terms, _, _ = vocabulary.residual_vocabulary(corpus(spark, sf_dir), RESIDUAL_ROWS)
     return terms
 
 
 @query
 def residual_sample_examples(spark, sf_dir):
-    return vocabulary.residual_vocabulary(corpus(spark, sf_dir))[2]
+    return vocabulary.residual_vocabulary(corpus(spark, sf_dir), RESIDUAL_ROWS)[2]
 
 
 # -- masking ---------------------------------------------------------------
@@ -267,18 +269,36 @@ def audit_examples(spark, sf_dir):
 
 @query
 def audit_report(spark, sf_dir):
-    """The report of a 20,000-row sample, written as JSON and read back."""
+    """The report over the whole corpus, written as JSON and read back; every part of it."""
     report, _ = audit.audit_report(corpus(spark, sf_dir))
     path = scratch_path(spark, "report")
     writers.write_json_report(report, path)
-    return spark.read.schema(report.schema).json(path).select(
+
+    def listed(entries, text):
+        return F.array_join(F.array_sort(F.transform(entries, text)), "|")
+
+    def entries(name):
+        return F.map_entries(F.from_json(F.to_json(name), "map<string,string>"))
+
+    back = spark.read.schema(report.schema).json(path)
+    stats = [
+        F.col(f"{part}_length_stats.{name}").alias(f"{part}_{name}") for part in ("char", "word") for name in audit.STATS
+    ]
+    return back.select(
         "total_rows",
         "sample_size",
-        F.col("char_length_stats.p95").alias("chars_p95"),
-        F.col("word_length_stats.median").alias("words_median"),
-        F.element_at("source_top_20", 1)["source"].alias("first_source"),
-        F.try_element_at("heading_rates", F.lit("karar")).alias("karar_rate"),
-        F.size("category_examples").alias("categories"),
+        *stats,
+        F.array_join(F.transform("source_top_20", lambda x: F.concat(x["source"], F.lit("="), x["count"])), "|").alias("sources"),
+        *[
+            listed(entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias(c)
+            for c in ("heading_counts", "extraction_mode_counts", "category_counts")
+        ],
+        listed(
+            F.map_entries("heading_rates"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("int"))
+        ).alias("heading_rates"),
+        F.md5(
+            listed(F.map_entries("category_examples"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";")))
+        ).alias("examples_md5"),
     )
 
 
@@ -287,6 +307,18 @@ def quality_summary(spark, sf_dir):
     return datasets.quality_summary(_labeled(spark, sf_dir))
 
 
+@query
+def quality_summary_all(spark, sf_dir):
+    """Training and gold rows together."""
+    return datasets.quality_summary(_finetune(spark, sf_dir))
+
+
+@query
+def quality_rows(spark, sf_dir):
+    out = datasets.quality_rows(_labeled(spark, sf_dir))
+    return out.select("id", "label", F.md5("model_input_text").alias("text_md5"), F.md5("removed_verdict_text").alias("span_md5"))
+
+
 # -- samples and splits ----------------------------------------------------
 
 
@@ -327,6 +359,28 @@ def sample_per_group_large(spark, sf_dir):
     return sampling.sample_per_group(rows, "l_returnflag", 2000, 42, ("l_orderkey", "l_linenumber"))
 
 
+@query
+def sample_per_group_nulls(spark, sf_dir):
+    """A null group is sampled like the others."""
+    flag = F.nullif(F.col("l_returnflag"), F.lit("R")).alias("flag")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", flag)
+    return sampling.sample_per_group(rows, "flag", 700, 42, ("l_orderkey", "l_linenumber"))
+
+
+@query
+def sample_exact_repeated_keys(spark, sf_dir):
+    """The key has three values; the size is exact all the same."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return sampling.sample_exact(rows, 50, 42, "role")
+
+
+@query
+def stratified_split_many_labels(spark, sf_dir):
+    """Labels of a few rows each still give the whole share."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 400).alias("label"))
+    return sampling.stratified_split(rows, "label")
+
+
 # -- labels ----------------------------------------------------------------
 
 
@@ -395,6 +449,25 @@ def merged_assignments(spark, sf_dir):
     return _merged(spark, sf_dir)[1]
 
 
+@query
+def merge_clusters_unchanged(spark, sf_dir):
+    """No two clusters have one name: ids and names stay, also the one that holds the keyword."""
+    clusters = source_clusters(spark, sf_dir)
+    number = F.col("cluster_id").cast("string")
+    named = F.when(F.col("cluster_id") == 1, F.lit("x Temyiz")).otherwise(F.concat(F.lit("Grup "), number))
+    names = materialize(clusters.select("cluster_id", named.alias("name")).distinct(), "clusters")
+    merged, moved = labels.merge_clusters(names, clusters.select("id", "cluster_id"))
+    return labels.lookup_names(moved, merged)
+
+
+@query
+def label_ids(spark, sf_dir):
+    """From the name of a label back to the label."""
+    known = labels.distinct_labels(assignments(spark, sf_dir), "cluster_id").withColumnRenamed("cluster_id", "label")
+    named = known.sparkSession.createDataFrame([(0, "sıfır"), (5, "beş")], "cluster_id int, name string")
+    return labels.label_ids(labels.label_names(known, named))
+
+
 # -- similarity and runs ---------------------------------------------------
 
 
@@ -403,9 +476,9 @@ def _without(word: str, c: Column) -> Column:
 
 
 def _two_texts(spark, sf_dir):
-    ascii_only = F.regexp_replace("verdict", r"[^\x00-\x7F]", "")
+    text = F.col("verdict")
     return verdicts(spark, sf_dir).select(
-        "id", ascii_only.alias("a"), _without(RUN_WORDS[0], _without(RUN_WORDS[1], ascii_only)).alias("b")
+        "id", text.alias("a"), _without(RUN_WORDS[0], _without(RUN_WORDS[1], text)).alias("b")
     )
 
 
@@ -550,7 +623,7 @@ def categorize_from_map(spark, sf_dir):
 @query
 def classification_metrics(spark, sf_dir):
     scored = table(spark, sf_dir, "embeddings").select(
-        argmax(F.slice("embedding", 1, 12)).alias("prediction"), "label"
+        argmax(F.col("embedding")).alias("prediction"), "label"
     )
     out = metrics.classification_metrics(scored)
     return out.select("rows", *[six(c).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
@@ -559,7 +632,7 @@ def classification_metrics(spark, sf_dir):
 @query
 def class_scores(spark, sf_dir):
     scored = table(spark, sf_dir, "embeddings").select(
-        argmax(F.slice("embedding", 1, 12)).alias("prediction"), "label"
+        argmax(F.col("embedding")).alias("prediction"), "label"
     )
     out = metrics.class_scores(scored)
     return out.select(
@@ -580,18 +653,82 @@ def classifier_eval(spark, sf_dir):
 # -- whole flows, sources and sinks ----------------------------------------
 
 
-@query
-def finetune_set(spark, sf_dir):
+def _finetune(spark, sf_dir):
     sets = materialize(datasets.prepare_datasets(corpus(spark, sf_dir), 50), "sets")
     train, gold = (sets.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     results = gold.select("id", F.left("verdict", F.lit(20)).alias("output"))
-    out = datasets.build_finetune_set(train, gold, assignments(spark, sf_dir), results)
-    return out.select(
+    return datasets.build_finetune_set(train, gold, assignments(spark, sf_dir), results)
+
+
+@query
+def finetune_set(spark, sf_dir):
+    return _finetune(spark, sf_dir).select(
         "id", "label", "source", "split", "verdict_removed", "tail_cues_removed", "possible_leakage",
         F.md5("text").alias("text_md5"), "llm_verdict_text",
     )
 
 
+@query
+def finetune_written(spark, sf_dir):
+    """The set as it is handed over: four columns in one folder per split, read back."""
+    path = scratch_path(spark, "finetune")
+    writers.write_corpus(datasets.finetune_columns(_finetune(spark, sf_dir)), path, "split")
+    back = readers.read_corpus(spark, path)
+    return back.select("id", F.md5("text").alias("text_md5"), "label", "source", "split")
+
+
+@query
+def cleaned_shards(spark, sf_dir):
+    """Shards with their canonical text beside the text; every row keeps the name of its shard."""
+    shards, cleaned = scratch_path(spark, "shards"), scratch_path(spark, "cleaned")
+    writers.write_corpus(corpus(spark, sf_dir), shards)
+    datasets.write_cleaned(spark, shards, cleaned)
+    back = readers.read_corpus(spark, cleaned)
+    named = F.col("shard").startswith("part-") & F.col("shard").endswith(".parquet")
+    return back.select("id", F.md5("text_clean").alias("clean_md5"), named.alias("has_shard"))
+
+
+@query
+def ingest_corpus(spark, sf_dir):
+    path = scratch_path(spark, "ingested")
+    back = readers.ingest_corpus(spark, f"{sf_dir}/documents.parquet", "parquet", path)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+@query
+def label_map_import(spark, sf_dir):
+    """The label map as one JSON document."""
+    path = scratch_path(spark, "map-json")
+    clusters, assigned = _merged(spark, sf_dir)
+    names = F.map_from_entries(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "name")))
+    moved = F.map_from_entries(F.collect_list(F.struct("id", "cluster_id")))
+    document = clusters.agg(names.alias("cluster_names")).crossJoin(assigned.agg(moved.alias("data_mapping")))  # one row each
+    writers.write_json_report(document, path)
+    saved = readers.read_label_map(spark, path)
+    return labels.lookup_names(saved[1], saved[0])
+
+
+@query
+def peek_rows(spark, sf_dir):
+    return readers.peek(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 10, "doc_id")
+
+
+@query
+def categorize_together(spark, sf_dir):
+    """Two sets categorised as one and split again."""
+    rows = corpus(spark, sf_dir).select("id", "source")
+    train = labels.members(rows, assignments(spark, sf_dir))
+    parts, _, _ = categorize.categorize_sets({"train": train, "test": labels.complement(rows, assignments(spark, sf_dir))}, mapping=_merged(spark, sf_dir))
+    return labels.union_tagged("part", **parts)
+
+
+@query
+def separator_headings(spark, sf_dir):
+    """Separators U+001C to U+001F count as white space inside a heading."""
+    spaced = F.replace("text", F.lit("SONUÇ:\n"), F.lit("SONUÇ\x1d:"))
+    return extraction.with_verdict(corpus(spark, sf_dir).withColumn("text", spaced)).select("id", "verdict")
+
+
 @query
 def corpus_roundtrip(spark, sf_dir):
     """Split table written by split folder; only the test folder is read back."""
@@ -620,7 +757,7 @@ def label_map_roundtrip(spark, sf_dir):
 
 @query
 def text_report(spark, sf_dir):
-    """Readable blocks; read back as lines, of which the key lines are shown."""
+    """Readable blocks, read back as lines."""
     path = scratch_path(spark, "text")
     rows = verdicts(spark, sf_dir)
     block = writers.text_block(
@@ -632,9 +769,7 @@ def text_report(spark, sf_dir):
         },
     )
     writers.write_text_report(rows, block, path)
-    return spark.read.text(path).where(F.col("value").startswith("DECISION: ")).select(
-        F.substring("value", 11, 40).alias("id")
-    )
+    return spark.read.text(path, lineSep="\n").groupBy(F.md5("value").alias("line_md5")).count()
 
 
 @query

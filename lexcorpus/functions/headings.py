@@ -12,10 +12,6 @@ from .bind import let
 from .text import canonicalize, fold_tr, head, strip, tail
 
 
-# Characters kept before the earliest valid heading, for word boundaries.
-LEFT_CONTEXT = 64
-
-
 def holds_needle(text: Column, rule: rules.Rule | str) -> Column | None:
     """Cheap condition that every match of the rule needs; None when there is none."""
     needles = rule.needles if isinstance(rule, rules.Rule) else ()
@@ -45,7 +41,7 @@ def last_match_start(text: Column, pieces: Column, pattern: str, group: int = 0)
 
 def extract_tail(
     c: Column,
-    patterns: Sequence[str] = rules.STRICT,
+    patterns: Sequence[rules.Rule | str] = rules.STRICT,
     min_pos: float = rules.MIN_HEADING_POSITION,
     min_len: int = rules.MIN_VERDICT_CHARS,
     max_len: int | None = None,
@@ -53,8 +49,8 @@ def extract_tail(
     """Text after the last heading in the later part of the text, or null.
 
     Patterns are tried in order; a pattern whose tail is too short (or longer
-    than ``max_len``) gives way to the next one. Only the part of the text
-    where a heading counts is scanned. A pattern must not be able to match
+    than ``max_len``) gives way to the next one. When every rule declares its
+    context, only the part of the text where a heading counts is scanned. A pattern must not be able to match
     inside another match of itself; then the last match is the same wherever
     the scan starts, and one ``split`` finds its tail.
     """
@@ -74,10 +70,13 @@ def extract_tail(
         )
 
     def tails(n: Column, late: Column) -> Column:
-        return F.coalesce(*[by_pattern(n, late, p) for p in patterns])
+        return F.coalesce(*[by_pattern(n, late, pattern_of(p)) for p in patterns])
 
     def scanned(text: Column, n: Column) -> Column:
-        kept = n - F.floor(n * F.lit(float(min_pos))).cast("int") + LEFT_CONTEXT
+        contexts = [p.context if isinstance(p, rules.Rule) else None for p in patterns]
+        if None in contexts:
+            return tails(n, text)
+        kept = n - F.floor(n * F.lit(float(min_pos))).cast("int") + max(contexts, default=0)
         return let(F.right(text, kept), lambda late: tails(n, late))
 
     return let(

@@ -43,7 +43,7 @@ def _jaccard(a: Column, b: Column) -> Column:
     return let(word_set(a), lambda x: let(word_set(b), lambda y: jaccard_of_sets(x, y)))
 
 
-def similarity(a: Column, b: Column, method: str = "ratio", stripped: bool = True) -> Column:
+def similarity(a: Column, b: Column, method: str = "jaccard", stripped: bool = True) -> Column:
     """Similarity that is 0.0 whenever a side is null or empty, also when both are."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")

@@ -30,7 +30,7 @@ def consistency(
     n_runs: int = 5,
     key: str = "id",
     output: str = "output",
-    method: str = "ratio",
+    method: str = "jaccard",
     out: str = "avg_consistency_score",
 ) -> DataFrame:
     """Mean similarity over all pairs of runs of a record, with the runs as columns.
@@ -60,7 +60,7 @@ def consistency(
 
 
 def similarity_report(
-    df: DataFrame, a: str, b: str, method: str = "ratio", out: str = "regex_vs_llm_similarity"
+    df: DataFrame, a: str, b: str, method: str = "jaccard", out: str = "regex_vs_llm_similarity"
 ) -> DataFrame:
     """The rows with a similarity column; :func:`mean_score` gives the mean."""
     return df.withColumn(out, similarity(F.col(a), F.col(b), method))

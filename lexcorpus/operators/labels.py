@@ -67,23 +67,34 @@ def merge_map(
     """``(cluster_id, new_id, name)``: clusters of one name share an id.
 
     Names that hold the keyword are renamed first. New ids count up from 0 in
-    the order in which names first appear. One row per cluster.
+    the order in which names first appear. Where no two clusters have one name then, nothing
+    changes, neither names nor ids. One row per cluster.
     """
-    named = clusters.withColumn(
-        "name", F.when(F.contains("name", F.lit(keyword)), F.lit(name)).otherwise(F.col("name"))
-    )
-    first = named.withColumn("_first", F.min("cluster_id").over(Window.partitionBy("name")))
+    renamed = F.when(F.contains("name", F.lit(keyword)), F.lit(name)).otherwise(F.col("name"))
+    named = clusters.select("cluster_id", "name", renamed.alias("_name"))
+    twice = F.coalesce(named.groupBy("_name").count().agg(F.max("count") > 1).scalar(), F.lit(False))
+    first = named.withColumn("_first", F.min("cluster_id").over(Window.partitionBy("_name")))
     new_id = (F.dense_rank().over(Window.orderBy("_first")) - 1).cast("int")
-    return first.select("cluster_id", new_id.alias("new_id"), "name")
+    return first.select("cluster_id", "name", "_name", new_id.alias("_new")).select(
+        "cluster_id",
+        F.when(twice, F.col("_new")).otherwise(F.col("cluster_id")).alias("new_id"),
+        F.when(twice, F.col("_name")).otherwise(F.col("name")).alias("name"),
+    )
 
 
 def merge_clusters(
     clusters: DataFrame, assignments: DataFrame, key: str = "id", **names: str
 ) -> tuple[DataFrame, DataFrame]:
-    """The cluster table and the assignments after merging clusters of one name."""
+    """The cluster table and the assignments after merging clusters of one name.
+
+    An assignment to a cluster that the table lacks is an error.
+    """
     mapping = merge_map(clusters, **names)
     merged = mapping.select(F.col("new_id").alias("cluster_id"), "name").distinct()
-    moved = assignments.join(mapping, "cluster_id").select(key, F.col("new_id").alias("cluster_id"))
+    unknown = F.raise_error(F.concat(F.lit("unknown cluster "), F.coalesce(F.col("cluster_id").cast("string"), F.lit("null"))))
+    moved = assignments.join(mapping.withColumn("_known", F.lit(True)), "cluster_id", "left").select(
+        key, F.when(F.col("_known"), F.col("new_id")).otherwise(unknown.cast("int")).alias("cluster_id")
+    )
     return merged, moved
 
 
@@ -96,6 +107,13 @@ def label_names(labels: DataFrame, clusters: DataFrame, label: str = "label") ->
     )
 
 
+def label_ids(names: DataFrame, label: str = "label") -> DataFrame:
+    """``(name, label)``, the inverse of :func:`label_names`; a name that two labels share is an error."""
+    twice = F.raise_error(F.concat(F.lit("two labels are named "), F.col("name")))
+    ids = names.groupBy("name").agg(F.min(label).alias(label), F.count(F.lit(1)).alias("n"))
+    return ids.select("name", F.when(F.col("n") == 1, F.col(label)).otherwise(twice.cast("int")).alias(label))
+
+
 def class_weights(df: DataFrame, label: str = "label", num_labels: int | None = None) -> DataFrame:
     """``(label, n, weight)`` with ``weight = sum(c) / (K * c)``, ``c = max(count, 1)``.
 

@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def confusion(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """``(label, prediction, n)``."""
-    return df.groupBy(
+    """``(label, prediction, n)`` of the rows that have both; see :func:`incomplete_rows` for the others."""
+    known = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    return df.where(known).groupBy(
         F.col(label).cast("long").alias("label"), F.col(prediction).cast("long").alias("prediction")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def incomplete_rows(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
+    """One row: how many rows lack a label, and how many only a prediction."""
+    return df.agg(
+        F.count_if(F.col(label).isNull()).alias("without_label"),
+        F.count_if(F.col(label).isNotNull() & F.col(prediction).isNull()).alias("without_prediction"),
+    )
+
+
 def class_scores(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
     """``(class, tp, support, predicted, precision, recall, f1)`` for every class seen
     in labels or predictions; a score without a denominator is 0."""

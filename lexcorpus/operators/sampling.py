@@ -1,11 +1,12 @@
 """Seeded samples, splits and slices that do not depend on partitioning.
 
-Rows are ordered by ``md5(seed:key)``. The key must identify a row: copies of
-one key are taken or left together. A sample is what lies at or below a *cutoff* of that order. The cutoff is found from
-narrow rows (hash and key only): counts per hash prefix give the prefix in
-which the n-th row lies, and only that prefix is ranked. The rows themselves
-are then filtered where they are, without a shuffle, however large the sample
-is and however the rows are spread over groups.
+Rows are ordered by ``md5(seed:key)``. A sample is what lies at or below a *cutoff* of that order.
+The cutoff is found from narrow rows (hash and key only): counts per hash prefix give the prefix in
+which the n-th row lies, and only that prefix is ranked. The rows themselves are then filtered
+where they are, without a shuffle, however large the sample is and however the rows are spread over
+groups. Sizes are exact for every ``n``: only if several rows share the key of the n-th row, those
+rows, and no others, are ordered among themselves by a hash of all their columns. A null key is a
+key, a null group is a group.
 
 The rows are looked at three times (twice for the key only). When they come
 from an expensive step, write them first (``session.materialize``).
@@ -22,10 +23,7 @@ from .schema import require_columns
 
 # 16**4 prefixes: the histogram has at most 65,536 rows per group.
 PREFIX_DIGITS = 4
-# Per-group samples up to this size are cut by ranks before the shuffle;
-# it must not exceed spark.sql.optimizer.windowGroupLimitThreshold.
-RANKED_LIMIT = 1000
-SALTS = 64
+Target = Callable[[Column], Column]
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -38,81 +36,99 @@ def hash_order(seed: int, key: str | Sequence[str]) -> Column:
     return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), text)).alias("h"), text.alias("k"))
 
 
-def _edges(rows: DataFrame, groups: list[str], target: Callable[[Column], Column]) -> DataFrame:
-    """Per group: the prefix that holds row number ``target(total)`` and how many
-    rows of that prefix are still needed."""
-    hist = rows.groupBy(*groups, "b").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*groups).orderBy("b"))
-    total = F.sum("n").over(Window.partitionBy(*groups))
-    return (
-        hist.withColumn("upto", upto)
-        .withColumn("want", target(total).cast("long"))
-        .where((F.col("upto") - F.col("n") < F.col("want")) & (F.col("upto") >= F.col("want")))
-        .select(*groups, "b", (F.col("want") - F.col("upto") + F.col("n")).alias("need"))
-    )
-
-
-def _narrow(df: DataFrame, groups: list[str], seed: int, key: str | Sequence[str]) -> DataFrame:
-    require_columns(df, *groups, *_keys(key))
-    order = hash_order(seed, key)
-    return df.select(*groups, order.alias("o")).withColumn(
-        "b", F.substring("o.h", 1, PREFIX_DIGITS)
-    )
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a null equals a null; the columns of ``right`` that are named are dropped."""
+    if not names:
+        return left.crossJoin(right)  # one row
+    other = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
+    on = [left[n].eqNullSafe(other[f"_same_{n}"]) for n in names]
+    return left.join(other, on, how).drop(*[f"_same_{n}" for n in names])
 
 
-def _at_need(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """The order value at which the rows of a prefix reach ``need``.
+def _cutoffs(rows: DataFrame, groups: list[str], target: Target, carried: Sequence[str] = ()) -> DataFrame:
+    """``(groups…, cut, need, equal)``: per group the order value of row number ``target(total)``.
 
-    Equal order values are counted first, so copies of one key cost one row.
+    ``rows`` has the groups, the order ``o`` and, constant per group, ``carried``. ``equal`` rows
+    have the value ``cut``, and ``need`` of them belong to the first rows. A group without
+    first rows is left out. Only the rows of one prefix per group are ranked, and equal order
+    values are counted first, so neither a hot group nor a hot key is brought together in one task.
     """
-    counted = rows.groupBy(*groups, "b", "need", "o").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*groups, "b").orderBy("o"))
-    return counted.withColumn("upto", upto).where(
-        (F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))
+    rows = rows.withColumn("b", F.substring("o.h", 1, PREFIX_DIGITS))
+    hist = rows.groupBy(*groups, *carried, "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*groups).orderBy("b"))
+    total = F.sum("n").over(Window.partitionBy(*groups))
+    edges = materialize(
+        hist.withColumn("upto", upto)
+        .withColumn("want", F.least(target(total), total).cast("long"))
+        .where((F.col("upto") - F.col("n") < F.col("want")) & (F.col("upto") >= F.col("want")))
+        .select(*groups, "b", (F.col("want") - F.col("upto") + F.col("n")).alias("short")),
+        "edges",
     )
+    inside = _same(rows.drop(*carried), edges, [*groups, "b"])
+    counted = inside.groupBy(*groups, "b", "short", "o").agg(F.count(F.lit(1)).alias("equal"))
+    ranked = counted.withColumn("upto", F.sum("equal").over(Window.partitionBy(*groups, "b").orderBy("o")))
+    cut = ranked.where((F.col("upto") >= F.col("short")) & (F.col("upto") - F.col("equal") < F.col("short")))
+    need = F.col("short") - F.col("upto") + F.col("equal")
+    return materialize(cut.select(*groups, F.col("o").alias("cut"), need.alias("need"), "equal"), "cutoffs")
 
 
-def cutoff(df: DataFrame, n: int, seed: int, key: str | Sequence[str], strict: bool = False) -> Column:
-    """Scalar subquery: the n-th smallest order value, or the last if there are fewer.
-
-    Null when ``n`` is 0. ``strict`` raises when there are fewer than ``n`` rows.
-    """
-
-    def target(total: Column) -> Column:
-        if strict:
-            too_few = F.raise_error(F.lit(f"fewer than {n} rows to sample from"))
-            return F.when(total >= n, F.lit(n)).otherwise(too_few.cast("int"))
-        return F.least(total, F.lit(n))
-
-    rows = _narrow(df, [], seed, key)
-    edge = _edges(rows, [], target).select(F.struct("b", "need").alias("e")).scalar()
-    inside = rows.where(F.col("b") == edge["b"]).withColumn("need", edge["need"])
-    return _at_need(inside, []).select("o").scalar()
-
-
-def group_cutoffs(
+def _marked(
     df: DataFrame,
-    group: str,
-    target: Callable[[Column], Column],
+    target: Target,
+    out: str,
     seed: int,
     key: str | Sequence[str],
+    groups: Sequence[str] = (),
+    carried: DataFrame | None = None,
 ) -> DataFrame:
-    """``(group, cut)``: per group the order value of row number ``target(total)``.
+    """``df`` with ``out``: true for the first ``target(total)`` rows of every group.
 
-    Only the rows of one prefix per group are ranked, so a group that holds a
-    third of all rows is never brought together in one task.
+    ``carried`` is a table of one row per group whose further columns ``target`` may use.
     """
-    rows = _narrow(df, [group], seed, key).where(F.col(group).isNotNull())
-    edges = materialize(_edges(rows, [group], target), "edges")
-    cuts = _at_need(rows.join(edges, [group, "b"]), [group]).select(group, F.col("o").alias("cut"))
-    return materialize(cuts, "cutoffs")
+    groups = list(groups)
+    require_columns(df, *groups, *_keys(key))
+    order = hash_order(seed, key)
+    rows = df.select(*groups, order.alias("o"))
+    more = [c for c in carried.columns if c not in groups] if carried is not None else []
+    if carried is not None:
+        rows = _same(rows, carried, groups)
+    cuts = _cutoffs(rows, groups, target, more)
+    tied = not cuts.where("need < equal").isEmpty()
+    if groups:
+        joined = _same(df, cuts, groups, "left")
+    else:
+        row = cuts.first()  # one row at most
+        if row is None:
+            return df.withColumn(out, F.lit(False))
+        value = F.struct(F.lit(row.cut.h).alias("h"), F.lit(row.cut.k).alias("k"))
+        joined = df.withColumn("cut", value).withColumn("need", F.lit(row.need)).withColumn("equal", F.lit(row["equal"]))
+    if not tied:
+        return joined.withColumn(out, F.coalesce(order <= F.col("cut"), F.lit(False))).select(*df.columns, out)
+    tie = F.coalesce((order == F.col("cut")) & (F.col("need") < F.col("equal")), F.lit(False))
+    sure = joined.where(~tie).withColumn(out, F.coalesce(order <= F.col("cut"), F.lit(False)))
+    # rows equal in every column are told apart by their place in the written table
+    ties = materialize(joined.where(tie).select(*df.columns, "need").withColumn("_place", F.monotonically_increasing_id()), "ties")
+    among = F.struct(
+        F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*df.columns)))).alias("h"),
+        F.lpad(F.col("_place").cast("string"), 20, "0").alias("k"),
+    )
+    inner = _cutoffs(ties.select(*groups, "need", among.alias("o")), groups, lambda _: F.col("need"), ["need"])
+    inner = inner.select(*groups, F.col("cut").alias("_cut"))
+    decided = _same(ties, inner, groups, "left").withColumn(out, among <= F.col("_cut"))
+    return sure.select(*df.columns, out).unionByName(decided.select(*df.columns, out))
+
+
+def _first(df: DataFrame, n: int, out: str, seed: int, key: str | Sequence[str], strict: bool) -> DataFrame:
+    if strict and df.select(*_keys(key)).count() < n:
+        raise ValueError(f"fewer than {n} rows to sample from")
+    return _marked(df, lambda _: F.lit(n), out, seed, key)
 
 
 def sample_exact(
     df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "id", strict: bool = False
 ) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement."""
-    return df.where(hash_order(seed, key) <= cutoff(df, n, seed, key, strict))
+    """Exactly ``min(n, rows)`` rows without replacement. ``strict`` raises if there are fewer than ``n``."""
+    return _first(df, n, "_first", seed, key, strict).where("_first").drop("_first")
 
 
 def holdout_split(
@@ -124,19 +140,18 @@ def holdout_split(
     out: str = "split",
 ) -> DataFrame:
     """Mark exactly ``n`` rows as ``test`` and the others as ``train``."""
-    is_test = hash_order(seed, key) <= cutoff(df, n, seed, key, strict)
-    return df.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    marked = _first(df, n, "_first", seed, key, strict)
+    return marked.withColumn(out, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train"))).drop("_first")
 
 
 def slice_rows(
     df: DataFrame, start: int, end: int, seed: int = 42, key: str | Sequence[str] = "id"
 ) -> DataFrame:
     """Rows at positions ``[start, end)`` of the seeded order."""
-    order = hash_order(seed, key)
-    inside = order <= cutoff(df, end, seed, key)
-    if start > 0:
-        inside = inside & (order > cutoff(df, start, seed, key))
-    return df.where(inside)
+    rows = sample_exact(df, end, seed, key)
+    if start <= 0:
+        return rows
+    return _first(rows, start, "_first", seed, key, False).where("not _first").drop("_first")
 
 
 def share_rows(df: DataFrame, part: int, parts: int, key: str = "id") -> DataFrame:
@@ -152,43 +167,29 @@ def stratified_split(
     key: str | Sequence[str] = "id",
     out: str = "split",
 ) -> DataFrame:
-    """Mark ``floor(fraction * rows + 0.5)`` rows of every label as ``test``.
+    """Mark ``ceil(fraction * rows)`` labelled rows as ``test``, every label with its share.
 
-    Rows without a label stay in ``train``. The cutoff table has one row per
-    label; its true size decides whether the join broadcasts it.
+    A label gets the whole part of ``fraction`` times its rows; the rows still missing go to the
+    labels with the largest remainders (ties: the smaller label). Rows without a label stay in
+    ``train``. The table of shares has one row per label.
     """
-    cuts = group_cutoffs(
-        df, label, lambda total: F.floor(total * F.lit(float(fraction)) + 0.5), seed, key
-    )
-    is_test = F.coalesce(hash_order(seed, key) <= F.col("cut"), F.lit(False))
-    return (
-        df.join(cuts, label, "left")
-        .withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
-        .select(*df.columns, out)
-    )
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()
+    # decimals: 0.1 * 30 is 3, not a little more
+    share = F.col("n") * F.lit(str(fraction)).cast("decimal(18,12)")
+    base = F.floor(share).cast("long")
+    missing = F.ceil(F.sum(share).over(every)).cast("long") - F.sum(base).over(every)
+    place = F.row_number().over(Window.orderBy((share - base).desc(), F.col(label)))
+    wanted = materialize(sizes.select(label, (base + (place <= missing).cast("long")).alias("_wanted")), "shares")
+    marked = _marked(df, lambda _: F.col("_wanted"), "_first", seed, key, [label], wanted)
+    return marked.withColumn(out, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train"))).drop("_first")
 
 
 def sample_per_group(
     df: DataFrame, group: str, n: int, seed: int = 42, key: str | Sequence[str] = "id"
 ) -> DataFrame:
-    """At most ``n`` rows of every group, the first ones of the seeded order.
-
-    Small ``n``: two rounds of ranks, first within salted parts of a group,
-    then over the few rows left. Spark cuts each round to ``n`` rows per part
-    before it shuffles. Large ``n``: one cutoff per group.
-    """
-    require_columns(df, group)
-    if n > RANKED_LIMIT:
-        cuts = group_cutoffs(df, group, lambda total: F.least(total, F.lit(n)), seed, key)
-        kept = df.join(cuts, group).where(hash_order(seed, key) <= F.col("cut"))
-        return kept.select(*df.columns)
-    rows = df.withColumn("_o", hash_order(seed, key)).withColumn(
-        "_salt", F.pmod(F.xxhash64("_o.k"), F.lit(SALTS))
-    )
-    for parts in ([group, "_salt"], [group]):
-        rank = F.row_number().over(Window.partitionBy(*parts).orderBy("_o"))
-        rows = rows.withColumn("_r", rank).where(F.col("_r") <= n)
-    return rows.select(*df.columns)
+    """Exactly ``min(n, rows)`` rows of every group (null is one), the first ones of the seeded order."""
+    return _marked(df, lambda _: F.lit(n), "_first", seed, key, [group]).where("_first").drop("_first")
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key: str | Sequence[str] = "id") -> DataFrame:

@@ -101,7 +101,7 @@ def category_examples(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 def audit_report(
     df: DataFrame,
-    sample_size: int | None = 20_000,
+    sample_size: int | None = None,
     seed: int = 42,
     id: str = "id",
     text: str = "text",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.enrichment import name_clusters
 from ..operators.features import center_terms, fit_clusters, vectorize, vocabulary
-from ..operators.labels import lookup_labels, lookup_names
+from ..operators.labels import lookup_labels, lookup_names, union_tagged
 from ..operators.sampling import sample_per_group
 from ..session import materialize
 
@@ -63,6 +63,14 @@ def categorize(
     return rows.select(*df.columns, "cluster_id", "category"), clusters, assignments
 
 
+def categorize_sets(
+    sets: dict[str, DataFrame], tag: str = "_set", **options
+) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Several sets categorised as one, and split back; options as in :func:`categorize`."""
+    rows, clusters, assignments = categorize(union_tagged(tag, **sets), **options)
+    return {name: split_back(rows, tag, name) for name in sets}, clusters, assignments
+
+
 def split_back(df: DataFrame, tag: str, value: str) -> DataFrame:
     """The rows of one origin, without the tag."""
     return df.where(F.col(tag) == value).drop(tag)

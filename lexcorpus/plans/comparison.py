@@ -14,11 +14,11 @@ from ..operators.extraction import with_verdict
 from ..operators.sampling import sample_exact
 from ..session import materialize
 
-SAMPLE_ROWS, RUNS = 100, 5
+RUNS = 5
 
 
 def extracted_sample(
-    df: DataFrame, n: int | None = SAMPLE_ROWS, seed: int = 42, text: str = "text", key: str = "id",
+    df: DataFrame, n: int | None = None, seed: int = 42, text: str = "text", key: str = "id",
     patterns=rules.STRICT,
 ) -> DataFrame:
     """``n`` rows with a verdict (all of them when ``n`` is None), with ``verdict``."""
@@ -29,7 +29,7 @@ def extracted_sample(
 def comparison_set(
     df: DataFrame,
     model_factory: Callable[[], Model],
-    n: int | None = SAMPLE_ROWS,
+    n: int | None = None,
     seed: int = 42,
     text: str = "text",
     key: str = "id",
@@ -44,7 +44,9 @@ def comparison_set(
         "verdict",
         build_prompt(F.col(text)).alias("prompt"),
     )
-    answers = enrich_text(shown, model_factory, "prompt", (key,), **options)
+    shown = materialize(shown, "compared")
+    # written once: a second look must not call the model again
+    answers = materialize(enrich_text(shown.select(key, "prompt"), model_factory, "prompt", (key,), **options), "answers")
     llm = answers.select(key, F.col("output").alias("hukum_text_llm"))
     return shown.drop("prompt").join(llm, key, "left")
 
@@ -52,12 +54,12 @@ def comparison_set(
 def consistency_report(
     df: DataFrame,
     model_factory: Callable[[], Model],
-    n: int | None = SAMPLE_ROWS,
+    n: int | None = None,
     n_runs: int = RUNS,
     seed: int = 42,
     text: str = "text",
     key: str = "id",
-    method: str = "ratio",
+    method: str = "jaccard",
     patterns=rules.STRICT,
     **options,
 ) -> DataFrame:
@@ -72,7 +74,7 @@ def consistency_report(
     return rows.select(key, "verdict").join(scored, key)
 
 
-def regex_vs_model(df: DataFrame, a: str = "verdict", b: str = "hukum_text_llm", method: str = "ratio"):
+def regex_vs_model(df: DataFrame, a: str = "verdict", b: str = "hukum_text_llm", method: str = "jaccard"):
     """Rows with their similarity, and the mean of it."""
     rows = similarity_report(df, a, b, method)
     return rows, mean_score(rows, "regex_vs_llm_similarity")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import rules
 from ..functions.masking import mask_span
-from ..functions.text import still_contains
+from ..functions.text import canonicalize, still_contains
 from ..operators.counts import true_rate, value_counts
 from ..operators.extraction import with_verdict
 from ..operators.sampling import holdout_split, sample_exact, stratified_split
 from ..operators.schema import require_columns
 from ..session import materialize
+from ..sources.readers import read_corpus
+from ..sources.writers import write_corpus
 
 LABELED_COLUMNS = (
     "id", "text", "label", "source", "verdict_text", "verdict_removed", "tail_cues_removed",
@@ -103,6 +105,12 @@ def build_finetune_set(
     return out.unionByName(test.withColumn("split", F.lit("test")), allowMissingColumns=True)
 
 
+def write_cleaned(spark: SparkSession, source: str, target: str, text: str = "text") -> None:
+    """Shards of ``source`` with ``text_clean`` and the shard name, written to ``target``."""
+    rows = read_corpus(spark, source, shard=True)
+    write_corpus(rows.withColumn("text_clean", canonicalize(F.col(text), null_as_empty=True)), target)
+
+
 def quality_summary(df: DataFrame) -> DataFrame:
     """``(metric, key, value)``: rows per source and label, masking and leakage rates.
 
@@ -140,8 +148,13 @@ def quality_rates(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def quality_rows(df: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """``n`` rows of a labelled frame for reading."""
+def finetune_columns(df: DataFrame) -> DataFrame:
+    """The written form of the set: four columns, and ``split`` as the folder to write by."""
+    return df.select(*FINETUNE_COLUMNS, "split")
+
+
+def quality_rows(df: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """``n`` rows (all of them when ``n`` is None) of a labelled frame for reading."""
     names = {"text": "model_input_text", "verdict_text": "removed_verdict_text"}
     shown = [F.col(c).alias(names.get(c, c)) for c in LABELED_COLUMNS]
-    return sample_exact(df, n, seed, "id").select(*shown)
+    return (df if n is None else sample_exact(df, n, seed, "id")).select(*shown)

@@ -10,12 +10,12 @@ from ..operators.extraction import without_headings
 from ..operators.sampling import sample_exact
 from ..session import materialize
 
-SAMPLE_ROWS, TOP, EXAMPLES, EXAMPLE_CHARS = 1000, 40, 5, 500
+TOP, EXAMPLES, EXAMPLE_CHARS = 40, 5, 500
 
 
 def residual_vocabulary(
     df: DataFrame,
-    sample_size: int | None = SAMPLE_ROWS,
+    sample_size: int | None = None,
     k: int = TOP,
     seed: int = 42,
     text: str = "text",

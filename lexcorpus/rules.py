@@ -16,19 +16,26 @@ class Rule(NamedTuple):
     """A pattern and literals of which every match holds at least one.
 
     A search for a literal is many times cheaper than a regex scan, so the
-    pattern is only tried on texts that hold one of them.
+    pattern is only tried on texts that hold one of them. ``context`` is how many
+    characters before a match decide whether it is one; None if that is not known.
     """
 
     pattern: str
     needles: tuple[str, ...] = ()
+    context: int | None = None
+
+
+def white_space(pattern: str) -> str:
+    """``\\s`` with the separators U+001C to U+001F, which the Java class lacks."""
+    return pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
 def ignore_case(pattern: str) -> str:
-    return "(?iUd)" + pattern
+    return "(?iUd)" + white_space(pattern)
 
 
 def exact_case(pattern: str) -> str:
-    return "(?Ud)" + pattern
+    return "(?Ud)" + white_space(pattern)
 
 
 def any_of(patterns: Iterable[str]) -> str:
@@ -205,7 +212,8 @@ PROMPT_TAIL_CHARS = 2000
 # Rule sets with flags, as used by the operators.
 # --------------------------------------------------------------------------
 
-STRICT = tuple(ignore_case(p) for p in STRICT_PATTERNS)
+# the word boundary looks at one character before the heading
+STRICT = tuple(Rule(ignore_case(p), context=1) for p in STRICT_PATTERNS)
 COLON_HEADINGS = {k: ignore_case(p) for k, p in COLON_HEADING_PATTERNS.items()}
 SPACED_HEADINGS = {k: ignore_case(p) for k, p in SPACED_HEADING_PATTERNS.items()}
 AUDIT_HEADINGS = {

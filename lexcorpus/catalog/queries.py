@@ -557,7 +557,8 @@ def enrich_resume(spark, sf_dir):
     enrichment.enrich_incremental(first, path, echo_model, "first", "prompt")
     out = enrichment.enrich_incremental(rows, path, echo_model, "second", "prompt")
     batch = enrichment.read_prior(spark, path, enrichment.result_schema(rows)).select("id", "batch")
-    return out.join(batch, "id").select("id", F.md5("output").alias("output_md5"), "status", "batch")
+    named = F.regexp_replace("batch", "-[0-9]+$", "").alias("batch")  # without the number of the chunk
+    return out.join(batch, "id").select("id", F.md5("output").alias("output_md5"), "status", named)
 
 
 @query
@@ -702,7 +703,7 @@ def label_map_import(spark, sf_dir):
     clusters, assigned = _merged(spark, sf_dir)
     names = F.map_from_entries(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "name")))
     moved = F.map_from_entries(F.collect_list(F.struct("id", "cluster_id")))
-    document = clusters.agg(names.alias("cluster_names")).crossJoin(assigned.agg(moved.alias("data_mapping")))  # one row each
+    document = clusters.agg(names.alias("cluster_names")).withColumn("data_mapping", assigned.agg(moved).scalar())
     writers.write_json_report(document, path)
     saved = readers.read_label_map(spark, path)
     return labels.lookup_names(saved[1], saved[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -12,18 +13,45 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_label
+from ..session import materialize
+from ..sources.writers import append_results
 from .schema import require_columns
 
 Model = Callable[[str], str]
 
 RESULT_FIELDS = "output string, status string, attempts int, error string"
+CALLS_PER_TASK = 500
+CHUNK_ROWS = 20_000
 
 
-def _call(model: Model, text: str | None, retries: int, pause: float) -> tuple:
+def _limited(model: Model, text: str, limit: float | None) -> str:
+    """One call that is given up after ``limit`` seconds."""
+    if limit is None:
+        return model(text)
+    done: list = []
+
+    def call() -> None:
+        try:
+            done.append((model(text), None))
+        except Exception as exc:
+            done.append((None, exc))
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    thread.join(limit)
+    if not done:
+        raise TimeoutError(f"no answer within {limit:g} s")
+    answer, error = done[0]
+    if error is not None:
+        raise error
+    return answer
+
+
+def _call(model: Model, text: str | None, retries: int, pause: float, limit: float | None = None) -> tuple:
     error = None
     for attempt in range(1, retries + 1):
         try:
-            return model(text or ""), "ok", attempt, None
+            return _limited(model, text or "", limit), "ok", attempt, None
         except Exception as exc:  # the model is foreign code: any failure is data
             error = f"{type(exc).__name__}: {exc}"
             if attempt < retries:
@@ -40,30 +68,41 @@ def enrich_text(
     pause: float = 2.0,
     concurrency: int = 64,
     partitions: int | None = None,
+    limit: float | None = 120.0,
 ) -> DataFrame:
     """``(keys…, output, status, attempts, error)``: one model call per row.
 
-    ``model_factory`` runs once per partition and builds the client there; a
-    time limit per call is the client's own. Calls of one partition overlap
-    in up to ``concurrency`` threads. A failed row gets status ``failed``,
-    never an error text as output. ``partitions`` spreads few rows over tasks.
+    ``model_factory`` runs once per partition and builds the client there.
+    Calls of one partition overlap in up to ``concurrency`` threads, and a call is given up
+    after ``limit`` seconds. A failed row gets status ``failed``, never an error text as output.
+    Rows are dealt by key into ``partitions`` tasks, by default one for ``CALLS_PER_TASK`` rows:
+    bytes say nothing about the time of a call.
     """
     require_columns(df, *keys, text)
     rows = df.select(*keys, text)
-    if partitions:
-        rows = rows.repartition(partitions, *keys)
+    if partitions is None:
+        partitions = -(-rows.select(*keys).count() // CALLS_PER_TASK)
+    rows = rows.repartition(max(1, partitions), *keys)
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType(fields + T._parse_datatype_string(RESULT_FIELDS).fields)
     names = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
+
+        def answered(batch: pd.DataFrame, calls: list) -> pd.DataFrame:
+            answers = pd.DataFrame([c.result() for c in calls], columns=["output", "status", "attempts", "error"])
+            return pd.concat([batch[names].reset_index(drop=True), answers], axis=1)
+
         with ThreadPoolExecutor(concurrency) as pool:
+            waiting = None  # the calls of the next batch begin before the slowest of this one ends
             for batch in batches:
-                done = list(pool.map(lambda t: _call(model, t, retries, pause), batch[text]))
-                out = batch[names].reset_index(drop=True)
-                answers = pd.DataFrame(done, columns=["output", "status", "attempts", "error"])
-                yield pd.concat([out, answers], axis=1)
+                calls = [pool.submit(_call, model, t, retries, pause, limit) for t in batch[text]]
+                if waiting is not None:
+                    yield answered(*waiting)
+                waiting = (batch, calls)
+            if waiting is not None:
+                yield answered(*waiting)
 
     return rows.mapInPandas(run, schema)
 
@@ -96,7 +135,7 @@ def latest_results(results: DataFrame, keys: Sequence[str] = ("id",)) -> DataFra
 
 def pending(df: DataFrame, results: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Rows without a good result. Failed rows are pending again."""
-    done = results.where(F.col("status") == "ok").select(*keys).distinct()
+    done = results.where(F.col("status") == "ok").select(*keys)  # copies do no harm to an anti-join
     return df.join(done, list(keys), "left_anti")
 
 
@@ -108,20 +147,30 @@ def enrich_incremental(
     text: str = "text",
     keys: Sequence[str] = ("id",),
     out: str = "output",
+    chunk_rows: int = CHUNK_ROWS,
     **options,
 ) -> DataFrame:
     """Run the model for pending rows, append the results, join all of them back.
 
-    Each batch has its own folder ``batch=<name>`` and overwrites it, so a batch
-    that is run again after a failure leaves no duplicates. Results of other
-    batches count as done; those of the same batch are replaced.
+    Pending keys are found from the keys alone and cut by hash into chunks of about ``chunk_rows``.
+    Each chunk is committed to a folder of its own, ``batch=<name>-<number>``, before the next one
+    begins, so a batch that breaks off keeps what it has finished and goes on from there when it
+    is run again. Of copies of a key the smallest text is asked.
     """
     spark = df.sparkSession
     schema = result_schema(df, keys)
-    others = read_prior(spark, results_path, schema).where(F.col("batch") != batch)
-    todo = pending(df, others, keys).dropDuplicates(list(keys))
-    fresh = enrich_text(todo, model_factory, text, keys, **options)
-    fresh.write.mode("overwrite").parquet(f"{results_path}/batch={batch}")
+    prior = read_prior(spark, results_path, schema)
+    todo = materialize(pending(df.select(*keys).distinct(), prior, keys), "pending")
+    chunks = -(-todo.count() // chunk_rows)
+    last = prior.where(F.col("batch").startswith(f"{batch}-")).agg(F.max("batch")).first()[0]
+    start = int(last.rsplit("-", 1)[1]) + 1 if last else 0
+    if chunks:
+        number = F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int")
+        texts = df.select(*keys, text).join(todo, list(keys), "left_semi").groupBy(*keys).agg(F.min(text).alias(text))
+        rows = materialize(texts.withColumn("_chunk", number), "prompts")
+        for k in range(chunks):
+            fresh = enrich_text(rows.where(F.col("_chunk") == k), model_factory, text, keys, **options)
+            append_results(fresh, results_path, f"{batch}-{start + k:06d}")
     results = latest_results(read_prior(spark, results_path, schema), keys)
     answers = results.select(*keys, F.col("output").alias(out), "status")
     return df.join(answers, list(keys), "left")
@@ -163,8 +212,3 @@ def name_clusters(
     named = lists.mapInPandas(run, "cluster_id int, name string")
     fallback = F.concat(F.lit("Kategori_"), F.col("cluster_id").cast("string"))
     return named.select("cluster_id", F.coalesce(clean_label(F.col("name")), fallback).alias("name"))
-
-
-def upper_model() -> Model:
-    """Deterministic stand-in for a text model: the prompt in upper case."""
-    return str.upper

@@ -9,7 +9,6 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from .. import rules
 from ..functions.bind import let
@@ -124,12 +123,9 @@ def tfidf_weights(
 
 
 def fit_clusters(features: DataFrame, k: int = 10, seed: int = 42, column: str = "features") -> KMeansModel:
-    """k-means over the vectors; they are kept (memory, then disk) while it iterates."""
-    data = features.select(column).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return KMeans(k=k, seed=seed, featuresCol=column, predictionCol="cluster_id").fit(data)
-    finally:
-        data.unpersist()
+    """k-means over the vectors, which are written once and read back by every iteration."""
+    data = materialize(features.select(column), "vectors")
+    return KMeans(k=k, seed=seed, featuresCol=column, predictionCol="cluster_id").fit(data)
 
 
 def center_terms(model: KMeansModel, vocab: DataFrame, n: int = 3) -> dict[int, str]:
@@ -159,11 +155,7 @@ def fit_classifier(
         weights = materialize(class_weights(train, label).select(label, "weight"), "weights")
         data = data.join(weights, label)
         settings["weightCol"] = "weight"
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return LogisticRegression(**settings).fit(data)
-    finally:
-        data.unpersist()
+    return LogisticRegression(**settings).fit(materialize(data, "vectors"))
 
 
 def train_text_classifier(

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..session import materialize
 from .schema import require_columns
@@ -36,10 +36,20 @@ def hash_order(seed: int, key: str | Sequence[str]) -> Column:
     return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), text)).alias("h"), text.alias("k"))
 
 
+def _constant(value) -> Column:
+    if isinstance(value, Row):
+        return F.struct(*[F.lit(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join in which a null equals a null; the columns of ``right`` that are named are dropped."""
+    """Join in which a null equals a null; the columns of ``right`` that are named are dropped.
+
+    Without names ``right`` has one row at most, and its values become constants.
+    """
     if not names:
-        return left.crossJoin(right)  # one row
+        row = right.first()
+        return left.withColumns({c: _constant(row[c] if row else None) for c in right.columns})
     other = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
     on = [left[n].eqNullSafe(other[f"_same_{n}"]) for n in names]
     return left.join(other, on, how).drop(*[f"_same_{n}" for n in names])
@@ -100,8 +110,7 @@ def _marked(
         row = cuts.first()  # one row at most
         if row is None:
             return df.withColumn(out, F.lit(False))
-        value = F.struct(F.lit(row.cut.h).alias("h"), F.lit(row.cut.k).alias("k"))
-        joined = df.withColumn("cut", value).withColumn("need", F.lit(row.need)).withColumn("equal", F.lit(row["equal"]))
+        joined = df.withColumns({c: _constant(row[c]) for c in cuts.columns})
     if not tied:
         return joined.withColumn(out, F.coalesce(order <= F.col("cut"), F.lit(False))).select(*df.columns, out)
     tie = F.coalesce((order == F.col("cut")) & (F.col("need") < F.col("equal")), F.lit(False))

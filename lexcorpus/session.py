@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths of the intermediate tables made so far, in order.
+_MADE: list[str] = []
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 # Runtime settings that every job of this package relies on. Partition counts
@@ -57,9 +62,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared one; everything it writes on the way lies there."""
+    return f"{scratch_dir(spark)}/lexcorpus/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New, unused path below the shared folder."""
-    return f"{scratch_dir(spark)}/lexcorpus/{name}-{uuid.uuid4().hex}"
+    """New, unused path in the folder of this application."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application, after its results are written."""
+    _delete(spark, run_folder(spark))
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end; write results before it."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            _delete(spark, path)
+        del _MADE[before:]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -72,5 +104,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,14 +20,21 @@ def _load(spark: SparkSession, path: str, fmt: str, schema: StructType | str | N
         raise
 
 
+# Scans above this size are never spread, however many cores there are.
+SMALL_BYTES = 256 << 20
+
+
 def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread the rows by key when the scan has fewer splits than there are cores.
+    """Spread the rows of a small scan by key when it has fewer splits than there are cores.
 
     A Parquet file with one row group is read by one task, and everything up
-    to the next shuffle would run in it. Inputs of at least one split per core
-    are left alone: a large corpus is never shuffled for this.
+    to the next shuffle would run in it. A scan above ``SMALL_BYTES`` is left alone: a large
+    corpus is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes().toString()) > SMALL_BYTES:
+        return df
     return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
 
 

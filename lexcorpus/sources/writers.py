@@ -13,11 +13,6 @@ def write_corpus(df: DataFrame, path: str, split: str | None = None, mode: str =
     writer.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Catalog table bucketed by key: later joins on the key do not move the texts."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-
-
 def write_label_map(clusters: DataFrame, assignments: DataFrame, path: str) -> None:
     """``clusters`` and ``assignments`` as Parquet and the names as one JSON object.
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.enrichment import Model, enrich_text, pending, read_prior, result_schema
 from ..operators.extraction import with_verdict
+from ..session import materialize
+from ..sources.writers import append_results
 
 
 def read_stream(
@@ -66,9 +68,11 @@ def stream_enrich(
         name = f"stream-{batch_id:012d}"
         others = read_prior(batch.sparkSession, results_path, schema)
         others = others.where(others["batch"] != name)
-        todo = pending(batch.dropDuplicates(list(keys)), others, keys)
-        fresh = enrich_text(todo, model_factory, text, keys, **options)
-        fresh.write.mode("overwrite").parquet(f"{results_path}/batch={name}")
+        # keys decide what is pending: texts are moved for those only, and of the results the keys are read
+        todo = materialize(pending(batch.select(*keys).distinct(), others, keys), "pending")
+        texts = batch.select(*keys, text).join(todo, list(keys), "left_semi").groupBy(*keys).agg(F.min(text).alias(text))
+        fresh = enrich_text(materialize(texts, "prompts"), model_factory, text, keys, **options)
+        append_results(fresh, results_path, name)
 
     return (
         source.writeStream.foreachBatch(write)

@@ -1,4 +1,5 @@
 import json
+import time
 from difflib import SequenceMatcher
 from itertools import combinations
 
@@ -92,6 +93,37 @@ def flaky_factory():
     return model
 
 
+def upper_model():
+    return str.upper
+
+
+def test_calls_are_dealt_by_rows_and_given_up(spark):
+    rows = spark.range(10_000).select("id", F.lit("x").alias("text")).coalesce(1)
+    assert enrichment.enrich_text(rows, upper_model).rdd.getNumPartitions() == 20
+    slow = lambda: (lambda text: time.sleep(5) or text)
+    row = enrichment.enrich_text(rows.limit(1), slow, retries=1, limit=0.2).first()
+    assert row.status == "failed" and row.error.startswith("TimeoutError")
+
+
+def test_a_batch_that_breaks_off_keeps_finished_chunks(spark, tmp_path):
+    path, mark = str(tmp_path / "results"), tmp_path / "mark"
+    df = spark.range(40).select("id", F.col("id").cast("string").alias("text"))
+
+    def breaking():
+        if mark.exists() and len(list(tmp_path.glob("results/*/*.parquet"))) > 1:
+            raise RuntimeError("client lost")
+        return str.upper
+
+    mark.touch()
+    with pytest.raises(Exception, match="client lost"):
+        enrichment.enrich_incremental(df, path, breaking, "b", chunk_rows=10)
+    done = readers.read_results(spark, path).count()
+    assert 0 < done < 40
+    mark.unlink()
+    out = enrichment.enrich_incremental(df, path, breaking, "b", chunk_rows=10)
+    assert out.where("status = 'ok'").count() == 40 and readers.read_results(spark, path).count() == 40
+
+
 def test_enrich(spark):
     df = spark.createDataFrame([(1, "first"), (2, "second"), (3, "never"), (4, None)], "id int, text string")
     got = {r.id: r for r in enrichment.enrich_text(df, flaky_factory, pause=0.0, partitions=2).collect()}
@@ -119,12 +151,12 @@ def test_resume(spark, tmp_path):
 
 
 def test_repeat_runs_and_report(spark, corpus):
-    runs = enrichment.repeat_runs(corpus.limit(3), 4, enrichment.upper_model)
+    runs = enrichment.repeat_runs(corpus.limit(3), 4, upper_model)
     assert runs.count() == 12 and runs.select("run").distinct().count() == 4
-    report = comparison.consistency_report(corpus, enrichment.upper_model, n=7, n_runs=3)
+    report = comparison.consistency_report(corpus, upper_model, n=7, n_runs=3)
     rows = report.collect()
     assert len(rows) == 7 and {r.avg_consistency_score for r in rows} == {1.0}
-    side = comparison.comparison_set(corpus, enrichment.upper_model, n=5).collect()
+    side = comparison.comparison_set(corpus, upper_model, n=5).collect()
     assert len(side) == 5 and all(r.text_tail_preview.startswith("...") and r.hukum_text_llm for r in side)
     table, mean = comparison.regex_vs_model(
         spark.createDataFrame([("abcd", "abcd"), ("abcd", None)], "verdict string, hukum_text_llm string")
@@ -323,7 +355,7 @@ def test_streams(spark, corpus, tmp_path):
     corpus.limit(10).write.mode("append").parquet(src)  # ids that are done already
     query = jobs.stream_enrich(
         jobs.read_stream(spark, src, corpus.schema, files_per_batch=2),
-        str(tmp_path / "res"), str(tmp_path / "ck2"), enrichment.upper_model,
+        str(tmp_path / "res"), str(tmp_path / "ck2"), upper_model,
     )
     query.awaitTermination()
     res = readers.read_results(spark, str(tmp_path / "res"))

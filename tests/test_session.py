@@ -46,6 +46,16 @@ def test_small_scans_are_spread(spark, tmp_path):
     assert spread_small(one, "id").rdd.getNumPartitions() == 16
     many = spark.range(0, 100, 1, 20)
     assert spread_small(many, "id").rdd.getNumPartitions() == 20
+    large = spark.range(0, 1 << 30, 1, 2)  # by its size, not by its splits
+    assert spread_small(large, "id").rdd.getNumPartitions() == 2
+
+
+def test_intermediate_tables_are_deleted(spark):
+    with session.intermediates(spark):
+        inside = session.materialize(spark.range(3), "inside")
+        folder = Path(inside.inputFiles()[0].removeprefix("file:")).parent
+        assert folder.is_dir()
+    assert not folder.exists()
 
 
 def test_a_hot_key_does_not_change_the_size(spark):

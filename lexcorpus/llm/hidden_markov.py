@@ -1,8 +1,8 @@
 """Hidden Markov language model, trained by Baum-Welch over the whole corpus.
 
 Tokens are words and one end per text. Their exact counts over all training texts are a table of
-the corpus. The latent model's alphabet is the ``ALPHABET`` most frequent tokens, one symbol each,
-and one symbol for all others, known or not. Inside that last symbol a token has its smoothed
+the corpus. The latent model's alphabet is the most frequent tokens (``ALPHABET`` at most, all of
+one count or none), one symbol each, and one symbol for all others, known or not. Inside that last symbol a token has its smoothed
 share of the counts, so the model is a distribution over all known tokens and one unknown, like
 the base score. The alphabet bounds the model (``ALPHABET * STATES`` numbers), not the corpus:
 the tokens behind the last symbol are joined with the count table, however many there are.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import chunks, discard, keep
 
@@ -238,7 +239,12 @@ def _improved(encoded: DataFrame, model: Model) -> Model:
 def first_model(counts: DataFrame, alphabet: int = ALPHABET, states: int = STATES) -> Model:
     """Counts of the corpus, and states that differ by random factors only."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(alphabet).collect()  # at most ``alphabet`` rows
+    # tokens by count, and the least count that still fits: a row per distinct count, never one per token
+    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
+    fits = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= alphabet)
+    least = fits.agg(F.min("c")).first()[0]
+    top = counts.where(F.col("c") >= least).collect() if least is not None else []  # at most ``alphabet`` rows
+    top = sorted(top, key=lambda r: (-r.c, r.token))
     words, seen = [r.token for r in top], np.array([r.c for r in top], np.int64)
     model = Model(words, seen, total, distinct, np.full(states, 1 / states), np.zeros(0), np.zeros(0))
     dice = np.random.default_rng(11)

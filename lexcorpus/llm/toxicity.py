@@ -2,12 +2,12 @@
 
 Examples are a bounded sample of the labelled rows (``EXAMPLES``, picked by hash). Terms are words
 and word beginnings; the vocabulary holds those whose document frequency among the examples depends
-on the label: so strongly that by chance fewer than ``CHANCE`` such terms would be expected among
-all terms (``TERMS`` at most). Document frequencies for IDF
+on the label: they are ``LIFT`` times as frequent in toxic examples as in all, and so clearly that by
+chance fewer than ``CHANCE`` such terms would be expected among all terms (``TERMS`` at most). Document frequencies for IDF
 are counted over all documents. Examples lie in blocks of ``BLOCK``; each term knows its largest
-weight in every block, which bounds the cosine of a whole block. A query opens blocks in descending order
-of their bound and stops when the bound falls below the k-th best cosine, so the neighbours are
-exact. Neighbours vote with a weight that falls with their distance; votes are calibrated by a
+weight in every block, which bounds the cosine of a whole block. A query opens the blocks with the
+highest bounds first, and of the others only those whose bound reaches the k-th best cosine found,
+so the neighbours are exact. Neighbours vote with a weight that falls with their distance; votes are calibrated by a
 logistic curve fitted on the examples, each without its own vote. Neighbours are the evidence.
 
 A text without any term of the vocabulary (an empty or null one too) has no neighbour; its vote is
@@ -18,6 +18,7 @@ toxic if one label says so. Without labels every score is 0. Long texts are scor
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -33,8 +34,10 @@ from .hidden_markov import remainder
 EXAMPLES = 20_000
 TERMS = 2048
 CHANCE = 0.1
+LIFT = 3.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 16
+FIRST_BLOCKS = 8
 PREFIXES = (4, 5)
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -82,8 +85,8 @@ def _vocabulary(rows: DataFrame) -> list[str]:
     # a share of c in n is at most exp(-gain) likely where the rate is that of all examples
     gain = F.when(c > 0, c * F.log(c / (n * rate))).otherwise(0.0) + F.when(n > c, (n - c) * F.log((n - c) / (n * (1 - rate)))).otherwise(0.0)
     summed = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    gains = keep(summed.select("term", gain.alias("gain")), "terms")
-    best = gains.where(F.col("gain") >= math.log(max(gains.count(), 1) / CHANCE))
+    gains = keep(summed.select("term", gain.alias("gain"), (c / (n * rate)).alias("lift")), "terms")
+    best = gains.where((F.col("gain") >= math.log(max(gains.count(), 1) / CHANCE)) & (F.col("lift") >= LIFT))
     return [r.term for r in best.orderBy(F.desc("gain"), "term").limit(TERMS).collect()]  # at most TERMS rows
 
 
@@ -128,7 +131,7 @@ def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, in
 
 
 class Index:
-    """Unit vectors of the examples in blocks, and each term's largest weight in every block."""
+    """Unit vectors of the examples as postings, and each term's largest weight in every block of examples."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, ids, toxic, vectors):
         self.idf, self.memo = idf, _Memo({t: k for k, t in enumerate(vocabulary)})
@@ -139,40 +142,48 @@ class Index:
         self.toxic = np.array([toxic[k] for k in full], float)
         without = [toxic[k] for k, v in enumerate(vectors) if not v[0]]
         self.without = (sum(without) + 0.5) / (len(without) + 1.0) if len(toxic) else 0.0
-        self.blocks = []
         self.highest = np.zeros((len(vocabulary), -(-len(full) // BLOCK)))
-        for b in range(self.highest.shape[1]):
-            part = [vectors[k] for k in full[b * BLOCK : (b + 1) * BLOCK]]
-            terms = np.unique(np.concatenate([np.array(v[0]) for v in part]))
-            dense = np.zeros((len(part), len(terms)))
-            for row, (numbers, weights) in enumerate(part):
-                dense[row, np.searchsorted(terms, numbers)] = weights
-            self.blocks.append((terms, dense))
-            self.highest[terms, b] = dense.max(axis=0)
+        lists: dict[int, tuple[list[int], list[float]]] = {}
+        for row, k in enumerate(full):
+            for term, weight in zip(*vectors[k]):
+                rows, weights = lists.setdefault(term, ([], []))
+                rows.append(row)
+                weights.append(weight)
+                self.highest[term, row // BLOCK] = max(weight, self.highest[term, row // BLOCK])
+        self.postings = {t: (np.array(r), np.array(w)) for t, (r, w) in lists.items()}
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         numbers = np.array(sorted(counts), np.int64)
         weights = (1.0 + np.log([counts[k] for k in numbers.tolist()])) * self.idf[numbers] if len(numbers) else np.zeros(0)
         return numbers, weights / math.sqrt(float(weights @ weights)) if len(numbers) else weights
 
+    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray, leave: int | None) -> list:
+        """``(cosine, -id, place)`` of the examples in some blocks that share a term with the query."""
+        score = np.zeros(len(self.ids))
+        for term, weight in zip(numbers.tolist(), weights.tolist()):
+            rows, values = self.postings.get(term, (None, None))
+            if rows is not None:
+                inside = blocks[rows // BLOCK]
+                score[rows[inside]] += weight * values[inside]
+        score = np.round(score, 9)
+        rows = np.flatnonzero(score > 0)
+        if leave is not None:
+            rows = rows[self.ids[rows] != leave]
+        return list(zip(score[rows].tolist(), (-self.ids[rows]).tolist(), rows.tolist()))
+
     def nearest(self, counts: Counter, k: int = NEIGHBOURS, leave: int | None = None) -> list[tuple[float, int]]:
         """The k nearest examples as (cosine, place), nearest first; ties go to the smaller id."""
         numbers, weights = self.vector(counts)
-        if not len(numbers) or not self.blocks:
+        if not len(numbers) or not len(self.ids):
             return []
         bound = weights @ self.highest[numbers]
-        found: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(found) == k and bound[b] < found[-1][0] - 1e-9):
-                break
-            terms, dense = self.blocks[b]
-            place = np.minimum(np.searchsorted(terms, numbers), len(terms) - 1)
-            hit = terms[place] == numbers
-            cosine = np.round(dense[:, place[hit]] @ weights[hit], 9)
-            rows = [(c, -int(self.ids[b * BLOCK + r]), b * BLOCK + r) for r, c in enumerate(cosine.tolist()) if c > 0]
-            if leave is not None:
-                rows = [r for r in rows if -r[1] != leave]
-            found = sorted([*found, *rows], reverse=True)[:k]
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        found = heapq.nlargest(k, self._cosines(numbers, weights, first, leave))
+        least = found[-1][0] - 1e-8 if len(found) == k else 0.0
+        rest = ~first & (bound > 0) & (bound >= least)  # no other block can hold one of the k nearest
+        if rest.any():
+            found = heapq.nlargest(k, [*found, *self._cosines(numbers, weights, rest, leave)])
         return [(c, r) for c, _, r in found]
 
     def vote(self, near: list[tuple[float, int]]) -> float:

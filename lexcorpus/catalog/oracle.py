@@ -503,6 +503,9 @@ def oracle() -> dict[str, str]:
         from weights group by id"""
     sql["categorize_from_map"] = f"""with {MERGED} select c.id, d.source, m.new_id as cluster_id, m.name as category
         from clustered c join merged m using (cluster_id) join documents d on c.id = cast(d.doc_id as varchar)"""
+    sql["cluster_check"] = f"with {found()} select count(*) as rows, count(distinct id) as ids, 0 as outside, 0 as unnamed from v"
+    sql["classifier_check"] = f"""with {LABELED} select (count(*) + 9) // 10 as rows, 0 as outside, true as same_accuracy
+        from labeled where verdict_text <> ''"""
     sql["classification_metrics"] = f"""with {METRICS} select cast(sum(support) as bigint) as rows, round(sum(tp) / sum(support), 6) as accuracy,
         round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1 from scores"""
     sql["class_scores"] = f"""with {METRICS} select class, tp, support, predicted, round(precision, 6) as precision,

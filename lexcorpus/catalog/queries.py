@@ -642,13 +642,43 @@ def class_scores(spark, sf_dir):
 
 
 @query
-def classifier_eval(spark, sf_dir):
+def cluster_check(spark, sf_dir):
+    """Every row has one of the ten clusters and its name."""
+    rows = materialize(verdicts(spark, sf_dir).select("id", "verdict"), "verdicts")
+    out, _, _ = categorize.categorize(rows)
+    return out.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.count_if(~F.coalesce(F.col("cluster_id").between(0, 9), F.lit(False))).alias("outside"),
+        F.count_if(F.coalesce("category", F.lit("")) == "").alias("unnamed"),
+    )
+
+
+@query
+def classifier_check(spark, sf_dir):
+    """Rows that were predicted, and whether the reported accuracy is the one of the predictions."""
+    scored = materialize(_predicted(spark, sf_dir).select("prediction", "label"), "scored")
+    accuracy = metrics.classification_metrics(scored).select("accuracy").scalar()
+    hits = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("prediction").isNull() | (F.col("prediction") < 0)).alias("outside"),
+        (F.abs(hits - accuracy) < 1e-9).alias("same_accuracy"),
+    )
+
+
+def _predicted(spark, sf_dir):
     labeled = labels.reindex_labels(_labeled(spark, sf_dir)).where(F.length("verdict_text") > 0)
     rows = materialize(labeled.select("id", "verdict_text", "label"), "labeled")
     split = materialize(sampling.stratified_split(rows, "label"), "split")
     train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
     scored, _ = features.train_text_classifier(train, test, "verdict_text", min_df=2)
-    return metrics.classification_metrics(scored)
+    return scored
+
+
+@query
+def classifier_eval(spark, sf_dir):
+    return metrics.classification_metrics(_predicted(spark, sf_dir))
 
 
 # -- whole flows, sources and sinks ----------------------------------------

@@ -33,7 +33,7 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
-    if int(plan.stats().sizeInBytes().toString()) > SMALL_BYTES:
+    if int(str(plan.stats().sizeInBytes())) > SMALL_BYTES:
         return df
     return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
 

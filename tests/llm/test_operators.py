@@ -11,7 +11,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexcorpus.llm import cascade, hidden_markov, merkle, mixing, packing, snapshots, toxicity, warc
 

@@ -1,26 +1,27 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all terms of the examples.
 
 Examples are a bounded sample of the labelled rows (``EXAMPLES``, picked by hash). Terms are words
-and word beginnings; the vocabulary holds those whose document frequency among the examples depends
-on the label: they are ``LIFT`` times as frequent in toxic examples as in all, and so clearly that by
-chance fewer than ``CHANCE`` such terms would be expected among all terms (``TERMS`` at most). Document frequencies for IDF
-are counted over all documents. Examples lie in blocks of ``BLOCK``; each term knows its largest
-weight in every block, which bounds the cosine of a whole block. A query opens the blocks with the
-highest bounds first, and of the others only those whose bound reaches the k-th best cosine found,
-so the neighbours are exact. Neighbours vote with a weight that falls with their distance; votes are calibrated by a
+and word beginnings, and the vocabulary holds every term of an example. Document frequencies for
+IDF are counted over all documents. Terms of a query that no example has are left out of its vector, as
+they are no terms of the vocabulary.
+
+Examples with equal vectors are one row. Terms that many rows share are a dense matrix, so that a
+block of queries is one product; all others are postings. Both together are the cosine up to the
+rounding of single precision; whatever could be among the nearest within that error is computed
+again in double precision, so the neighbours are exact. Neighbours vote with a weight that falls with their distance; votes are calibrated by a
 logistic curve fitted on the examples, each without its own vote. Neighbours are the evidence.
 
 A text without any term of the vocabulary (an empty or null one too) has no neighbour; its vote is
-the rate among the examples that have none either. The score is a function of the text alone:
+the rate among the examples that have none either, or among all if there are none. The score is a function of the text alone:
 repeated texts score equally. Labels that are null are left out; a doc labelled twice counts as
 toxic if one label says so. Without labels every score is 0. Long texts are scored whole.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,12 +33,10 @@ from .common import chunks, keep
 from .hidden_markov import remainder
 
 EXAMPLES = 20_000
-TERMS = 2048
-CHANCE = 0.1
-LIFT = 3.0
 NEIGHBOURS = 15
-BLOCK = 16
-FIRST_BLOCKS = 8
+DENSE_SHARE = 0.05  # terms of so many rows are dense, as far as DENSE_NUMBERS go; the others are postings
+DENSE_NUMBERS = 40_000_000
+QUERIES = 128  # in one product
 PREFIXES = (4, 5)
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -60,34 +59,17 @@ def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> DataF
 
 
 def _vocabulary(rows: DataFrame) -> list[str]:
-    """Terms that tell the labels apart, best first."""
+    """All terms of the examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = {}
+        found: set[str] = set()
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for term in {t for w in set(_words(text)) for t in terms_of(w)}:
-                    found.setdefault(term, [0, 0])[1 if toxic else 0] += 1
-        names = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), *(pa.array([found[n][k] for n in names], pa.int64()) for k in (0, 1))],
-            names=["term", "clean", "toxic"],
-        )
-
-    counts = rows.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long")
-    sizes = rows.groupBy((F.col("toxic") > 0).alias("t")).count().collect()
-    size = {r.t: r["count"] for r in sizes}
-    if len(size) < 2:
-        return []
-    total, part = sum(size.values()), size[True]
-    rate = part / total
-    n, c = (F.col("clean") + F.col("toxic")).cast("double"), F.col("toxic").cast("double")
-    # a share of c in n is at most exp(-gain) likely where the rate is that of all examples
-    gain = F.when(c > 0, c * F.log(c / (n * rate))).otherwise(0.0) + F.when(n > c, (n - c) * F.log((n - c) / (n * (1 - rate)))).otherwise(0.0)
-    summed = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    gains = keep(summed.select("term", gain.alias("gain"), (c / (n * rate)).alias("lift")), "terms")
-    best = gains.where((F.col("gain") >= math.log(max(gains.count(), 1) / CHANCE)) & (F.col("lift") >= LIFT))
-    return [r.term for r in best.orderBy(F.desc("gain"), "term").limit(TERMS).collect()]  # at most TERMS rows
+            for text in batch.column("text").to_pylist():
+                found.update(t for w in set(_words(text)) for t in terms_of(w))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
+
+    terms = rows.select("text").mapInArrow(run, "term string").distinct().toArrow()  # of at most about ``limit`` texts
+    return sorted(terms.column("term").to_pylist())
 
 
 class _Memo(dict):
@@ -104,87 +86,127 @@ class _Memo(dict):
         return found
 
 
-def _term_counts(text: str | None, memo: _Memo) -> Counter:
-    return Counter(k for word in _words(text) if (found := memo[word]) for k in found)
+def _term_counts(text: str | None, memo: _Memo) -> dict[int, int]:
+    counts: dict[int, int] = {}
+    for word, times in Counter(_words(text)).items():
+        for k in memo[word]:
+            counts[k] = counts.get(k, 0) + times
+    return counts
 
 
 def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and how many documents there are."""
-    numbers = {t: k for k, t in enumerate(vocabulary)}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {t: k for k, t in enumerate(shared.value)}
         memo, found, rows = _Memo(numbers), np.zeros(len(numbers) + 1, np.int64), 0
         for batch in batches:
             for part in chunks(batch, "text"):
                 for text in part.column("text").to_pylist():
-                    for k in {k for word in set(_words(text)) for k in memo[word]}:
-                        found[k] += 1
+                    found[list({k for word in set(_words(text)) for k in memo[word]})] += 1
                     rows += 1
         found[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["term", "n"])
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen])], names=["term", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     result = np.zeros(len(vocabulary) + 1, np.int64)
-    for term, n in sums.collect():  # at most TERMS + 1 rows
-        result[term] = n
+    result[sums.column("term").to_numpy()] = sums.column("n").to_numpy()  # a row per term of the vocabulary
+    shared.unpersist()
     return result[:-1], int(result[-1])
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start``, ``start + 1``, ... of every range, one range behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Index:
-    """Unit vectors of the examples as postings, and each term's largest weight in every block of examples."""
+    """Unit vectors of the examples by row and, for the cosines, by term."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, ids, toxic, vectors):
+        """``vectors``: where each example's terms begin, and all terms and how often they occur."""
         self.idf, self.memo = idf, _Memo({t: k for k, t in enumerate(vocabulary)})
-        full = [k for k, v in enumerate(vectors) if v[0]]
-        # neighbours in the order of their heaviest terms make tight blocks
-        full.sort(key=lambda k: ([t for _, t in sorted(zip(vectors[k][1], vectors[k][0]), reverse=True)], ids[k]))
-        self.ids = np.array([ids[k] for k in full], np.int64)
-        self.toxic = np.array([toxic[k] for k in full], float)
-        without = [toxic[k] for k, v in enumerate(vectors) if not v[0]]
-        self.without = (sum(without) + 0.5) / (len(without) + 1.0) if len(toxic) else 0.0
-        self.highest = np.zeros((len(vocabulary), -(-len(full) // BLOCK)))
-        lists: dict[int, tuple[list[int], list[float]]] = {}
-        for row, k in enumerate(full):
-            for term, weight in zip(*vectors[k]):
-                rows, weights = lists.setdefault(term, ([], []))
-                rows.append(row)
-                weights.append(weight)
-                self.highest[term, row // BLOCK] = max(weight, self.highest[term, row // BLOCK])
-        self.postings = {t: (np.array(r), np.array(w)) for t, (r, w) in lists.items()}
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        ids, toxic = np.array(ids, np.int64), np.array(toxic, float)
+        at, terms, times = vectors
+        size = np.diff(at)
+        without = toxic[size == 0]
+        self.without = (without.sum() + toxic.mean()) / (len(without) + 1.0) if len(toxic) else 0.0
+        groups: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero(size).tolist():
+            a, b = at[k], at[k + 1]
+            groups.setdefault(terms[a:b].tobytes() + times[a:b].tobytes(), []).append(k)
+        members = [sorted(g, key=lambda k: ids[k]) for g in groups.values()]
+        places = np.array([k for g in members for k in g], np.int64)
+        self.ids, self.toxic = ids[places], toxic[places]
+        self.first = np.cumsum([0, *map(len, members)])
+        one = np.array([g[0] for g in members], np.int64)
+        self.rows, self.size = len(one), size[one]
+        own = _ranges(at[one], self.size)
+        self.terms, self.begin = terms[own], np.cumsum(self.size) - self.size
+        owner = np.repeat(np.arange(self.rows, dtype=np.int32), self.size)
+        weights = (1.0 + np.log(times[own])) * idf[self.terms]
+        self.weights = weights / np.sqrt(np.bincount(owner, weights * weights, self.rows))[owner]
+        count = np.bincount(self.terms, minlength=len(vocabulary))
+        head = np.argsort(-count, kind="stable")[: DENSE_NUMBERS // max(self.rows, 1)]
+        head = head[count[head] > DENSE_SHARE * self.rows]
+        self.head = np.full(len(vocabulary), -1, np.int32)
+        self.head[head] = np.arange(len(head))
+        place = self.head[self.terms]
+        self.dense = np.zeros((len(head), self.rows), np.float32)
+        self.dense[place[place >= 0], owner[place >= 0]] = self.weights[place >= 0]
+        rest = np.flatnonzero(place < 0)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.posting_rows, self.posting_weights = owner[rest], self.weights[rest]
+        self.posting_size = np.where(self.head < 0, count, 0)
+        self.posting_at = np.cumsum(self.posting_size) - self.posting_size
+        # single precision: every factor and every partial sum is rounded, and a cosine is 1 at most
+        self.error = (len(head) + 4) * 2.0**-23
+        self.scratch = np.zeros(len(vocabulary))
+
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         numbers = np.array(sorted(counts), np.int64)
         weights = (1.0 + np.log([counts[k] for k in numbers.tolist()])) * self.idf[numbers] if len(numbers) else np.zeros(0)
         return numbers, weights / math.sqrt(float(weights @ weights)) if len(numbers) else weights
 
-    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray, leave: int | None) -> list:
-        """``(cosine, -id, place)`` of the examples in some blocks that share a term with the query."""
-        score = np.zeros(len(self.ids))
-        for term, weight in zip(numbers.tolist(), weights.tolist()):
-            rows, values = self.postings.get(term, (None, None))
-            if rows is not None:
-                inside = blocks[rows // BLOCK]
-                score[rows[inside]] += weight * values[inside]
-        score = np.round(score, 9)
-        rows = np.flatnonzero(score > 0)
-        if leave is not None:
-            rows = rows[self.ids[rows] != leave]
-        return list(zip(score[rows].tolist(), (-self.ids[rows]).tolist(), rows.tolist()))
-
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS, leave: int | None = None) -> list[tuple[float, int]]:
-        """The k nearest examples as (cosine, place), nearest first; ties go to the smaller id."""
-        numbers, weights = self.vector(counts)
-        if not len(numbers) or not len(self.ids):
-            return []
-        bound = weights @ self.highest[numbers]
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        found = heapq.nlargest(k, self._cosines(numbers, weights, first, leave))
-        least = found[-1][0] - 1e-8 if len(found) == k else 0.0
-        rest = ~first & (bound > 0) & (bound >= least)  # no other block can hold one of the k nearest
-        if rest.any():
-            found = heapq.nlargest(k, [*found, *self._cosines(numbers, weights, rest, leave)])
-        return [(c, r) for c, _, r in found]
+    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        self.scratch[numbers] = weights
+        own = _ranges(self.begin[rows], self.size[rows])
+        size = self.size[rows]
+        sums = np.add.reduceat(self.scratch[self.terms[own]] * self.weights[own], np.cumsum(size) - size)
+        self.scratch[numbers] = 0.0
+        return np.round(sums, 9)
+
+    def nearest_all(self, queries: list[dict[int, int]], k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k nearest examples as (cosine, place), nearest first; ties go to the smaller id."""
+        if not self.rows:
+            return [[] for _ in queries]
+        vectors = [self.vector(c) for c in queries]
+        block = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (numbers, weights) in enumerate(vectors):
+            place = self.head[numbers]
+            block[i, place[place >= 0]] = weights[place >= 0]
+        products, result = block @ self.dense, []
+        for i, (numbers, weights) in enumerate(vectors):
+            score, size = products[i], self.posting_size[numbers]
+            if size.any():
+                own = _ranges(self.posting_at[numbers], size)
+                score = score + np.bincount(self.posting_rows[own], np.repeat(weights, size) * self.posting_weights[own], self.rows)
+            wanted = k + (int((self.ids == leave[i]).sum()) if leave is not None else 0)
+            least = np.partition(score, self.rows - wanted)[self.rows - wanted] - 2 * self.error if wanted < self.rows else 0.0
+            rows = np.flatnonzero((score > 0) & (score >= least))
+            found = []
+            if len(rows):
+                for row, cosine in zip(rows.tolist(), self._cosines(numbers, weights, rows).tolist()):
+                    for r in range(self.first[row], min(self.first[row] + wanted, self.first[row + 1])):
+                        if cosine > 0 and (leave is None or self.ids[r] != leave[i]):
+                            found.append((-cosine, int(self.ids[r]), r))
+            result.append([(-c, r) for c, _, r in sorted(found)[:k]])
+        return result
+
+    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int | None = None) -> list[tuple[float, int]]:
+        return self.nearest_all([counts], k, None if leave is None else [leave])[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -211,47 +233,64 @@ def _calibrated(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return (float(beta[0]), float(beta[1])) if np.isfinite(beta).all() and beta[0] > 0 else (1.0, 0.0)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Differences of the values, compressed by place of their bytes: broadcasts lie on every executor's disk."""
+    gaps = np.diff(values.astype(np.int32), prepend=np.int32(0)).astype("<i4")
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4")
+    return np.cumsum(gaps.ravel(), dtype=np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> dict:
-    """What scoring needs: vocabulary, IDF, example vectors and the calibration; bounded by ``limit`` and ``TERMS``."""
+    """What scoring needs: vocabulary, IDF, example vectors and the calibration; bounded by the texts of ``limit`` examples."""
     rows = keep(examples(docs, labels, limit), "examples")
     vocabulary = _vocabulary(rows)
-    numbers = {t: k for k, t in enumerate(vocabulary)}
     frequency, total = _frequencies(docs, vocabulary)
     idf = np.log(1.0 + total / np.maximum(frequency, 1))
+    names = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(numbers)
+        memo = _Memo({t: k for k, t in enumerate(names.value)})
         for batch in batches:
             counts = [_term_counts(t, memo) for t in batch.column("text").to_pylist()]
             terms = [sorted(c) for c in counts]
             times = [[c[k] for k in t] for c, t in zip(counts, terms)]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (terms, times)]
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (terms, times)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "terms", "times"]
+                [*(batch.column(c) for c in ("doc_id", "key", "toxic")), *lists], names=["doc_id", "key", "toxic", "terms", "times"]
             )
 
-    vectors = rows.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(
-        run, "doc_id long, toxic int, terms array<long>, times array<long>"
+    vectors = rows.select("doc_id", F.xxhash64("text").alias("key"), "text", F.col("toxic").cast("int")).mapInArrow(
+        run, "doc_id long, key long, toxic int, terms array<int>, times array<int>"
     )
-    found = sorted(vectors.collect(), key=lambda r: (r.doc_id, r.terms, r.times))  # at most about ``limit`` rows
+    found = vectors.toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")]).combine_chunks()  # at most about ``limit`` rows
+    names.unpersist()
+    flat = [found.column(c).combine_chunks() for c in ("terms", "times")]
+    size = flat[0].value_lengths().to_numpy(zero_copy_only=False) if len(found) else np.zeros(0, np.int64)
     model = {
         "vocabulary": vocabulary,
         "idf": idf,
-        "ids": [r.doc_id for r in found],
-        "toxic": [int(r.toxic > 0) for r in found],
-        "counts": [dict(zip(r.terms, r.times)) for r in found],
+        "ids": found.column("doc_id").to_numpy(),
+        "toxic": (found.column("toxic").to_numpy() > 0).astype(int),
+        "counts": tuple(_packed(x) for x in (np.concatenate([[0], np.cumsum(size)]), *(f.flatten().to_numpy() for f in flat))),
         "curve": (1.0, 0.0),
     }
-    if found:
+    if len(found):
         share = docs.sparkSession.sparkContext.broadcast(model)
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(share.value)
+            index = _shared_index(share)
+            ids, (at, terms, times) = share.value["ids"], map(_unpacked, share.value["counts"])
             for batch in batches:
-                places = batch.column("id").to_pylist()
-                own = [(Counter(share.value["counts"][p]), share.value["ids"][p]) for p in places]
-                votes = [index.vote(index.nearest(c, leave=i)) for c, i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(votes, pa.float64())], names=["id", "vote"])
+                everywhere = batch.column("id").to_pylist()
+                for low in range(0, len(everywhere), QUERIES):
+                    places = everywhere[low : low + QUERIES]
+                    own = [dict(zip(terms[at[p] : at[p + 1]].tolist(), times[at[p] : at[p + 1]].tolist())) for p in places]
+                    votes = [index.vote(near) for near in index.nearest_all(own, leave=[int(ids[p]) for p in places])]
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(votes, pa.float64())], names=["id", "vote"])
 
         votes = np.zeros(len(found))
         for place, vote in docs.sparkSession.range(len(found)).mapInArrow(alone, "id long, vote double").collect():
@@ -262,31 +301,44 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> dict:
 
 
 def _index(model: dict) -> Index:
-    index = Index(model["vocabulary"], model["idf"], [], [], [])
-    vectors = [tuple(x.tolist() for x in index.vector(Counter(c))) for c in model["counts"]]
+    if isinstance(model["counts"], tuple):
+        vectors = tuple(map(_unpacked, model["counts"]))
+    else:
+        items = [sorted(c.items()) for c in model["counts"]]
+        pairs = np.array([p for i in items for p in i], np.int64).reshape(-1, 2)
+        vectors = np.cumsum([0, *map(len, items)]), pairs[:, 0], pairs[:, 1]
     return Index(model["vocabulary"], model["idf"], model["ids"], model["toxic"], vectors)
 
 
+def _shared_index(share) -> Index:
+    """The index of a broadcast model, built once per worker."""
+    model = share.value
+    if "index" not in model:
+        model["index"] = _index(model)
+    return model["index"]
+
+
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of ``docs``, ``toxicity`` (0 to 1) and ``evidence`` (the nearest examples and their cosines)."""
-    share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the texts of EXAMPLES examples
     fields = [f for f in docs.schema.fields if f.name not in ("toxicity", "evidence")]
     near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, (slope, offset) = _index(share.value), share.value["curve"]
-        for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column("text").to_pylist():
-                near = index.nearest(_term_counts(text, index.memo))
-                vote = index.vote(near)
-                scores.append(1 / (1 + math.exp(-(slope * float(_logit(vote)) + offset))) if len(share.value["ids"]) else 0.0)
-                evidence.append([{"doc_id": int(index.ids[r]), "cosine": c, "toxic": int(index.toxic[r])} for c, r in near])
-            columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(scores, pa.float64()), pa.array(evidence, near_type)],
-                names=[*(f.name for f in fields), "toxicity", "evidence"],
-            )
+        index, (slope, offset) = _shared_index(share), share.value["curve"]
+        for whole in batches:
+            for low in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(low, QUERIES)
+                scores, evidence = [], []
+                for near in index.nearest_all([_term_counts(t, index.memo) for t in batch.column("text").to_pylist()]):
+                    vote = index.vote(near)
+                    scores.append(1 / (1 + math.exp(-(slope * float(_logit(vote)) + offset))) if len(share.value["ids"]) else 0.0)
+                    evidence.append([{"doc_id": int(index.ids[r]), "cosine": c, "toxic": int(index.toxic[r])} for c, r in near])
+                columns = [batch.column(f.name) for f in fields]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(scores, pa.float64()), pa.array(evidence, near_type)],
+                    names=[*(f.name for f in fields), "toxicity", "evidence"],
+                )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.select(*[f.name for f in fields]).mapInArrow(

@@ -221,6 +221,26 @@ def test_toxic_texts_are_found(spark):
     assert toxicity.scored(empty, toxicity.fit(empty, labels)).collect() == []
 
 
+def test_every_term_of_an_example_counts(spark):
+    dice = random.Random(12)
+    stock = ["sun", *(f"q{a}{b}" for a in "abcdefghijkl" for b in "abcdefghijkl")]
+    texts = [" ".join(dice.sample(stock, 30)) + (" vile" if i % 2 else " mild") for i in range(200)]
+    labels = spark.createDataFrame([(i * 7, i % 2) for i in range(200)], "doc_id long, toxic int")
+    docs = documents(spark, [*texts, *(t.replace(" vile", "").replace(" mild", "") for t in texts[:20])])
+    model = toxicity.fit(docs, labels)
+    learned = {int(i) for i in model["ids"]}
+    # half of the examples are toxic, so no term is three times as frequent among them
+    assert set(model["vocabulary"]) >= {"vile", "mild", "sun"}
+    rows = toxicity.scored(docs, model).collect()
+    assert len({r.toxicity for r in rows}) > 100
+    for r in rows:
+        own = r.doc_id if r.doc_id < 1400 else r.doc_id - 1400  # the last are copies without the telling word
+        if own in learned:
+            assert r.evidence[0].doc_id == own and len(r.evidence) == toxicity.NEIGHBOURS
+    pure = toxicity.scored(docs, toxicity.fit(docs, labels.where("toxic = 1")))
+    assert all(r.toxicity >= 0.5 for r in pure.collect())
+
+
 # -- fingerprints -----------------------------------------------------------
 
 

@@ -9,9 +9,8 @@ the tokens behind the last symbol are joined with the count table, however many
 
 Training: every partition runs the scaled forward-backward recursion over its texts and gives out
 expected counts of states, steps and symbols; these are added up by symbol, combined before the
-exchange, and re-estimated. The first passes run over a bounded sample (``WARM_UP_TOKENS``), only
-to find a starting point; the last ``PASSES`` run over every training text. Scoring runs the scaled
-forward recursion over whole texts, which gives their exact likelihood.
+exchange, and re-estimated. The start is random; each of the ``PASSES`` runs over every training
+text. Scoring runs the scaled forward recursion over whole texts, which gives their exact likelihood.
 
 A null text is an empty one: a single end token. Repeated rows are rows of their own. A null id
 has the remainder of an empty string and belongs to the held-out part. Without training texts
@@ -32,9 +31,7 @@ from .common import chunks, discard, keep
 
 ALPHABET = 1 << 15
 STATES = 8
-PASSES = 2
-WARM_UP_PASSES = 8
-WARM_UP_TOKENS = 400_000
+PASSES = 10
 SEGMENT = 256  # training texts are cut into runs of so many tokens; scoring never cuts
 END = "\n"  # no word contains white space
 SMOOTHING = 0.1
@@ -260,15 +257,11 @@ def train(docs: DataFrame, counts: DataFrame, alphabet: int = ALPHABET, states:
         return model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vars(model))
-    share = min(1.0, WARM_UP_TOKENS / model.total)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    warm, encoded = keep(_encoded(sample, shared), "warm"), keep(_encoded(docs, shared), "encoded")
+    encoded = keep(_encoded(docs, shared), "encoded")
     shared.unpersist()
-    for _ in range(WARM_UP_PASSES):
-        model = _improved(warm, model)
     for _ in range(passes):
         model = _improved(encoded, model)
-    discard(warm, encoded)
+    discard(encoded)
     return model
 
 

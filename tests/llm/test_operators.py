@@ -176,6 +176,19 @@ def test_language_model_scores(spark):
     assert hidden_markov.score_corpus(spark.createDataFrame([], KIND)).collect() == []
 
 
+def test_every_pass_covers_every_training_text(spark, monkeypatch):
+    seen, improved = [], hidden_markov._improved
+
+    def counted(encoded, model):
+        seen.append((encoded.selectExpr("sum(size(symbols))").first()[0], model.total))
+        return improved(encoded, model)
+
+    monkeypatch.setattr(hidden_markov, "_improved", counted)
+    monkeypatch.setattr(hidden_markov, "WARM_UP_TOKENS", 50, raising=False)  # a sample has no place in training
+    hidden_markov.score_corpus(documents(spark, prose(9, 60)), alphabet=60, states=3).collect()
+    assert len(seen) == hidden_markov.PASSES and all(tokens == total > 50 for tokens, total in seen)
+
+
 # -- toxicity ---------------------------------------------------------------
 
 

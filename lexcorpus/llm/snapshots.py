@@ -7,7 +7,7 @@ anti-join; of equal conversations the one with the smallest id stays. What remai
 
 Both sides of the anti-join are distinct before they are exchanged, so a first turn or a
 conversation that a third of the log shares is one row. Two 64-bit hashes decide equality. Texts
-are moved only for conversations that stay. A conversation is one row of the result and has to
+are moved twice: to order the turns of each conversation, and for conversations that stay. A conversation is one row of the result and has to
 fit into one.
 
 Turns are ordered by ``turn`` (null first), then role, then text; a row repeated within a
@@ -38,13 +38,13 @@ def _turns(log: DataFrame) -> DataFrame:
 
 def prefixes(log: DataFrame) -> DataFrame:
     """``conv_id, place, hash1, hash2, n_turns``: one row per prefix of each conversation."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text_order", "h1", "h2")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     whole = Window.partitionBy("conv_id")
     rows = _turns(log).select(
         "conv_id",
         "turn",
         "role",
-        F.substring("text", 1, 64).alias("text_order"),
+        "text",
         F.xxhash64(F.lit(1), "role", "text").alias("h1"),
         F.xxhash64(F.lit(2), "role", "text").alias("h2"),
     )

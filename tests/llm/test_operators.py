@@ -331,6 +331,16 @@ def test_snapshots_collapse(spark):
     assert snapshots.rendered(df.limit(0)).collect() == []
 
 
+def test_tied_turns_are_ordered_by_whole_text(spark):
+    log = []
+    for k in range(40):  # hashes put the two texts of about half of the pairs the other way round
+        head = f"{k} " + "same words " * 10
+        log += [(2 * k, 0, "user", head + "a"), (2 * k + 1, 0, "user", head + "a"), (2 * k + 1, 0, "user", head + "b")]
+    df = spark.createDataFrame(log, "conv_id long, turn long, role string, text string")
+    rows = {r.conv_id: (r.n_turns, r.copies) for r in snapshots.rendered(df).collect()}
+    assert rows == {2 * k + 1: (2, 1) for k in range(40)}
+
+
 # -- pipeline ---------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cascade, hidden_markov, merkle, mixing, packing, repeats, sketches, snapshots, toxicity, warc
+from . import cascade, hidden_markov, merkle, mixing, packing, repeats, simhash, sketches, snapshots, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, distance=3)
+    return groups.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
+
+
 @query
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.write_and_read(table(spark, sf_dir, "pages"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from .. import rules
 from ..functions.text import WHITESPACE
 from ..plans import audit, datasets
+from ..plans.categorize import SAMPLES_PER_CLUSTER
 from .corpus import RENDER
 from .queries import ECHO_CHARS, RESIDUAL_ROWS, RUN_WORDS
 
@@ -489,6 +490,7 @@ def oracle() -> dict[str, str]:
         from prompts cross join (values (1), (2)) r(run)"""
     sql["enrich_resume"] = f"""with {PROMPTS} select id, {echo} as output_md5, 'ok' as status,
         case when id in (select cast(doc_id as varchar) from labels) then 'first' else 'second' end as batch from prompts"""
+    sql["enrich_bucketed"] = sql["enrich_resume"]
     sql["comparison_set"] = f"""with {found(None)}, picked as (select * from v order by {rank_of()} limit 100)
         select id, '...' || {one_line('right(text, 500)')} as text_tail_preview, verdict,
         right({q(rules.EXTRACTION_INSTRUCTION + chr(10) * 2)} || right(text, {rules.PROMPT_TAIL_CHARS}), {ECHO_CHARS}) as hukum_text_llm from picked"""
@@ -503,6 +505,16 @@ def oracle() -> dict[str, str]:
         from weights group by id"""
     sql["categorize_from_map"] = f"""with {MERGED} select c.id, d.source, m.new_id as cluster_id, m.name as category
         from clustered c join merged m using (cluster_id) join documents d on c.id = cast(d.doc_id as varchar)"""
+    sql["cluster_prompt_names"] = f"""with {CORPUS}, {ASSIGNED},
+        ranked as (select cluster_id, text, row_number() over (partition by cluster_id order by {rank_of()}) as k
+          from corpus join assigned using (id)),
+        numbered as (select cluster_id, text, row_number() over (partition by cluster_id order by text) as i
+          from ranked where k <= {SAMPLES_PER_CLUSTER}),
+        prompts as (select cluster_id, {q(rules.NAMING_INSTRUCTION + chr(10) * 2)} || string_agg(
+          {q(rules.SAMPLE_WORD + ' ')} || i || ': ' || text, {q(rules.SAMPLE_SEPARATOR)} order by i) as prompt
+          from numbered group by cluster_id)
+        select cluster_id, {trim(f"""replace(translate({trim("right(prompt, 200)")}, {q(chr(34) + chr(39))}, ''), {q(rules.LABEL_MARKER)}, '')""")} as name,
+          md5(prompt) as prompt_md5 from prompts"""
     sql["cluster_check"] = f"with {found()} select count(*) as rows, count(distinct id) as ids, 0 as outside, 0 as unnamed from v"
     sql["classifier_check"] = f"""with {LABELED} select (count(*) + 9) // 10 as rows, 0 as outside, true as same_accuracy
         from labeled where verdict_text <> ''"""
@@ -554,4 +566,5 @@ def oracle() -> dict[str, str]:
         from (select unnest({block}) as line from v) group by 1"""
     sql["stream_extract"] = sql["extract_bounded_rows"]
     sql["stream_enrich"] = f"with {PROMPTS} select id, {echo} as output_md5, 'ok' as status from prompts"
+    sql["stream_enrich_state"] = sql["stream_enrich"]
     return sql

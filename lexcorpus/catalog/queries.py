@@ -16,6 +16,7 @@ from ..operators import counts, enrichment, extraction, features, labels, metric
 from ..plans import audit, categorize, comparison, datasets, vocabulary
 from ..session import materialize, scratch_path
 from ..sources import readers, writers
+from ..sources.result_store import ResultStore
 from ..streaming import jobs
 from .corpus import assignments, corpus, rendered, source_clusters, table
 
@@ -561,6 +562,21 @@ def enrich_resume(spark, sf_dir):
     return out.join(batch, "id").select("id", F.md5("output").alias("output_md5"), "status", named)
 
 
+@query
+def enrich_bucketed(spark, sf_dir):
+    """Two batches against a bucketed store, which is then compacted and opened anew."""
+    rows = corpus(spark, sf_dir).select("id", T.build_prompt(F.col("text")).alias("prompt"))
+    path = scratch_path(spark, "store")
+    store = ResultStore(rows, path)
+    enrichment.enrich_bucketed(labels.members(rows, assignments(spark, sf_dir)), store, echo_model, "first", "prompt")
+    enrichment.enrich_bucketed(rows, store, echo_model, "second", "prompt")
+    batch = materialize(store.history().select("id", F.regexp_replace("batch", "-[0-9]+$", "").alias("batch")), "batches")
+    store.compact("all")
+    store.forget()
+    out = ResultStore(rows, path).joined(rows.select("id"))
+    return out.join(batch, "id").select("id", F.md5("output").alias("output_md5"), "status", "batch")
+
+
 @query
 def comparison_set(spark, sf_dir):
     out = comparison.comparison_set(corpus(spark, sf_dir), echo_model, n=100)
@@ -614,6 +630,16 @@ def cluster_names(spark, sf_dir):
     return clusters
 
 
+@query
+def cluster_prompt_names(spark, sf_dir):
+    """Known clusters named by a model that answers with a part of its prompt."""
+    rows = corpus(spark, sf_dir).join(assignments(spark, sf_dir), "id")
+    samples = materialize(sampling.sample_per_group(rows, "cluster_id", categorize.SAMPLES_PER_CLUSTER), "samples")
+    named = enrichment.name_clusters_by_prompt(samples, lambda: lambda prompt: f'"Kategori: {prompt[-200:]}"\n')
+    prompts = enrichment.naming_prompts(samples)
+    return named.join(prompts, "cluster_id").select("cluster_id", "name", F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def categorize_from_map(spark, sf_dir):
     clusters, assigned = _merged(spark, sf_dir)
@@ -829,3 +855,17 @@ def stream_enrich(spark, sf_dir):
     query_ = jobs.stream_enrich(rows, out, scratch_path(spark, "stream-log"), echo_model, "prompt")
     query_.awaitTermination()
     return readers.read_results(spark, out).select("id", F.md5("output").alias("output_md5"), "status")
+
+
+@query
+def stream_enrich_state(spark, sf_dir):
+    """Every document arrives twice; each id is asked once."""
+    schema = table(spark, sf_dir, "documents").schema
+    arriving = [jobs.read_stream(spark, sf_dir, schema, glob="documents.parquet") for _ in range(2)]
+    out = scratch_path(spark, "stream-results")
+    rows = arriving[0].unionByName(arriving[1]).select(
+        F.col("doc_id").cast("string").alias("id"), T.build_prompt(rendered("text")).alias("prompt")
+    )
+    query_ = jobs.stream_enrich_state(rows, out, scratch_path(spark, "stream-log"), echo_model, "prompt")
+    query_.awaitTermination()
+    return readers.read_results(spark, out).select("id", F.md5("output").alias("output_md5"), "status")

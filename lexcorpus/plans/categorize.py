@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.enrichment import name_clusters
+from ..operators.enrichment import Model, name_clusters, name_clusters_by_prompt
 from ..operators.features import center_terms, fit_clusters, vectorize, vocabulary
 from ..operators.labels import lookup_labels, lookup_names, union_tagged
 from ..operators.sampling import sample_per_group

@@ -94,8 +94,8 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
         del _MADE[before:]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "table", folders: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, with ``folders`` one per value of that column, and read it back.
 
     This cuts the lineage (nothing upstream is computed twice, and a lost
     executor costs no recomputation) and gives Catalyst the true size of the
@@ -105,5 +105,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     _MADE.append(path)
-    df.write.parquet(path)
+    writer = df.write if folders is None else df.write.partitionBy(folders)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,14 +6,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.enrichment import Model, enrich_text, pending, read_prior, result_schema
 from ..operators.extraction import with_verdict
+from ..operators.schema import free_names
 from ..session import materialize
 from ..sources.writers import append_results
 
 
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def read_stream(
     spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000, glob: str | None = None
 ) -> DataFrame:
@@ -80,3 +87,49 @@ def stream_enrich(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stream_enrich_state(
+    source: DataFrame,
+    results_path: str,
+    checkpoint: str,
+    model_factory: Callable[[], Model],
+    text: str = "text",
+    keys: Sequence[str] = ("id",),
+    trigger: dict | None = None,
+    rounds: int = 3,
+    **options,
+) -> StreamingQuery:
+    """Enrich each id once over a stream, at a cost that does not grow with the history.
+
+    Which ids have arrived is keyed state in RocksDB, on the executors' disks and in the checkpoint:
+    an id that is known passes no further, and no earlier result is ever read. An id whose call failed
+    goes on with the next micro-batch, in up to ``rounds`` batches, from a folder that holds the failed
+    prompts of the last batch only. A batch overwrites its own folders, so a replayed batch leaves
+    no duplicates. Of copies that arrive in one batch any one is asked.
+    """
+    spark = source.sparkSession
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
+    (tries,) = free_names([*keys, text], "tries")
+    first = source.select(*keys, text).dropDuplicates(list(keys))
+    schema = StructType([*first.schema.fields, StructField(tries, IntegerType())])
+
+    def failed_path(batch_id: int) -> str:
+        return f"{checkpoint}/failed/{batch_id:012d}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, name = batch.sparkSession, f"stream-{batch_id:012d}"
+        again = read_prior(spark, failed_path(batch_id - 1), schema)
+        prompts = materialize(batch.withColumn(tries, F.lit(1)).unionByName(again), "prompts")
+        append_results(enrich_text(prompts, model_factory, text, keys, **options), results_path, name)
+        own = spark.read.schema(result_schema(prompts, keys)).parquet(f"{results_path}/batch={name}")
+        failed = prompts.where(F.col(tries) < rounds).join(own.where("status != 'ok'").select(*keys), list(keys), "left_semi")
+        failed.withColumn(tries, F.col(tries) + 1).write.mode("overwrite").parquet(failed_path(batch_id))
+
+    return (
+        first.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -12,7 +12,7 @@ from ..functions.text import WHITESPACE
 from ..plans import audit, datasets
 from ..plans.categorize import SAMPLES_PER_CLUSTER
 from .corpus import RENDER
-from .queries import ECHO_CHARS, RESIDUAL_ROWS, RUN_WORDS
+from .queries import ECHO_CHARS, OWN_NAMES, RESIDUAL_ROWS, RUN_WORDS
 
 
 def q(text: str) -> str:
@@ -447,6 +447,16 @@ def oracle() -> dict[str, str]:
     sql["sample_per_group_nulls"] = """select l_orderkey, l_linenumber, flag from (
         select *, row_number() over (partition by flag order by md5('42:' || k), k) as r
         from (select *, nullif(l_returnflag, 'R') as flag, l_orderkey || ':' || l_linenumber as k from lineitem)) where r <= 700"""
+    owned = "owned as (select " + ", ".join(f"{c} as {n}" for n, c in OWN_NAMES.items()) + " from orders)"
+    sql["sample_exact_own_names"] = f"with {owned} select * from owned order by {rank_of()} limit 700"
+    sql["sample_ties_own_names"] = "select 700 as rows, 700 as ids, 0 as wrong"
+    sql["slice_rows_own_names"] = f"with {owned} select * from owned order by {rank_of()} limit 300 offset 100"
+    sql["sample_per_group_own_names"] = f"""with {owned} select * from owned
+        qualify row_number() over (partition by n order by {rank_of()}) <= 50"""
+    sql["stratified_split_own_names"] = f"""with {owned}, {shares('owned', 'b')}, ranked as (
+        select *, row_number() over (partition by b order by {rank_of()}) as r from owned)
+        select {", ".join(f"ranked.{n}" for n in OWN_NAMES)}, case when r <= shares.wanted then 'test' else 'train' end as split
+        from ranked join shares using (b)"""
     sql["sample_per_group"] = f"""select id, source from (select *, row_number() over (partition by source order by {rank_of()}) as r from ({ids}))
         where r <= 10"""
     sql["sample_per_group_large"] = """select l_orderkey, l_linenumber, l_returnflag from (

@@ -382,6 +382,46 @@ def stratified_split_many_labels(spark, sf_dir):
     return sampling.stratified_split(rows, "label")
 
 
+# Columns of ``orders`` under the names that samples use for their intermediate values.
+OWN_NAMES = {
+    "id": "o_orderkey", "cut": "o_custkey", "n": "o_orderstatus", "need": "o_totalprice", "equal": "o_orderdate",
+    "b": "o_orderpriority", "o": "o_orderkey", "first": "o_custkey", "_first": "o_orderstatus", "place": "o_totalprice",
+    "g0": "o_orderpriority", "same_g0": "o_orderkey", "wanted": "o_custkey", "upto": "o_orderstatus",
+}
+
+
+def _own_names(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(*[F.col(c).alias(n) for n, c in OWN_NAMES.items()])
+
+
+@query
+def sample_exact_own_names(spark, sf_dir):
+    return sampling.sample_exact(_own_names(spark, sf_dir), 700)
+
+
+@query
+def sample_ties_own_names(spark, sf_dir):
+    """The key has a few values, so the last rows are chosen among equal keys: the size and the columns are right."""
+    out = sampling.sample_exact(_own_names(spark, sf_dir), 700, 42, "b")
+    wrong = F.count_if((F.col("o") != F.col("id")) | (F.col("first") != F.col("cut")) | (F.col("g0") != F.col("b")))
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"), wrong.alias("wrong"))
+
+
+@query
+def slice_rows_own_names(spark, sf_dir):
+    return sampling.slice_rows(_own_names(spark, sf_dir), 100, 400)
+
+
+@query
+def sample_per_group_own_names(spark, sf_dir):
+    return sampling.sample_per_group(_own_names(spark, sf_dir), "n", 50)
+
+
+@query
+def stratified_split_own_names(spark, sf_dir):
+    return sampling.stratified_split(_own_names(spark, sf_dir), "b")
+
+
 # -- labels ----------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..session import materialize
-from .schema import require_columns
+from .schema import free_names, require_columns
 
 # 16**4 prefixes: the histogram has at most 65,536 rows per group.
 PREFIX_DIGITS = 4
@@ -42,17 +42,17 @@ def _constant(value) -> Column:
     return F.lit(value)
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join in which a null equals a null; the columns of ``right`` that are named are dropped.
+def _same(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+    """Join in which a null equals a null; ``on`` maps columns of ``left`` to those of ``right``, which are dropped.
 
-    Without names ``right`` has one row at most, and its values become constants.
+    Without columns ``right`` has one row at most, and its values become constants.
     """
-    if not names:
+    if not on:
         row = right.first()
         return left.withColumns({c: _constant(row[c] if row else None) for c in right.columns})
-    other = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
-    on = [left[n].eqNullSafe(other[f"_same_{n}"]) for n in names]
-    return left.join(other, on, how).drop(*[f"_same_{n}" for n in names])
+    renamed = dict(zip(on.values(), free_names([*left.columns, *right.columns], *[f"same_{n}" for n in on.values()])))
+    other = right.withColumnsRenamed(renamed)
+    return left.join(other, [left[a].eqNullSafe(other[renamed[b]]) for a, b in on.items()], how).drop(*renamed.values())
 
 
 def _cutoffs(rows: DataFrame, groups: list[str], target: Target, carried: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +74,7 @@ def _cutoffs(rows: DataFrame, groups: list[str], target: Target, carried: Sequen
         .select(*groups, "b", (F.col("want") - F.col("upto") + F.col("n")).alias("short")),
         "edges",
     )
-    inside = _same(rows.drop(*carried), edges, [*groups, "b"])
+    inside = _same(rows.drop(*carried), edges, {c: c for c in [*groups, "b"]})
     counted = inside.groupBy(*groups, "b", "short", "o").agg(F.count(F.lit(1)).alias("equal"))
     ranked = counted.withColumn("upto", F.sum("equal").over(Window.partitionBy(*groups, "b").orderBy("o")))
     cut = ranked.where((F.col("upto") >= F.col("short")) & (F.col("upto") - F.col("equal") < F.col("short")))
@@ -93,51 +93,64 @@ def _marked(
 ) -> DataFrame:
     """``df`` with ``out``: true for the first ``target(total)`` rows of every group.
 
-    ``carried`` is a table of one row per group whose further columns ``target`` may use.
+    ``carried`` is a table of one row per group, the groups named ``g0``, ``g1``, ..., whose further
+    columns ``target`` may use. Inside, groups have these names only, and what is added to ``df`` on the
+    way takes names that it does not have, so its own columns come back as they are. A column named
+    ``out`` is replaced.
     """
     groups = list(groups)
     require_columns(df, *groups, *_keys(key))
+    named = {g: f"g{i}" for i, g in enumerate(groups)}
+    inner = [F.col(g).alias(n) for g, n in named.items()]
+    own = {n: n for n in named.values()}
     order = hash_order(seed, key)
-    rows = df.select(*groups, order.alias("o"))
-    more = [c for c in carried.columns if c not in groups] if carried is not None else []
+    rows = df.select(*inner, order.alias("o"))
+    more = [c for c in carried.columns if c not in own] if carried is not None else []
     if carried is not None:
-        rows = _same(rows, carried, groups)
-    cuts = _cutoffs(rows, groups, target, more)
+        rows = _same(rows, carried, own)
+    cuts = _cutoffs(rows, list(own), target, more)
     tied = not cuts.where("need < equal").isEmpty()
-    if groups:
-        joined = _same(df, cuts, groups, "left")
-    else:
-        row = cuts.first()  # one row at most
-        if row is None:
-            return df.withColumn(out, F.lit(False))
-        joined = df.withColumns({c: _constant(row[c]) for c in cuts.columns})
+    columns = [c for c in df.columns if c.lower() != out.lower()]
+    cut, need, equal, place = free_names([*df.columns, out], "cut", "need", "equal", "place")
+    if not groups and cuts.first() is None:
+        return df.withColumn(out, F.lit(False))
+    joined = _same(df, cuts.withColumnsRenamed({"cut": cut, "need": need, "equal": equal}), named, "left")
+    upto = F.coalesce(order <= F.col(cut), F.lit(False)).alias(out)
     if not tied:
-        return joined.withColumn(out, F.coalesce(order <= F.col("cut"), F.lit(False))).select(*df.columns, out)
-    tie = F.coalesce((order == F.col("cut")) & (F.col("need") < F.col("equal")), F.lit(False))
-    sure = joined.where(~tie).withColumn(out, F.coalesce(order <= F.col("cut"), F.lit(False)))
+        return joined.select(*columns, upto)
+    tie = F.coalesce((order == F.col(cut)) & (F.col(need) < F.col(equal)), F.lit(False))
+    sure = joined.where(~tie).select(*columns, upto)
     # rows equal in every column are told apart by their place in the written table
-    ties = materialize(joined.where(tie).select(*df.columns, "need").withColumn("_place", F.monotonically_increasing_id()), "ties")
+    ties = joined.where(tie).select(*df.columns, need).withColumn(place, F.monotonically_increasing_id())
+    ties = materialize(ties, "ties")
     among = F.struct(
         F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*df.columns)))).alias("h"),
-        F.lpad(F.col("_place").cast("string"), 20, "0").alias("k"),
+        F.lpad(F.col(place).cast("string"), 20, "0").alias("k"),
     )
-    inner = _cutoffs(ties.select(*groups, "need", among.alias("o")), groups, lambda _: F.col("need"), ["need"])
-    inner = inner.select(*groups, F.col("cut").alias("_cut"))
-    decided = _same(ties, inner, groups, "left").withColumn(out, among <= F.col("_cut"))
-    return sure.select(*df.columns, out).unionByName(decided.select(*df.columns, out))
+    last = ties.select(*inner, F.col(need).alias("need"), among.alias("o"))
+    last = _cutoffs(last, list(own), lambda _: F.col("need"), ["need"]).select(*own, F.col("cut").alias(cut))
+    decided = _same(ties, last, named, "left")
+    return sure.unionByName(decided.select(*columns, (among <= F.col(cut)).alias(out)))
 
 
-def _first(df: DataFrame, n: int, out: str, seed: int, key: str | Sequence[str], strict: bool) -> DataFrame:
+def _first(df: DataFrame, n: int, seed: int, key: str | Sequence[str], strict: bool) -> tuple[DataFrame, str]:
+    """``df`` with a mark on its first ``n`` rows, and the name of the mark."""
     if strict and df.select(*_keys(key)).count() < n:
         raise ValueError(f"fewer than {n} rows to sample from")
-    return _marked(df, lambda _: F.lit(n), out, seed, key)
+    (mark,) = free_names(df.columns, "first")
+    return _marked(df, lambda _: F.lit(n), mark, seed, key), mark
+
+
+def _as_split(marked: DataFrame, mark: str, out: str) -> DataFrame:
+    return marked.withColumn(out, F.when(F.col(mark), F.lit("test")).otherwise(F.lit("train"))).drop(mark)
 
 
 def sample_exact(
     df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "id", strict: bool = False
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement. ``strict`` raises if there are fewer than ``n``."""
-    return _first(df, n, "_first", seed, key, strict).where("_first").drop("_first")
+    marked, mark = _first(df, n, seed, key, strict)
+    return marked.where(F.col(mark)).drop(mark)
 
 
 def holdout_split(
@@ -149,8 +162,8 @@ def holdout_split(
     out: str = "split",
 ) -> DataFrame:
     """Mark exactly ``n`` rows as ``test`` and the others as ``train``."""
-    marked = _first(df, n, "_first", seed, key, strict)
-    return marked.withColumn(out, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train"))).drop("_first")
+    marked, mark = _first(df, n, seed, key, strict)
+    return _as_split(marked, mark, out)
 
 
 def slice_rows(
@@ -160,7 +173,8 @@ def slice_rows(
     rows = sample_exact(df, end, seed, key)
     if start <= 0:
         return rows
-    return _first(rows, start, "_first", seed, key, False).where("not _first").drop("_first")
+    marked, mark = _first(rows, start, seed, key, False)
+    return marked.where(~F.col(mark)).drop(mark)
 
 
 def share_rows(df: DataFrame, part: int, parts: int, key: str = "id") -> DataFrame:
@@ -182,23 +196,24 @@ def stratified_split(
     labels with the largest remainders (ties: the smaller label). Rows without a label stay in
     ``train``. The table of shares has one row per label.
     """
-    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.select(F.col(label).alias("g0")).where("g0 is not null").groupBy("g0").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy()
     # decimals: 0.1 * 30 is 3, not a little more
     share = F.col("n") * F.lit(str(fraction)).cast("decimal(18,12)")
     base = F.floor(share).cast("long")
     missing = F.ceil(F.sum(share).over(every)).cast("long") - F.sum(base).over(every)
-    place = F.row_number().over(Window.orderBy((share - base).desc(), F.col(label)))
-    wanted = materialize(sizes.select(label, (base + (place <= missing).cast("long")).alias("_wanted")), "shares")
-    marked = _marked(df, lambda _: F.col("_wanted"), "_first", seed, key, [label], wanted)
-    return marked.withColumn(out, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train"))).drop("_first")
+    place = F.row_number().over(Window.orderBy((share - base).desc(), "g0"))
+    wanted = materialize(sizes.select("g0", (base + (place <= missing).cast("long")).alias("wanted")), "shares")
+    (mark,) = free_names([*df.columns, out], "first")
+    return _as_split(_marked(df, lambda _: F.col("wanted"), mark, seed, key, [label], wanted), mark, out)
 
 
 def sample_per_group(
     df: DataFrame, group: str, n: int, seed: int = 42, key: str | Sequence[str] = "id"
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows of every group (null is one), the first ones of the seeded order."""
-    return _marked(df, lambda _: F.lit(n), "_first", seed, key, [group]).where("_first").drop("_first")
+    (mark,) = free_names(df.columns, "first")
+    return _marked(df, lambda _: F.lit(n), mark, seed, key, [group]).where(F.col(mark)).drop(mark)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key: str | Sequence[str] = "id") -> DataFrame:

@@ -243,3 +243,24 @@ def test_metrics(spark):
 def test_require_columns(spark):
     with pytest.raises(KeyError, match="nope"):
         require_columns(spark.range(1), "id", "nope")
+
+
+OWN = ["id", "cut", "need", "equal", "n", "b", "o", "_first", "first", "place", "g0", "same_g0", "wanted", "Upto", "short", "k", "h"]
+
+
+@pytest.mark.parametrize("key, group", [("id", "n"), ("b", "cut"), (("id", "o"), "g0"), ("first", "wanted")])
+def test_columns_that_are_called_like_intermediate_values(spark, key, group):
+    rows = [tuple([i] + [f"{c}{i % 3}" for c in OWN[1:]]) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'id' else 'string'}" for c in OWN)).repartition(4)
+    for sampled, n in (
+        (sampling.sample_exact(df, 25, key=key), 25),
+        (sampling.slice_rows(df, 10, 25, key=key), 15),
+        (sampling.sample_per_group(df, group, 7, key=key), 21),
+        (sampling.holdout_split(df, 25, key=key, out="part").drop("part"), 60),
+        (sampling.stratified_split(df, group, key=key, out="part").drop("part"), 60),
+    ):
+        assert sampled.columns == OWN
+        got = sorted(map(tuple, sampled.collect()))
+        assert len(set(got)) == len(got) == n and set(got) <= set(rows)
+    replaced = sampling.holdout_split(df, 25, key=key, out="cut")  # a column of that name is replaced
+    assert sorted(replaced.columns) == sorted(OWN) and replaced.where("cut = 'test'").count() == 25

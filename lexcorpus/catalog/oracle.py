@@ -12,7 +12,7 @@ from ..functions.text import WHITESPACE
 from ..plans import audit, datasets
 from ..plans.categorize import SAMPLES_PER_CLUSTER
 from .corpus import RENDER
-from .queries import ECHO_CHARS, OWN_NAMES, RESIDUAL_ROWS, RUN_WORDS
+from .queries import ECHO_CHARS, GRID, OWN_NAMES, RESIDUAL_ROWS, RUN_WORDS
 
 
 def q(text: str) -> str:
@@ -528,6 +528,13 @@ def oracle() -> dict[str, str]:
     sql["cluster_check"] = f"with {found()} select count(*) as rows, count(distinct id) as ids, 0 as outside, 0 as unnamed from v"
     sql["classifier_check"] = f"""with {LABELED} select (count(*) + 9) // 10 as rows, 0 as outside, true as same_accuracy
         from labeled where verdict_text <> ''"""
+    sql["categorize_saved"] = f"with {found()} select count(*) as rows, 0 as wrong, 0 as unnamed from v"
+    sql["cluster_nearest_check"] = sql["categorize_saved"]
+    sql["minibatch_check"] = f"with {found()} select count(*) as rows, 10 as centers, true as same, true as within_5_percent from v"
+    sql["classifier_selection"] = f"""with {LABELED} select count(*) * {len(GRID)} as predicted, {len(GRID)} as entries, 0 as wrong,
+        true as best_taken from labeled where verdict_text <> ''"""
+    sql["classifier_fit_check"] = f"""with {LABELED} select count(*) as rows, count(distinct label) as classes, 0 as off
+        from labeled where verdict_text <> ''"""
     sql["classification_metrics"] = f"""with {METRICS} select cast(sum(support) as bigint) as rows, round(sum(tp) / sum(support), 6) as accuracy,
         round(avg(f1), 6) as macro_f1, round(sum(f1 * support) / sum(support), 6) as weighted_f1 from scores"""
     sql["class_scores"] = f"""with {METRICS} select class, tp, support, predicted, round(precision, 6) as precision,

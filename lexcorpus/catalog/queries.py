@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import rules
@@ -12,8 +14,9 @@ from ..functions.headings import classify_rules, extract_section, heading_hits
 from ..functions.masking import mask_span, strip_trailing_cues
 from ..functions.vectors import argmax
 from ..operators import consistency as agree
-from ..operators import counts, enrichment, extraction, features, labels, metrics, sampling
+from ..operators import counts, enrichment, extraction, features, labels, metrics, minibatch, sampling, selection
 from ..plans import audit, categorize, comparison, datasets, vocabulary
+from ..plans.category_model import CategoryModel, fit_category_model
 from ..session import materialize, scratch_path
 from ..sources import readers, writers
 from ..sources.result_store import ResultStore
@@ -733,6 +736,114 @@ def classifier_check(spark, sf_dir):
     )
 
 
+def _not_nearest(spark, path: str, rows: DataFrame) -> DataFrame:
+    """Of ``rows(id, verdict, cluster_id, category)``: how many, how many are not at the nearest center of the
+    saved model, and how many lack its name; distances by joins of weights with the written centers."""
+    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("terms", "centers", "clusters")}
+    weights = features.tfidf_weights(rows, read["terms"]).join(read["terms"].select("term", "idx"), "term")
+    dots = weights.join(read["centers"].withColumnRenamed("weight", "c"), "idx")
+    dots = dots.groupBy("id", "cluster_id").agg(F.sum(F.col("weight") * F.col("c")).alias("dot"))
+    norms = read["centers"].groupBy("cluster_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
+    norms = read["clusters"].join(norms, "cluster_id", "left").na.fill(0.0, ["norm"])  # a row per center
+    listed = rows.select("id", F.col("cluster_id").alias("own"), "category").join(
+        norms.agg(F.collect_list(F.struct("cluster_id", "norm", "name")).alias("centers")), how="cross"  # one row
+    )
+    every = listed.select("id", "own", "category", F.inline("centers")).join(dots, ["id", "cluster_id"], "left")
+    away = F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0))
+    judged = every.groupBy("id").agg(
+        F.min(away).alias("least"),
+        F.max(F.when(F.col("own") == F.col("cluster_id"), away)).alias("taken"),
+        F.max((F.col("own") == F.col("cluster_id")) & F.col("category").eqNullSafe(F.col("name"))).alias("named"),
+    )
+    return judged.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.coalesce(F.col("taken") > F.col("least") + 1e-9, F.lit(True))).alias("wrong"),
+        F.count_if(~F.col("named")).alias("unnamed"),
+    )
+
+
+def _saved_check(spark, sf_dir, method: str, fitted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    rows = materialize(verdicts(spark, sf_dir).select("id", "verdict"), "verdicts")
+    path = scratch_path(spark, "model")
+    fit_category_model(fitted(rows), method=method).save(path)
+    out = CategoryModel.load(spark, path).categorize(rows)
+    return _not_nearest(spark, path, materialize(out, "categorized"))
+
+
+@query
+def categorize_saved(spark, sf_dir):
+    """A model of half of the rows, saved and loaded, assigns all rows; checked against its written centers."""
+    return _saved_check(spark, sf_dir, "minibatch", lambda rows: sampling.share_rows(rows, 0, 2))
+
+
+@query
+def cluster_nearest_check(spark, sf_dir):
+    """The full fit: every row is at the nearest of the written centers."""
+    return _saved_check(spark, sf_dir, "full", lambda rows: rows)
+
+
+@query
+def minibatch_check(spark, sf_dir):
+    """Mini-batch centers are the same in another partitioning, and about as good as those of the full fit."""
+    rows = materialize(verdicts(spark, sf_dir).select("id", "verdict"), "verdicts")
+    terms = materialize(features.vocabulary(rows), "vocabulary")
+    vectors = materialize(features.vectorize(rows, terms).select("id", "features"), "vectors")
+    size = terms.count()
+    quick, again = (minibatch.fit_minibatch(v, size) for v in (vectors, vectors.repartition(5, "id")))
+    full = np.array(features.fit_clusters(vectors).clusterCenters())
+    good = minibatch.inertia(vectors, quick) <= 1.05 * minibatch.inertia(vectors, full)
+    return vectors.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(len(quick)).alias("centers"),
+        F.lit(bool(np.array_equal(quick, again))).alias("same"),
+        F.lit(bool(good)).alias("within_5_percent"),
+    )
+
+
+GRID = ({"regParam": 0.001}, {"regParam": 0.01}, {"regParam": 0.3, "elasticNetParam": 0.5})
+
+
+def _classified(spark, sf_dir):
+    labeled = labels.reindex_labels(_labeled(spark, sf_dir)).where(F.length("verdict_text") > 0)
+    return materialize(labeled.select("id", "verdict_text", "label"), "labeled")
+
+
+@query
+def classifier_selection(spark, sf_dir):
+    """Scores of all entries recomputed from the written predictions, and whether the best one was taken."""
+    found = selection.select_classifier(_classified(spark, sf_dir), GRID, "verdict_text", min_df=2)
+    guess, label = F.col("prediction").cast("int"), F.col("label")
+    classes = F.explode(F.array_distinct(F.array(label, guess))).alias("class")
+    per_class = found.predictions.select("entry", label.alias("l"), guess.alias("p"), classes).groupBy("entry", "class").agg(
+        (2 * F.count_if((F.col("l") == F.col("class")) & (F.col("p") == F.col("class")))
+         / (F.count_if(F.col("l") == F.col("class")) + F.count_if(F.col("p") == F.col("class")))).alias("f1")
+    )
+    again = per_class.groupBy("entry").agg(F.avg("f1").alias("again"))
+    scores = found.scores.join(again, "entry")
+    best = F.max_by("entry", F.struct(F.round("again", 9), -F.col("entry"))) == F.lit(found.best)
+    return scores.agg(
+        F.sum("rows").alias("predicted"),
+        F.count(F.lit(1)).alias("entries"),
+        F.count_if(F.abs(F.col("again") - F.col("macro_f1")) > 1e-9).alias("wrong"),
+        best.alias("best_taken"),
+    )
+
+
+@query
+def classifier_fit_check(spark, sf_dir):
+    """At the optimum the weighted probabilities of a class add up to the weight of its rows."""
+    rows = _classified(spark, sf_dir)
+    terms = materialize(features.vocabulary(rows, "verdict_text", min_df=2), "vocabulary")
+    vectors = materialize(features.vectorize(rows, terms, "verdict_text"), "vectors")
+    model = features.fit_classifier(vectors, maxIter=300, tol=1e-9)
+    weights = labels.class_weights(vectors).select("label", "weight")
+    scored = model.transform(vectors.join(weights, "label")).select("label", "weight", vector_to_array("probability").alias("p"))
+    long = scored.select("label", "weight", F.posexplode("p").alias("class", "share"))
+    gap = F.sum(F.col("weight") * (F.col("share") - (F.col("class") == F.col("label")).cast("double")))
+    per_class = long.groupBy("class").agg((F.abs(gap) / F.sum("weight")).alias("gap"), F.count(F.lit(1)).alias("n"))
+    return per_class.agg(F.max("n").alias("rows"), F.count(F.lit(1)).alias("classes"), F.count_if(F.col("gap") > 1e-3).alias("off"))
+
+
 def _predicted(spark, sf_dir):
     labeled = labels.reindex_labels(_labeled(spark, sf_dir)).where(F.length("verdict_text") > 0)
     rows = materialize(labeled.select("id", "verdict_text", "label"), "labeled")

@@ -137,25 +137,32 @@ def center_terms(model: KMeansModel, vocab: DataFrame, n: int = 3) -> dict[int,
     }
 
 
-def fit_classifier(
-    train: DataFrame,
-    label: str = "label",
-    column: str = "features",
-    weighted: bool = True,
-    **params,
-) -> LogisticRegressionModel:
-    """Classifier over text vectors with the class-weighted loss.
+def training_rows(
+    train: DataFrame, label: str = "label", column: str = "features", weighted: bool = True
+) -> tuple[DataFrame, dict]:
+    """Rows to fit a classifier on, written once, and its settings.
 
-    Weights have one row per class; they are written once, so the join
-    broadcasts them by their true size.
+    Weights have one row per class; they are written, so the join broadcasts them by their true size.
     """
     data = train.select(label, column)
-    settings = {"featuresCol": column, "labelCol": label, "maxIter": 50, "regParam": 0.01, **params}
+    settings = {"featuresCol": column, "labelCol": label, "maxIter": 50, "regParam": 0.01}
     if weighted:
         weights = materialize(class_weights(train, label).select(label, "weight"), "weights")
         data = data.join(weights, label)
         settings["weightCol"] = "weight"
-    return LogisticRegression(**settings).fit(materialize(data, "vectors"))
+    return materialize(data, "vectors"), settings
+
+
+def fit_classifier(
+    train: DataFrame,
+    label: str = "label",
+    column: str = "features",
+    weighted: bool = True,
+    **params,
+) -> LogisticRegressionModel:
+    """Classifier over text vectors with the class-weighted loss."""
+    data, settings = training_rows(train, label, column, weighted)
+    return LogisticRegression(**{**settings, **params}).fit(data)
 
 
 def train_text_classifier(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def confusion(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """``(label, prediction, n)`` of the rows that have both; see :func:`incomplete_rows` for the others."""
+def confusion(
+    df: DataFrame, prediction: str = "prediction", label: str = "label", by: Sequence[str] = ()
+) -> DataFrame:
+    """``(by…, label, prediction, n)`` of the rows that have both; see :func:`incomplete_rows` for the others."""
     known = F.col(label).isNotNull() & F.col(prediction).isNotNull()
     return df.where(known).groupBy(
-        F.col(label).cast("long").alias("label"), F.col(prediction).cast("long").alias("prediction")
+        *by, F.col(label).cast("long").alias("label"), F.col(prediction).cast("long").alias("prediction")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -21,8 +25,10 @@ def incomplete_rows(df: DataFrame, prediction: str = "prediction", label: str =
     )
 
 
-def class_scores(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """``(class, tp, support, predicted, precision, recall, f1)`` for every class seen
+def class_scores(
+    df: DataFrame, prediction: str = "prediction", label: str = "label", by: Sequence[str] = ()
+) -> DataFrame:
+    """``(by…, class, tp, support, predicted, precision, recall, f1)`` for every class seen
     in labels or predictions; a score without a denominator is 0."""
     sides = F.inline(
         F.array(
@@ -41,9 +47,9 @@ def class_scores(df: DataFrame, prediction: str = "prediction", label: str = "la
         )
     )
     per_class = (
-        confusion(df, prediction, label)
-        .select(sides)
-        .groupBy("class")
+        confusion(df, prediction, label, by)
+        .select(*by, sides)
+        .groupBy(*by, "class")
         .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     )
 
@@ -59,10 +65,10 @@ def class_scores(df: DataFrame, prediction: str = "prediction", label: str = "la
 
 
 def classification_metrics(
-    df: DataFrame, prediction: str = "prediction", label: str = "label"
+    df: DataFrame, prediction: str = "prediction", label: str = "label", by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row: ``rows, accuracy, macro_f1, weighted_f1``."""
-    return class_scores(df, prediction, label).agg(
+    """One row, or one for each value of ``by``: ``(by…, rows, accuracy, macro_f1, weighted_f1)``."""
+    return class_scores(df, prediction, label, by).groupBy(*by).agg(
         F.sum("support").alias("rows"),
         F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.avg("f1").alias("macro_f1"),

@@ -424,6 +424,13 @@ def oracle() -> dict[str, str]:
         {listed('category_counts', 'select category as k, count(*) as n from named group by 1')},
         {listed('heading_rates', 'select k, cast(round(round(heads.n / total.n, 4) * 10000) as int) as n from heads, total')},
         md5({listed('x', 'select * from chosen').rsplit(' as ', 1)[0]}) as examples_md5 from total"""
+    sql["price_stats"] = " union all ".join(
+        f"""select '{m}' as metric, count({c}) as n, round(avg({c}), 2) as mean, median({c})::double as median,
+        (list({c} order by {c}))[least(count({c}) - 1, count({c}) * 95 // 100) + 1]::double as p95,
+        min({c})::double as min, max({c})::double as max from lineitem"""
+        for m, c in (("price", "l_extendedprice"), ("quantity", "l_quantity"), ("order", "l_orderkey"))
+    )
+    sql["residual_bigrams_top"] = sql["residual_bigrams"]
     sql["quality_summary"] = f"""with {LABELED}
         select 'rows_per_source' as metric, source as key, cast(count(*) as double) as value from labeled group by source
         union all select 'rows_per_label', cast(label as varchar), count(*) from labeled group by label

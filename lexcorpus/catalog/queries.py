@@ -14,7 +14,7 @@ from ..functions.headings import classify_rules, extract_section, heading_hits
 from ..functions.masking import mask_span, strip_trailing_cues
 from ..functions.vectors import argmax
 from ..operators import consistency as agree
-from ..operators import counts, enrichment, extraction, features, labels, metrics, minibatch, sampling, selection
+from ..operators import counts, enrichment, extraction, features, labels, metrics, minibatch, sampling, selection, selection_stats
 from ..plans import audit, categorize, comparison, datasets, vocabulary
 from ..plans.category_model import CategoryModel, fit_category_model
 from ..session import materialize, scratch_path
@@ -243,6 +243,21 @@ def length_stats(spark, sf_dir):
     return counts.length_stats(corpus(spark, sf_dir), chars=T.char_count(c), words=T.word_count(c))
 
 
+@query
+def price_stats(spark, sf_dir):
+    """Statistics of columns with very many values."""
+    rows = table(spark, sf_dir, "lineitem")
+    return selection_stats.numeric_stats(rows, price=F.col("l_extendedprice"), quantity=F.col("l_quantity"), order=F.col("l_orderkey"))
+
+
+@query
+def residual_bigrams_top(spark, sf_dir):
+    """The most frequent bigrams without a count of all of them."""
+    rest = extraction.without_headings(corpus(spark, sf_dir))
+    grams = materialize(counts.bigram_rows(rest), "bigrams")
+    return selection_stats.exact_top_k(grams, "bigram", 40)
+
+
 @query
 def value_counts(spark, sf_dir):
     return counts.value_counts(table(spark, sf_dir, "documents"), "source", "lang")

@@ -90,9 +90,15 @@ def term_counts(
     return value_counts(df.select(F.explode(_terms(df, text, stop)).alias("term")), "term")
 
 
+def bigram_rows(
+    df: DataFrame, text: str = "text", stop: Sequence[str] = rules.RESIDUAL_STOP_WORDS
+) -> DataFrame:
+    """``(bigram)``: a row for each two neighbours once stop words are out, within one text."""
+    return df.select(F.explode(let(_terms(df, text, stop), bigrams)).alias("bigram"))
+
+
 def bigram_counts(
     df: DataFrame, text: str = "text", stop: Sequence[str] = rules.RESIDUAL_STOP_WORDS
 ) -> DataFrame:
     """``(bigram, n)`` of neighbours once stop words are out, within one text."""
-    grams = let(_terms(df, text, stop), bigrams)
-    return value_counts(df.select(F.explode(grams).alias("bigram")), "bigram")
+    return value_counts(bigram_rows(df, text, stop), "bigram")

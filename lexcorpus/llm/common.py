@@ -83,3 +83,23 @@ def ordered_index(df: DataFrame, *order: Column, name: str = "index") -> DataFra
         .withColumn(name, F.col("_start") + F.col("_place"))
         .drop("_part", "_start", "_place")
     )
+
+
+def numbered(docs: DataFrame, name: str, nulls: bool = False) -> DataFrame:
+    """``docs`` with ``name``: a number for each distinct id and text, in the order of ``doc_id``.
+
+    Where no id has two texts, that is the id itself. Otherwise ids and texts are numbered anew, different
+    texts of one id in the order of their hash. A null id has no number, or with ``nulls`` one for each
+    distinct text, after all ids.
+    """
+    number = F.col("doc_id").cast("long")
+    hashed = docs.select(number.alias("id"), F.xxhash64("text").alias("hash"))
+    if not nulls:
+        hashed = hashed.where("id is not null")
+    mixed = hashed.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("id is null or low != high")
+    if mixed.isEmpty():
+        return docs.withColumn(name, number)
+    index = ordered_index(hashed.distinct(), F.asc_nulls_last("id"), F.asc("hash"), name="number")
+    index = keep(index, "numbers").withColumnsRenamed({"id": f"{name}_id", "hash": f"{name}_hash", "number": name})
+    same = number.eqNullSafe(F.col(f"{name}_id")) & (F.xxhash64("text") == F.col(f"{name}_hash"))
+    return docs.join(index, same, "left").drop(f"{name}_id", f"{name}_hash")

@@ -158,7 +158,7 @@ def mixed_rows(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
 
     The row of a source that is taken in part appears once more, cut after its leading words.
     """
-    key = ["doc_id", "text_hash"]
+    key = ["doc_id", "source", "text_hash"]
     taken = mix_sources(docs, seed=seed, **options).groupBy(*key).agg(
         F.sum("copies").alias("_copies"), F.sum("part_words").alias("_part")
     )
@@ -166,8 +166,11 @@ def mixed_rows(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
     rows = docs.withColumn("text_hash", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_copy", copy)
     rows = rows.where("_copy = 1")
     joined = rows.join(
-        taken, rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows["text_hash"] == taken["text_hash"])
-    ).drop(taken["doc_id"], taken["text_hash"])
+        taken,
+        rows["doc_id"].eqNullSafe(taken["doc_id"])
+        & rows["source"].eqNullSafe(taken["source"])
+        & (rows["text_hash"] == taken["text_hash"]),
+    ).drop(taken["doc_id"], taken["source"], taken["text_hash"])
     lengths = F.concat(
         F.array_repeat(F.lit(None).cast("long"), F.col("_copies").cast("int")),
         F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>")),

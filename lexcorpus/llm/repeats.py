@@ -20,8 +20,9 @@ group on the spot, so a passage that a third of all documents share costs one ro
 the exchange the sorted rows are streamed with one row of memory. Digits are 64-bit hashes, and two
 of them decide equality.
 
-Order of windows: by ``doc_id``, then by start. Rows with the same ``doc_id`` count as copies of the
-same document, and what one of them loses all lose. A row without id has no place in the order: it
+Order of windows: by ``doc_id``, then by start. Rows with the same ``doc_id`` and text are copies of
+one document, and what one of them loses all lose. Different texts of one ``doc_id`` are documents of
+their own, in the order of a hash of their text. A row without id has no place in the order: it
 is left whole and takes nothing from others. A null text is an empty one; texts below ``depth``
 bytes lose nothing. A text longer than a task's block is cut into overlapping blocks, which leaves
 the result as it is. An empty table gives an empty result.
@@ -34,8 +35,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import CHUNK_BYTES, chunks, keep, text_bytes
+from .common import CHUNK_BYTES, chunks, keep, numbered, text_bytes
 from .hashing import Hashed, Powers, group_of, mix, signed
 
 DEPTH = 100
@@ -301,18 +303,21 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, as_text:
     """All columns of ``docs`` and ``kept`` (the text's bytes that are no repeats), ``n_bytes``, ``removed``.
 
     ``removed`` lists start and end of every maximal removed run. With ``as_text``, ``kept`` is a
-    string without those bytes that no longer belong to a whole character.
+    string without those bytes that no longer belong to a whole character. Columns of ``docs`` that
+    have one of these three names are replaced; all others come back as they are.
     """
-    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    spans = keep(repeated_spans(keyed, depth, gram), "spans")
-    fields = [f for f in docs.schema.fields if f.name not in ("kept", "n_bytes", "removed", "doc", "spans")]
-    rows = docs.select(*[f.name for f in fields]).withColumn("doc", F.col("doc_id").cast("long"))
+    fields = [f for f in docs.schema.fields if f.name.lower() not in ("kept", "n_bytes", "removed")]
+    taken = {f.name.lower() for f in fields}
+    doc, listed = (next(n for n in (f"{'_' * k}{name}" for k in range(len(taken) + 1)) if n not in taken) for name in ("doc", "spans"))
+    rows = numbered(docs.select(*[F.col(f"`{f.name}`") for f in fields]), doc)
+    keyed = rows.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), "text")
+    spans = keep(repeated_spans(keyed, depth, gram), "spans").withColumnsRenamed({"doc": doc, "spans": listed})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             kept, removed = [], []
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
+            for text, spans in zip(texts, batch.column(listed).to_pylist()):
                 text = text or b""
                 found: list[list[int]] = []
                 for span in spans or ():
@@ -338,8 +343,8 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, as_text:
                 names=[*(f.name for f in fields), "kept", "n_bytes", "removed"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.join(spans, "doc", "left").mapInArrow(cut, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, removed array<array<bigint>>")
+    made = f"kept {'string' if as_text else 'binary'}, n_bytes long, removed array<array<bigint>>"
+    return rows.join(spans, doc, "left").mapInArrow(cut, StructType([*fields, *StructType.fromDDL(made).fields]))
 
 
 def digest(cut: DataFrame) -> DataFrame:

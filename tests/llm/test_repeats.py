@@ -59,3 +59,18 @@ def test_nulls_ties_repeats_and_empty(spark):
     rows = [(1, None), (2, ""), (3, long), (5, long), (5, long), (None, long[:200]), (None, "short"), (7, "x" * 99), (8, "x" * 99), (9, "y" * 300)]
     assert run(spark, rows, 100, 32) == brute(rows, 100)
     assert digest(cut_repeats(spark.createDataFrame([], KIND))).collect() == []
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    dice = random.Random(8)
+    word = lambda n: "".join(dice.choice("abcdefghij") for _ in range(n))
+    shared, long, short, other, last = word(300), word(4000) + "X", word(50) + "Y", word(1500), word(200) + "Z"
+    rows = [(1, shared), (2, long + shared), (2, short + shared), (2, other), (2, other), (3, last + other[:400]), (None, shared)]
+    docs = spark.createDataFrame([(d, t, "mine", "own", [1]) for d, t in rows], "doc_id long, text string, doc string, spans string, _doc array<int>")
+    got = cut_repeats(docs.repartition(4)).collect()
+    kept = {(r.doc_id, r.text): bytes(r.kept).decode() for r in got}
+    assert kept == {
+        (1, shared): shared, (2, long + shared): long, (2, short + shared): short, (2, other): other,
+        (3, last + other[:400]): last, (None, shared): shared,
+    }
+    assert len(got) == 7 and all((r.doc, r.spans, r["_doc"]) == ("mine", "own", [1]) for r in got)

@@ -192,7 +192,9 @@ WITH turns AS (
     SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
 chats AS (
     SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS said
-    FROM turns GROUP BY conv_id),
+    FROM turns WHERE conv_id IS NOT NULL GROUP BY conv_id
+    UNION ALL
+    SELECT NULL, [struct_pack(role := role, text := text)] FROM turns WHERE conv_id IS NULL),
 classes AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, said FROM chats GROUP BY said),
 inner_prefixes AS (
     SELECT DISTINCT said[1:n] AS said

@@ -11,14 +11,15 @@ are moved twice: to order the turns of each conversation, and for conversations
 fit into one.
 
 Turns are ordered by ``turn`` (null first), then role, then text; a row repeated within a
-conversation counts once. A null role is ``user``, a null text is empty. Rows without ``conv_id``
-form one conversation with a null id, which loses ties against others. An empty table gives an empty
-result. Further columns are ignored.
+conversation counts once. A null role is ``user``, a null text is empty. Each distinct row without
+``conv_id`` is a conversation of one turn with a null id, which loses ties against others: such rows are
+never brought together, however many there are. An empty table gives an empty result. Further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import keep
@@ -48,36 +49,55 @@ def prefixes(log: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(1), "role", "text").alias("h1"),
         F.xxhash64(F.lit(2), "role", "text").alias("h2"),
     )
-    placed = rows.distinct().withColumn("place", F.row_number().over(order))
+    rows = rows.distinct()
+    placed = rows.where("conv_id is not null").withColumn("place", F.row_number().over(order))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select(
+    known = placed.select(
         "conv_id",
         "place",
         F.bit_xor(F.xxhash64("place", "h1")).over(running).alias("hash1"),
         F.bit_xor(F.xxhash64("place", "h2")).over(running).alias("hash2"),
         F.max("place").over(whole).alias("n_turns"),
     )
+    alone = rows.where("conv_id is null")
+    return known.unionByName(
+        alone.select("conv_id", F.lit(1).alias("place"), *_single_hashes(), F.lit(1).alias("n_turns"))
+    )
 
 
-def maximal(log: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, copies``: the conversations that no other one continues; ``copies`` are equal to it, itself included."""
+def _single_hashes() -> list[Column]:
+    """Both hashes of a conversation of one turn."""
+    return [F.xxhash64(F.lit(1), F.xxhash64(F.lit(i), "role", "text")).alias(f"hash{i}") for i in (1, 2)]
+
+
+def _maximal(log: DataFrame) -> DataFrame:
     rows = keep(prefixes(log), "prefixes")
     key = ["place", "hash1", "hash2"]
     ends = rows.where("place = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     inner = rows.where("place < n_turns").select(*key).distinct()
-    return ends.join(inner, key, "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"), "copies")
+    kept = ends.join(inner, key, "left_anti")
+    return kept.select("conv_id", F.col("place").cast("long").alias("n_turns"), "copies", "hash1", "hash2")
+
+
+def maximal(log: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, copies``: the conversations that no other one continues; ``copies`` are equal to it, itself included."""
+    return _maximal(log).drop("hash1", "hash2")
 
 
 def rendered(log: DataFrame) -> DataFrame:
     """``conv_id, n_turns, copies, rendered``, a row per maximal conversation."""
-    kept = keep(maximal(log), "maximal")
+    kept = keep(_maximal(log), "maximal")
     turns = _turns(log)
+    before, after, end = (F.lit(part) for part in TURN)
     texts = (
-        turns.join(kept.select(F.col("conv_id").alias("kept_id")), turns["conv_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+        turns.join(kept.select("conv_id"), "conv_id", "left_semi")  # a null id meets nothing
         .groupBy("conv_id")
         .agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     )
-    before, after, end = (F.lit(part) for part in TURN)
     parts = F.transform("turns", lambda t: F.concat(before, t["role"], after, t["text"], end))
-    texts = texts.select(F.col("conv_id").alias("text_id"), F.array_join(parts, "").alias("rendered"))
-    return kept.join(texts, kept["conv_id"].eqNullSafe(texts["text_id"])).drop("text_id")
+    known = kept.join(texts.select("conv_id", F.array_join(parts, "").alias("rendered")), "conv_id")
+    single = F.min(F.concat(before, "role", after, "text", end)).alias("rendered")
+    alone = turns.where("conv_id is null").groupBy(*_single_hashes()).agg(single)
+    nameless = kept.where("conv_id is null").join(alone, ["hash1", "hash2"])
+    columns = ["conv_id", "n_turns", "copies", "rendered"]
+    return known.select(*columns).unionByName(nameless.select(*columns))

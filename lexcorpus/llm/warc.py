@@ -39,6 +39,7 @@ from .common import keep
 LEAST_SHARED = 100
 BLOCK_LINES = 1000
 FILE_BYTES = 1 << 30
+READ_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"  # the pages table has no capture time
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 
@@ -236,14 +237,20 @@ def lookup(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
         files.close()
 
     wanted = keys.select("key").distinct().mapInArrow(send, "key string, shard string")
-    return wanted.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, CAPTURE)
+    # as many tasks as shards: the size of the keys says nothing about the blocks that are read for them
+    return wanted.repartition(max(1, len(bounds)), "shard").sortWithinPartitions("shard", "key").mapInArrow(search, CAPTURE)
 
 
-def fetch(captures: DataFrame, folder: str) -> DataFrame:
+def fetch(captures: DataFrame, folder: str, size: int | None = None) -> DataFrame:
     """The records behind captures: ``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` and their place.
 
     ``payload`` is null for a revisit; ``payload_bytes`` and ``payload_digest`` are those of the full payload.
+    ``size`` is the length of all records together, summed here if it is not known; there is a task
+    for each ``READ_BYTES`` of them, whatever the size of the captures themselves.
     """
+    if size is None:
+        captures = keep(captures, "captures")
+        size = captures.agg(F.sum("length")).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder)
@@ -278,7 +285,7 @@ def fetch(captures: DataFrame, folder: str) -> DataFrame:
         files.close()
 
     return (
-        captures.repartition("file")
+        captures.repartitionByRange(max(1, -(-size // READ_BYTES)), "file", "offset")
         .sortWithinPartitions("file", "offset")
         .mapInArrow(
             run,
@@ -297,4 +304,5 @@ def write_and_read(pages: DataFrame) -> DataFrame:
     folder = archive_folder(pages)
     captures = write_archives(pages, folder)
     shards = write_index(captures, folder)
-    return fetch(lookup(captures.select("key"), shards, folder), folder)
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return fetch(lookup(captures.select("key"), shards, folder), folder, size)

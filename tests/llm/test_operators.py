@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexcorpus.llm import cascade, hidden_markov, merkle, mixing, packing, snapshots, toxicity, warc
 
@@ -331,6 +332,20 @@ def test_snapshots_collapse(spark):
     assert snapshots.rendered(df.limit(0)).collect() == []
 
 
+def test_rows_without_conversation_are_single_turns(spark):
+    log = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "one"), (None, 0, "user", "hi"), (None, 3, None, "hi")]
+    log += [(None, 0, "user", "one"), (None, 1, "user", "one"), (None, 1, "user", "one")]
+    log += [(None, 5, "user", "two"), (None, 6, "assistant", "two"), (None, None, None, None)]
+    df = spark.createDataFrame(log, "conv_id long, turn long, role string, text string").repartition(3)
+    rows = Counter((r.conv_id, r.n_turns, r.copies, r.rendered.count("two")) for r in snapshots.rendered(df).collect())
+    # "hi" continues in 1; "one" equals 2 and stands there twice more; the others stay for themselves
+    assert rows == {(1, 2, 1, 0): 1, (2, 1, 3, 0): 1, (None, 1, 1, 1): 2, (None, 1, 1, 0): 1}
+    many = spark.range(3000).select(
+        F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text")
+    )
+    assert snapshots.rendered(many.unionByName(df)).count() == 3005
+
+
 def test_tied_turns_are_ordered_by_whole_text(spark):
     log = []
     for k in range(40):  # hashes put the two texts of about half of the pairs the other way round

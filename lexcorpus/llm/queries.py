@@ -58,7 +58,7 @@ def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    rows = toxicity.fit_and_score(docs, table(spark, sf_dir, "labels"), ["doc_id"])
     return rows.select(
         "doc_id",
         toxicity.held_out().alias("held_out"),

@@ -5,11 +5,17 @@ and word beginnings, and the vocabulary holds every term of an example. Document
 IDF are counted over all documents. Terms of a query that no example has are left out of its vector, as
 they are no terms of the vocabulary.
 
-Examples with equal vectors are one row. Terms that many rows share are a dense matrix, so that a
-block of queries is one product; all others are postings. Both together are the cosine up to the
-rounding of single precision; whatever could be among the nearest within that error is computed
-again in double precision, so the neighbours are exact. Neighbours vote with a weight that falls with their distance; votes are calibrated by a
-logistic curve fitted on the examples, each without its own vote. Neighbours are the evidence.
+The index is inverted and block-max. Examples with equal vectors are one row; rows are ordered by their
+number of terms and cut into shards of at most ``SHARD_NUMBERS`` postings, and a shard is unpacked, searched and
+dropped (or kept, up to ``KEPT_NUMBERS``) for a batch of queries. The postings of most terms are read for every query that has them. Those of terms that
+many rows share are blocks of ``BLOCK`` rows with the largest weight of each term: blocks and rows whose
+bound (the largest weights, or the length of both vectors in these terms) cannot reach the k-th cosine found
+so far are skipped. Sums in single precision come with a bound on their error; whatever could be among the nearest
+within it is computed again in double precision, so the neighbours are exact. The k nearest of all shards are merged.
+
+A row of ``documents`` is tokenised once: its words, as numbers of the vocabulary, are written and serve document
+frequencies, example vectors and queries. Neighbours vote with a weight that falls with their distance; votes are
+calibrated by a logistic curve fitted on the examples, each without its own vote. Neighbours are the evidence.
 
 A text without any term of the vocabulary (an empty or null one too) has no neighbour; its vote is
 the rate among the examples that have none either, or among all if there are none. The score is a function of the text alone:
@@ -24,20 +30,26 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, keep
+from .common import chunks, discard, keep
 from .hidden_markov import remainder
 
 EXAMPLES = 20_000
 NEIGHBOURS = 15
-DENSE_SHARE = 0.05  # terms of so many rows are dense, as far as DENSE_NUMBERS go; the others are postings
-DENSE_NUMBERS = 40_000_000
-QUERIES = 128  # in one product
+SHARED = 0.08  # terms that so many rows have keep their postings in blocks
+BLOCK = 32  # rows
+OPENED = 32  # rows, the most promising first, between two looks at the k-th cosine
+WIDE = 1 / 16  # queries that have to open more of the rows are multiplied with all blocks together
+SHARD_NUMBERS = 16_000_000  # postings in a shard
+KEPT_NUMBERS = 16_000_000  # postings in the unpacked shards that a worker keeps
+QUERIES = 128  # in one step
 PREFIXES = (4, 5)
+POSTING = np.dtype([("row", np.int32), ("weight", np.float32)])
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,13 +61,18 @@ def _words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> DataFrame:
-    """``doc_id, text, toxic``: at most about ``limit`` labelled rows that may be learned from."""
+def _picked(labels: DataFrame, limit: int) -> DataFrame:
+    """``doc_id, toxic``: at most about ``limit`` labelled documents that may be learned from."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(remainder(F.col("doc_id"), 5) != 0)
     share = min(1.0, limit / max(known.count(), 1))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id")
+    picked = known.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+
+def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> DataFrame:
+    """``doc_id, text, toxic`` of the labelled rows that may be learned from."""
+    return docs.select(F.col("doc_id").cast("long"), "text").join(_picked(labels, limit), "doc_id")
 
 
 def _vocabulary(rows: DataFrame) -> list[str]:
@@ -73,47 +90,89 @@ def _vocabulary(rows: DataFrame) -> list[str]:
 
 
 class _Memo(dict):
-    """Numbers of the vocabulary's terms in a word."""
+    """Number of the longest term of the vocabulary that a word has, or -1; the shorter ones follow from it."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self._vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
             self.clear()
-        self[word] = found = tuple(k for t in terms_of(word) if (k := self._vocabulary.get(t)) is not None)
+        known = (self._vocabulary.get(t, -1) for t in (word, *reversed(terms_of(word)[1:])))
+        self[word] = found = next((k for k in known if k >= 0), -1)
         return found
 
 
-def _term_counts(text: str | None, memo: _Memo) -> dict[int, int]:
-    counts: dict[int, int] = {}
-    for word, times in Counter(_words(text)).items():
-        for k in memo[word]:
-            counts[k] = counts.get(k, 0) + times
-    return counts
+def _shorter(vocabulary: list[str]) -> np.ndarray:
+    """For each term the numbers of the shorter terms that come with it, -1 where there is none."""
+    numbers = {t: k for k, t in enumerate(vocabulary)}
+    result = np.full((len(PREFIXES), len(vocabulary)), -1, np.int32)
+    for k, term in enumerate(vocabulary):
+        word, least = (term[:-1], 0) if term.endswith("*") else (term, 1)
+        for i, n in enumerate(PREFIXES):
+            if len(word) >= n + least and f"{word[:n]}*" != term:
+                result[i, k] = numbers.get(f"{word[:n]}*", -1)
+    return result
+
+
+def _grouped(owner: np.ndarray, terms: np.ndarray, times: np.ndarray, rows: int, distinct: int):
+    """Where each row's terms begin, its distinct terms in order, and how often they occur."""
+    key = owner.astype(np.int64) * max(distinct, 1) + terms
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    sums = np.add.reduceat(times[order], first) if len(first) else times[:0]
+    key = key[first]
+    owner = key // max(distinct, 1)
+    return np.searchsorted(owner, np.arange(rows + 1)), (key - owner * max(distinct, 1)).astype(np.int32), sums
+
+
+def _keys(texts: list[str | None], memo: _Memo, distinct: int):
+    """Longest known terms of every text, see ``_grouped``."""
+    found = [list(map(memo.__getitem__, _words(t))) for t in texts]
+    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    flat = np.fromiter(chain.from_iterable(found), np.int64, len(owner))
+    owner, flat = owner[flat >= 0], flat[flat >= 0]
+    return _grouped(owner, flat, np.ones(len(flat), np.int32), len(found), distinct)
+
+
+def _all_terms(at: np.ndarray, keys: np.ndarray, times: np.ndarray, shorter: np.ndarray):
+    """The longest terms together with all shorter ones, see ``_grouped``."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    terms = np.concatenate([keys, *(s[keys] for s in shorter)])
+    known, times = terms >= 0, np.tile(times, len(shorter) + 1)
+    return _grouped(np.tile(owner, len(shorter) + 1)[known], terms[known], times[known], len(at) - 1, shorter.shape[1])
+
+
+def _lists(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _batch_terms(batch: pa.RecordBatch, shorter: np.ndarray):
+    size = batch.column("keys").value_lengths().to_numpy(zero_copy_only=False)
+    return _all_terms(np.concatenate([[0], np.cumsum(size)]), _lists(batch.column("keys")), _lists(batch.column("times")), shorter)
 
 
-def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+def _frequencies(vectors: DataFrame, shorter) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and how many documents there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
+    distinct = shorter.value.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {t: k for k, t in enumerate(shared.value)}
-        memo, found, rows = _Memo(numbers), np.zeros(len(numbers) + 1, np.int64), 0
+        found, rows = np.zeros(distinct + 1, np.int64), 0
         for batch in batches:
-            for part in chunks(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    found[list({k for word in set(_words(text)) for k in memo[word]})] += 1
-                    rows += 1
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                found[:-1] += np.bincount(_batch_terms(part, shorter.value)[1], minlength=distinct)
+                rows += part.num_rows
         found[-1] = rows
         seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen])], names=["term", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    result = np.zeros(len(vocabulary) + 1, np.int64)
-    result[sums.column("term").to_numpy()] = sums.column("n").to_numpy()  # a row per term of the vocabulary
-    shared.unpersist()
+    counts = vectors.select("keys", "times").mapInArrow(run, "term long, n long")
+    sums = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the vocabulary
+    result = np.zeros(distinct + 1, np.int64)
+    result[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     return result[:-1], int(result[-1])
 
 
@@ -122,12 +181,94 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+class Shard:
+    """Rows ``low``, ``low + 1``, ... by term: postings, and blocks with largest weights for ``shared`` terms."""
+
+    def __init__(self, low: int, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, place: np.ndarray, shared: int):
+        self.low, self.rows = low, len(at) - 1
+        owner = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(at))
+        heads = place[terms]
+        inside = heads >= 0
+        self.dense = np.zeros((self.rows, shared), np.float32)
+        self.dense[owner[inside], heads[inside]] = weights[inside]
+        self.length = np.sqrt(np.einsum("ij,ij->i", self.dense, self.dense, dtype=np.float64))
+        starts = np.arange(0, self.rows, BLOCK)
+        self.largest = np.maximum.reduceat(self.dense, starts, axis=0)
+        self.block = np.arange(self.rows) // BLOCK
+        rest = np.flatnonzero(~inside)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        postings = np.empty(len(rest), POSTING)
+        postings["row"], postings["weight"] = owner[rest], weights[rest]
+        self.postings = postings.view(np.int64)  # copied faster than pairs
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms[rest], minlength=len(place)))])
+        self.opened = 0  # rows whose shared terms were read
+
+    def search(self, numbers, weights, head, bounds, wanted: int, floor: float, error: float):
+        """Rows opened and their cosines; or the sums without shared terms and None if too many rows have to be opened."""
+        start, end = self.at[numbers], self.at[numbers + 1]
+        some = end > start
+        pairs = list(zip(start[some].tolist(), end[some].tolist()))
+        if pairs:
+            read = np.concatenate([self.postings[a:b] for a, b in pairs]).view(POSTING)
+            values = read["weight"] * np.repeat(weights[some].astype(np.float32), (end - start)[some])
+            score = np.bincount(read["row"], values, self.rows)
+        else:
+            score = np.zeros(self.rows)
+        bound = score + np.minimum(self.length * math.sqrt(float(head @ head)), bounds[self.block])
+        size = min(OPENED, self.rows)
+        top = np.argpartition(bound, self.rows - size)[self.rows - size :]
+        found, cosines = top, score[top] + self.dense[top] @ head
+        floor = max(floor, _least(cosines, wanted) - 2 * error)
+        bound[top] = 0.0
+        more = np.flatnonzero((bound > 0) & (bound + error >= floor))
+        if len(more) > WIDE * self.rows:
+            return score, None, floor
+        more = more[np.argsort(-bound[more])]
+        for k in range(0, len(more), OPENED):
+            part = more[k : k + OPENED]
+            if bound[part[0]] + error < floor:
+                break
+            found, cosines = np.concatenate([found, part]), np.concatenate([cosines, score[part] + self.dense[part] @ head])
+            floor = max(floor, _least(cosines, wanted) - 2 * error)
+        self.opened += len(found)
+        return (found, *self._near(cosines, wanted, floor, error))
+
+    @staticmethod
+    def _near(cosines: np.ndarray, wanted: int, floor: float, error: float):
+        floor = max(floor, _least(cosines, wanted) - 2 * error)
+        return np.where((cosines > 0) & (cosines >= floor), cosines, 0.0), floor
+
+    def search_all(self, vectors, heads: np.ndarray, floors: list[float], error: float):
+        """For each query: rows, their cosines up to ``error``, and a bound that the last of its nearest rows reach.
+
+        Every row that can be among the ``wanted`` nearest of a query above its floor is given out.
+        """
+        bounds, result, wide = heads @ self.largest.T, [], []
+        for i, (numbers, weights, wanted) in enumerate(vectors):
+            if len(numbers):
+                result.append(self.search(numbers, weights, heads[i], bounds[i], wanted, floors[i], error))
+                if result[i][1] is None:
+                    wide.append(i)
+            else:
+                result.append((np.zeros(0, np.int64), np.zeros(0), 0.0))
+        for i, product in zip(wide, heads[wide] @ self.dense.T if wide else ()):
+            self.opened += self.rows
+            cosines = result[i][0] + product
+            result[i] = (np.arange(self.rows), *self._near(cosines, vectors[i][2], result[i][2], error))
+        return [(rows[cosines > 0] + self.low, cosines[cosines > 0], floor) for rows, cosines, floor in result]
+
+
+def _least(values: np.ndarray, wanted: int) -> float:
+    """The ``wanted``-th largest value, or 0 where there are fewer."""
+    return float(np.partition(values, len(values) - wanted)[len(values) - wanted]) if len(values) >= wanted else 0.0
+
+
 class Index:
-    """Unit vectors of the examples by row and, for the cosines, by term."""
+    """Vectors of the examples by row, and by term in shards."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids, toxic, vectors):
+    def __init__(self, idf: np.ndarray, ids, toxic, vectors):
         """``vectors``: where each example's terms begin, and all terms and how often they occur."""
-        self.idf, self.memo = idf, _Memo({t: k for k, t in enumerate(vocabulary)})
+        self.idf = idf
         ids, toxic = np.array(ids, np.int64), np.array(toxic, float)
         at, terms, times = vectors
         size = np.diff(at)
@@ -137,76 +278,96 @@ class Index:
         for k in np.flatnonzero(size).tolist():
             a, b = at[k], at[k + 1]
             groups.setdefault(terms[a:b].tobytes() + times[a:b].tobytes(), []).append(k)
-        members = [sorted(g, key=lambda k: ids[k]) for g in groups.values()]
+        # rows of like length have like weights, so the largest of a block says much about all of it
+        members = sorted((sorted(g, key=lambda k: ids[k]) for g in groups.values()), key=lambda g: size[g[0]])
+        groups.clear()
         places = np.array([k for g in members for k in g], np.int64)
         self.ids, self.toxic = ids[places], toxic[places]
         self.first = np.cumsum([0, *map(len, members)])
         one = np.array([g[0] for g in members], np.int64)
-        self.rows, self.size = len(one), size[one]
-        own = _ranges(at[one], self.size)
-        self.terms, self.begin = terms[own], np.cumsum(self.size) - self.size
-        owner = np.repeat(np.arange(self.rows, dtype=np.int32), self.size)
-        weights = (1.0 + np.log(times[own])) * idf[self.terms]
-        self.weights = weights / np.sqrt(np.bincount(owner, weights * weights, self.rows))[owner]
-        count = np.bincount(self.terms, minlength=len(vocabulary))
-        head = np.argsort(-count, kind="stable")[: DENSE_NUMBERS // max(self.rows, 1)]
-        head = head[count[head] > DENSE_SHARE * self.rows]
-        self.head = np.full(len(vocabulary), -1, np.int32)
-        self.head[head] = np.arange(len(head))
-        place = self.head[self.terms]
-        self.dense = np.zeros((len(head), self.rows), np.float32)
-        self.dense[place[place >= 0], owner[place >= 0]] = self.weights[place >= 0]
-        rest = np.flatnonzero(place < 0)
-        rest = rest[np.argsort(self.terms[rest], kind="stable")]
-        self.posting_rows, self.posting_weights = owner[rest], self.weights[rest]
-        self.posting_size = np.where(self.head < 0, count, 0)
-        self.posting_at = np.cumsum(self.posting_size) - self.posting_size
+        self.rows = len(one)
+        self.at = np.concatenate([[0], np.cumsum(size[one])]).astype(np.int64)
+        own = _ranges(at[one], size[one])
+        self.terms, self.times = terms[own].astype(np.int32), times[own].astype(np.int32)
+        del own
+        count = np.bincount(self.terms, minlength=len(idf))
+        shared = np.flatnonzero(count > SHARED * self.rows)
+        self.shared = len(shared)
+        self.place = np.full(len(idf), -1, np.int32)
+        self.place[shared] = np.arange(len(shared))
         # single precision: every factor and every partial sum is rounded, and a cosine is 1 at most
-        self.error = (len(head) + 4) * 2.0**-23
-        self.scratch = np.zeros(len(vocabulary))
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.array(sorted(counts), np.int64)
-        weights = (1.0 + np.log([counts[k] for k in numbers.tolist()])) * self.idf[numbers] if len(numbers) else np.zeros(0)
-        return numbers, weights / math.sqrt(float(weights @ weights)) if len(numbers) else weights
-
-    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        self.error = (self.shared + 8) * 2.0**-23
+        self.scratch, self.norms = np.zeros(len(idf)), np.ones(self.rows)
+        self._kept: dict[int, Shard] = {}
+
+    def _weights(self, rows: slice) -> np.ndarray:
+        """Unit weights of consecutive rows."""
+        at = self.at[rows.start : rows.stop + 1]
+        weights = (1.0 + np.log(self.times[at[0] : at[-1]])) * self.idf[self.terms[at[0] : at[-1]]]
+        self.norms[rows] = np.sqrt(np.add.reduceat(weights * weights, at[:-1] - at[0]))
+        return weights / np.repeat(self.norms[rows], np.diff(at))
+
+    def shards(self) -> Iterator[Shard]:
+        low = 0
+        while low < self.rows:
+            high = max(low + 1, int(np.searchsorted(self.at, self.at[low] + SHARD_NUMBERS, "right")) - 1)
+            shard = self._kept.get(low)
+            if shard is None:
+                at = self.at[low : high + 1]
+                shard = Shard(low, at - at[0], self.terms[at[0] : at[-1]], self._weights(slice(low, high)), self.place, self.shared)
+                if self.at[high] <= KEPT_NUMBERS:
+                    self._kept[low] = shard
+            yield shard
+            low = high
+
+    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, rows: list[int]) -> list[float]:
         self.scratch[numbers] = weights
-        own = _ranges(self.begin[rows], self.size[rows])
-        size = self.size[rows]
-        sums = np.add.reduceat(self.scratch[self.terms[own]] * self.weights[own], np.cumsum(size) - size)
+        result = []
+        for row in rows:
+            own = slice(self.at[row], self.at[row + 1])
+            terms = self.terms[own]
+            mine = self.scratch[terms]
+            both = np.flatnonzero(mine)
+            product = mine[both] @ ((1.0 + np.log(self.times[own][both])) * self.idf[terms[both]])
+            result.append(round(float(product) / float(self.norms[row]), 9))
         self.scratch[numbers] = 0.0
-        return np.round(sums, 9)
-
-    def nearest_all(self, queries: list[dict[int, int]], k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each query the k nearest examples as (cosine, place), nearest first; ties go to the smaller id."""
-        if not self.rows:
-            return [[] for _ in queries]
-        vectors = [self.vector(c) for c in queries]
-        block = np.zeros((len(queries), len(self.dense)), np.float32)
-        for i, (numbers, weights) in enumerate(vectors):
-            place = self.head[numbers]
-            block[i, place[place >= 0]] = weights[place >= 0]
-        products, result = block @ self.dense, []
-        for i, (numbers, weights) in enumerate(vectors):
-            score, size = products[i], self.posting_size[numbers]
-            if size.any():
-                own = _ranges(self.posting_at[numbers], size)
-                score = score + np.bincount(self.posting_rows[own], np.repeat(weights, size) * self.posting_weights[own], self.rows)
+        return result
+
+    def nearest_all(self, queries, k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k nearest examples as (cosine, place), nearest first; ties go to the smaller id.
+
+        ``queries``: where each query's terms begin, and all terms and how often they occur.
+        """
+        at, terms, times = queries
+        vectors, found = [], []
+        heads = np.zeros((len(at) - 1, self.shared), np.float32)
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            numbers = terms[a:b]
+            weights = (1.0 + np.log(times[a:b])) * self.idf[numbers]
+            weights = weights / math.sqrt(float(weights @ weights)) if b > a else weights
+            place = self.place[numbers]
+            heads[i, place[place >= 0]] = weights[place >= 0]
             wanted = k + (int((self.ids == leave[i]).sum()) if leave is not None else 0)
-            least = np.partition(score, self.rows - wanted)[self.rows - wanted] - 2 * self.error if wanted < self.rows else 0.0
-            rows = np.flatnonzero((score > 0) & (score >= least))
-            found = []
-            if len(rows):
-                for row, cosine in zip(rows.tolist(), self._cosines(numbers, weights, rows).tolist()):
+            vectors.append((numbers, weights, wanted))
+            found.append(([], [], 0.0))
+        for shard in self.shards() if len(terms) else ():
+            for i, new in enumerate(shard.search_all(vectors, heads, [f[2] for f in found], self.error)):
+                found[i] = ([*found[i][0], new[0]], [*found[i][1], new[1]], new[2])
+        result = []
+        for i, (numbers, weights, wanted) in enumerate(vectors):
+            near = []
+            if found[i][0]:
+                rows, cosines = np.concatenate(found[i][0]), np.concatenate(found[i][1])
+                rows = rows[cosines >= _least(cosines, wanted) - 2 * self.error]
+                for row, cosine in zip(rows.tolist(), self._cosines(numbers, weights, rows.tolist())):
                     for r in range(self.first[row], min(self.first[row] + wanted, self.first[row + 1])):
                         if cosine > 0 and (leave is None or self.ids[r] != leave[i]):
-                            found.append((-cosine, int(self.ids[r]), r))
-            result.append([(-c, r) for c, _, r in sorted(found)[:k]])
+                            near.append((-cosine, int(self.ids[r]), r))
+            result.append([(-c, r) for c, _, r in sorted(near)[:k]])
         return result
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int | None = None) -> list[tuple[float, int]]:
-        return self.nearest_all([counts], k, None if leave is None else [leave])[0]
+        return self.nearest_all(_flat([counts]), k, None if leave is None else [leave])[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -216,6 +377,12 @@ class Index:
         return (toxic + 0.5 * self.without) / (sum(weights) + 0.5)
 
 
+def _flat(counts: list[dict[int, int]]):
+    items = [sorted(c.items()) for c in counts]
+    pairs = np.array([p for i in items for p in i], np.int64).reshape(-1, 2)
+    return np.cumsum([0, *map(len, items)]), pairs[:, 0], pairs[:, 1]
+
+
 def _logit(p):
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -244,70 +411,88 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.ravel(), dtype=np.int32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> dict:
-    """What scoring needs: vocabulary, IDF, example vectors and the calibration; bounded by the texts of ``limit`` examples."""
-    rows = keep(examples(docs, labels, limit), "examples")
-    vocabulary = _vocabulary(rows)
-    frequency, total = _frequencies(docs, vocabulary)
-    idf = np.log(1.0 + total / np.maximum(frequency, 1))
-    names = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _vectors(docs: DataFrame, names, columns: list[str]) -> DataFrame:
+    """``row`` (the given columns), ``id``, ``key`` and a text's longest known terms with their counts."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None).cast("struct<doc_id:long>")
+    own = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo({t: k for k, t in enumerate(names.value)})
+        numbers = {t: k for k, t in enumerate(names.value)}
+        memo = _Memo(numbers)
         for batch in batches:
-            counts = [_term_counts(t, memo) for t in batch.column("text").to_pylist()]
-            terms = [sorted(c) for c in counts]
-            times = [[c[k] for k in t] for c, t in zip(counts, terms)]
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (terms, times)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "key", "toxic")), *lists], names=["doc_id", "key", "toxic", "terms", "times"]
-            )
-
-    vectors = rows.select("doc_id", F.xxhash64("text").alias("key"), "text", F.col("toxic").cast("int")).mapInArrow(
-        run, "doc_id long, key long, toxic int, terms array<int>, times array<int>"
-    )
-    found = vectors.toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")]).combine_chunks()  # at most about ``limit`` rows
-    names.unpersist()
-    flat = [found.column(c).combine_chunks() for c in ("terms", "times")]
+            for part in chunks(batch, "text"):
+                at, keys, times = _keys(part.column("text").to_pylist(), memo, len(numbers))
+                at = pa.array(at, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (keys, times)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "id", "key")] + lists, names=["row", "id", "key", "keys", "times"])
+
+    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, id long, key long, keys array<int>, times array<int>")
+
+
+def _known(docs: DataFrame, labels: DataFrame, limit: int):
+    """The examples' vocabulary, for the workers."""
+    return docs.sparkSession.sparkContext.broadcast(_vocabulary(examples(docs, labels, limit)))  # bounded by the examples
+
+
+def _fitted(vectors: DataFrame, labels: DataFrame, vocabulary: list[str], limit: int) -> dict:
+    spark = vectors.sparkSession
+    shorter = _shorter(vocabulary)
+    shared = spark.sparkContext.broadcast(shorter)
+    frequency, total = _frequencies(vectors, shared)
+    idf = np.log(1.0 + total / np.maximum(frequency, 1))
+    picked = vectors.select("id", "key", "keys", "times").join(_picked(labels, limit).withColumnRenamed("doc_id", "id"), "id")
+    found = picked.toArrow().sort_by([("id", "ascending"), ("key", "ascending")]).combine_chunks()  # at most about ``limit`` rows
+    ids, toxic = found.column("id").to_numpy(), (found.column("toxic").to_numpy() > 0).astype(int)
+    flat = [found.column(c).combine_chunks() for c in ("keys", "times")]
     size = flat[0].value_lengths().to_numpy(zero_copy_only=False) if len(found) else np.zeros(0, np.int64)
-    model = {
-        "vocabulary": vocabulary,
-        "idf": idf,
-        "ids": found.column("doc_id").to_numpy(),
-        "toxic": (found.column("toxic").to_numpy() > 0).astype(int),
-        "counts": tuple(_packed(x) for x in (np.concatenate([[0], np.cumsum(size)]), *(f.flatten().to_numpy() for f in flat))),
-        "curve": (1.0, 0.0),
-    }
-    if len(found):
-        share = docs.sparkSession.sparkContext.broadcast(model)
+    vectors_of = (np.concatenate([[0], np.cumsum(size)]), *(f.flatten().to_numpy() for f in flat))
+    model = {"vocabulary": vocabulary, "shorter": shorter, "idf": idf, "ids": ids, "toxic": toxic, "curve": (1.0, 0.0)}
+    model["counts"] = tuple(_packed(x) for x in vectors_of)
+    del found, flat, vectors_of
+    if len(ids):
+        share = spark.sparkContext.broadcast(_for_tasks(model))
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _shared_index(share)
-            ids, (at, terms, times) = share.value["ids"], map(_unpacked, share.value["counts"])
+            own_ids, (at, keys, times) = share.value["ids"], map(_unpacked, share.value["counts"])
             for batch in batches:
-                everywhere = batch.column("id").to_pylist()
+                everywhere = batch.column("id").to_numpy()
                 for low in range(0, len(everywhere), QUERIES):
                     places = everywhere[low : low + QUERIES]
-                    own = [dict(zip(terms[at[p] : at[p + 1]].tolist(), times[at[p] : at[p + 1]].tolist())) for p in places]
-                    votes = [index.vote(near) for near in index.nearest_all(own, leave=[int(ids[p]) for p in places])]
+                    size = np.diff(at)[places]
+                    own = _ranges(at[places], size)
+                    queries = _all_terms(np.concatenate([[0], np.cumsum(size)]), keys[own], times[own], share.value["shorter"])
+                    votes = [index.vote(near) for near in index.nearest_all(queries, leave=own_ids[places].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(votes, pa.float64())], names=["id", "vote"])
 
-        votes = np.zeros(len(found))
-        for place, vote in docs.sparkSession.range(len(found)).mapInArrow(alone, "id long, vote double").collect():
+        votes = np.zeros(len(ids))
+        for place, vote in spark.range(len(ids)).mapInArrow(alone, "id long, vote double").collect():
             votes[place] = vote
-        model["curve"] = _calibrated(votes, np.array(model["toxic"], float))
+        model["curve"] = _calibrated(votes, np.array(toxic, float))
         share.unpersist()
+    shared.unpersist()
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> dict:
+    """What scoring needs: vocabulary, IDF, example vectors and the calibration; bounded by the texts of ``limit`` examples."""
+    names = _known(docs, labels, limit)
+    vectors = keep(_vectors(docs, names, []), "vectors")
+    model = _fitted(vectors, labels, names.value, limit)
+    names.unpersist()
+    discard(vectors)
     return model
 
 
+def _for_tasks(model: dict) -> dict:
+    return {k: v for k, v in model.items() if k != "vocabulary"}
+
+
 def _index(model: dict) -> Index:
     if isinstance(model["counts"], tuple):
-        vectors = tuple(map(_unpacked, model["counts"]))
-    else:
-        items = [sorted(c.items()) for c in model["counts"]]
-        pairs = np.array([p for i in items for p in i], np.int64).reshape(-1, 2)
-        vectors = np.cumsum([0, *map(len, items)]), pairs[:, 0], pairs[:, 1]
-    return Index(model["vocabulary"], model["idf"], model["ids"], model["toxic"], vectors)
+        at, keys, times = map(_unpacked, model["counts"])
+        return Index(model["idf"], model["ids"], model["toxic"], _all_terms(at, keys, times, model["shorter"]))
+    return Index(model["idf"], model["ids"], model["toxic"], _flat(model["counts"]))
 
 
 def _shared_index(share) -> Index:
@@ -318,10 +503,9 @@ def _shared_index(share) -> Index:
     return model["index"]
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs``, ``toxicity`` (0 to 1) and ``evidence`` (the nearest examples and their cosines)."""
-    share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the texts of EXAMPLES examples
-    fields = [f for f in docs.schema.fields if f.name not in ("toxicity", "evidence")]
+def _scored(vectors: DataFrame, model: dict) -> DataFrame:
+    """The columns in ``row``, ``toxicity`` and ``evidence``."""
+    share = vectors.sparkSession.sparkContext.broadcast(_for_tasks(model))  # bounded by the texts of EXAMPLES examples
     near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,20 +514,38 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             for low in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(low, QUERIES)
                 scores, evidence = [], []
-                for near in index.nearest_all([_term_counts(t, index.memo) for t in batch.column("text").to_pylist()]):
+                for near in index.nearest_all(_batch_terms(batch, share.value["shorter"])):
                     vote = index.vote(near)
                     scores.append(1 / (1 + math.exp(-(slope * float(_logit(vote)) + offset))) if len(share.value["ids"]) else 0.0)
                     evidence.append([{"doc_id": int(index.ids[r]), "cosine": c, "toxic": int(index.toxic[r])} for c, r in near])
-                columns = [batch.column(f.name) for f in fields]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(scores, pa.float64()), pa.array(evidence, near_type)],
-                    names=[*(f.name for f in fields), "toxicity", "evidence"],
+                    [batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], names=["row", "toxicity", "evidence"]
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*[f.name for f in fields]).mapInArrow(
-        run, f"{kinds}, toxicity double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
+    kind = vectors.schema["row"].dataType
+    out = vectors.select("row", "keys", "times").mapInArrow(
+        run, f"row {kind.simpleString()}, toxicity double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
     )
+    return out.select(*[F.col("row").getField(f.name).alias(f.name) for f in kind.fields], "toxicity", "evidence")
+
+
+def _plain(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("toxicity", "evidence")]
+
+
+def scored(docs: DataFrame, model: dict) -> DataFrame:
+    """All columns of ``docs``, ``toxicity`` (0 to 1) and ``evidence`` (the nearest examples and their cosines)."""
+    names = docs.sparkSession.sparkContext.broadcast(model["vocabulary"])
+    return _scored(_vectors(docs, names, _plain(docs)), model)
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, limit: int = EXAMPLES) -> DataFrame:
+    """``scored(docs, fit(docs, labels))`` with the given columns of ``docs``, reading and tokenising each text once."""
+    names = _known(docs, labels, limit)
+    vectors = keep(_vectors(docs, names, _plain(docs) if columns is None else columns), "vectors")
+    model = _fitted(vectors, labels, names.value, limit)
+    names.unpersist()
+    return _scored(vectors, model)
 
 
 def held_out() -> Column:

@@ -215,6 +215,44 @@ def test_nearest_examples_are_exact():
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want])
 
 
+@pytest.mark.parametrize("numbers", [1_000_000, 900])
+def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch, numbers):
+    dice = np.random.default_rng(4)
+    monkeypatch.setattr(toxicity, "SHARD_NUMBERS", numbers)  # one shard, or many
+    monkeypatch.setattr(toxicity, "KEPT_NUMBERS", 2 * numbers)
+    # families with words of their own and words that many share, and half of the vectors twice: ties at the last place
+    counts = [Counter({k: int(dice.integers(1, 3)) for k in [*dice.choice(12, 4, replace=False).tolist(), *range(40 + i % 30 * 8, 48 + i % 30 * 8)]}) for i in range(600)]
+    counts += counts[:300] + [Counter()]
+    idf = np.concatenate([np.full(40, 0.3), np.full(300, 2.0)])
+    index = toxicity._index({"idf": idf, "ids": list(range(901)), "toxic": [0] * 901, "counts": counts})
+    grid = np.zeros((901, 340))
+    for i, c in enumerate(counts):
+        for k, n in c.items():
+            grid[i, k] = (1 + math.log(n)) * idf[k]
+    grid /= np.maximum(np.linalg.norm(grid, axis=1), 1e-12)[:, None]
+    asked = [*range(0, 900, 7), 900]
+    for got, i in zip(index.nearest_all(toxicity._flat([counts[i] for i in asked])), asked):
+        cosine = np.round(grid @ grid[i], 9).tolist()
+        want = sorted((-s, k) for k, s in enumerate(cosine) if s > 0)[: toxicity.NEIGHBOURS]
+        assert [int(index.ids[r]) for _, r in got] == [k for _, k in want]
+        assert [s for s, _ in got] == pytest.approx([-s for s, _ in want], abs=2e-9)
+    alone = index.nearest_all(toxicity._flat(counts[:5]), leave=[0, 1, 2, 3, 4])
+    assert all(i not in {int(index.ids[r]) for _, r in near} for i, near in enumerate(alone))
+    if numbers == 1_000_000:
+        (shard,) = index.shards()
+        assert index.shared and 0 < shard.opened < 0.5 * shard.rows * (len(asked) + 5)
+
+
+def test_one_pass_scores_as_two(spark):
+    texts = [f"common{i % 3} word{i % 7} vile{'ness' * (i % 2)} x{i % 11}" for i in range(120)]
+    docs = documents(spark, [*texts, None, ""]).withColumn("keys", F.lit("own")).withColumn("row", F.lit(1))
+    labels = spark.createDataFrame([(i * 7, i % 2) for i in range(120)], "doc_id long, toxic int")
+    two = toxicity.scored(docs, toxicity.fit(docs, labels))
+    one = toxicity.fit_and_score(docs, labels)
+    assert one.columns == two.columns == [*docs.columns, "toxicity", "evidence"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_toxic_texts_are_found(spark):
     dice = random.Random(6)
     texts = []

@@ -59,8 +59,8 @@ def guarded(stage: Stage) -> Stage:
 @guarded
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not call toxic."""
-    model = toxic.fit(docs, table(spark, sf_dir, "labels"))
-    return toxic.scored(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    rows = toxic.fit_and_score(docs, table(spark, sf_dir, "labels"))
+    return rows.where("toxicity < 0.5").select(*docs.columns)
 
 
 @guarded

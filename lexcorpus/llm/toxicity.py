@@ -25,6 +25,7 @@ toxic if one label says so. Without labels every score is 0. Long texts are scor
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -45,7 +46,7 @@ SHARED = 0.08  # terms that so many rows have keep their postings in blocks
 BLOCK = 32  # rows
 OPENED = 32  # rows, the most promising first, between two looks at the k-th cosine
 WIDE = 1 / 16  # queries that have to open more of the rows are multiplied with all blocks together
-SHARD_NUMBERS = 16_000_000  # postings in a shard
+SHARD_NUMBERS = 6_000_000  # postings in a shard
 KEPT_NUMBERS = 16_000_000  # postings in the unpacked shards that a worker keeps
 QUERIES = 128  # in one step
 PREFIXES = (4, 5)
@@ -125,7 +126,7 @@ def _grouped(owner: np.ndarray, terms: np.ndarray, times: np.ndarray, rows: int,
     sums = np.add.reduceat(times[order], first) if len(first) else times[:0]
     key = key[first]
     owner = key // max(distinct, 1)
-    return np.searchsorted(owner, np.arange(rows + 1)), (key - owner * max(distinct, 1)).astype(np.int32), sums
+    return np.searchsorted(owner, np.arange(rows + 1)), (key - owner * max(distinct, 1)).astype(np.int32), sums.astype(np.int32)
 
 
 def _keys(texts: list[str | None], memo: _Memo, distinct: int):
@@ -197,6 +198,7 @@ class Shard:
         self.block = np.arange(self.rows) // BLOCK
         rest = np.flatnonzero(~inside)
         rest = rest[np.argsort(terms[rest], kind="stable")]
+        del heads, inside
         postings = np.empty(len(rest), POSTING)
         postings["row"], postings["weight"] = owner[rest], weights[rest]
         self.postings = postings.view(np.int64)  # copied faster than pairs
@@ -277,7 +279,7 @@ class Index:
         groups: dict[bytes, list[int]] = {}
         for k in np.flatnonzero(size).tolist():
             a, b = at[k], at[k + 1]
-            groups.setdefault(terms[a:b].tobytes() + times[a:b].tobytes(), []).append(k)
+            groups.setdefault(hashlib.sha256(terms[a:b].tobytes() + times[a:b].tobytes()).digest(), []).append(k)
         # rows of like length have like weights, so the largest of a block says much about all of it
         members = sorted((sorted(g, key=lambda k: ids[k]) for g in groups.values()), key=lambda g: size[g[0]])
         groups.clear()
@@ -287,9 +289,10 @@ class Index:
         one = np.array([g[0] for g in members], np.int64)
         self.rows = len(one)
         self.at = np.concatenate([[0], np.cumsum(size[one])]).astype(np.int64)
-        own = _ranges(at[one], size[one])
-        self.terms, self.times = terms[own].astype(np.int32), times[own].astype(np.int32)
-        del own
+        self.terms, self.times = np.empty(self.at[-1], np.int32), np.empty(self.at[-1], np.int32)
+        for k, (a, b) in enumerate(zip(at[one].tolist(), at[one + 1].tolist())):
+            own = slice(self.at[k], self.at[k + 1])
+            self.terms[own], self.times[own] = terms[a:b], times[a:b]
         count = np.bincount(self.terms, minlength=len(idf))
         shared = np.flatnonzero(count > SHARED * self.rows)
         self.shared = len(shared)
@@ -297,15 +300,18 @@ class Index:
         self.place[shared] = np.arange(len(shared))
         # single precision: every factor and every partial sum is rounded, and a cosine is 1 at most
         self.error = (self.shared + 8) * 2.0**-23
-        self.scratch, self.norms = np.zeros(len(idf)), np.ones(self.rows)
+        self.norms = np.ones(self.rows)
         self._kept: dict[int, Shard] = {}
 
     def _weights(self, rows: slice) -> np.ndarray:
         """Unit weights of consecutive rows."""
         at = self.at[rows.start : rows.stop + 1]
-        weights = (1.0 + np.log(self.times[at[0] : at[-1]])) * self.idf[self.terms[at[0] : at[-1]]]
+        weights = np.log(self.times[at[0] : at[-1]])
+        weights += 1.0
+        weights *= self.idf[self.terms[at[0] : at[-1]]]
         self.norms[rows] = np.sqrt(np.add.reduceat(weights * weights, at[:-1] - at[0]))
-        return weights / np.repeat(self.norms[rows], np.diff(at))
+        weights /= np.repeat(self.norms[rows], np.diff(at))
+        return weights.astype(np.float32)
 
     def shards(self) -> Iterator[Shard]:
         low = 0
@@ -321,16 +327,21 @@ class Index:
             low = high
 
     def _cosines(self, numbers: np.ndarray, weights: np.ndarray, rows: list[int]) -> list[float]:
-        self.scratch[numbers] = weights
+        """In double precision, to nine places."""
         result = []
         for row in rows:
             own = slice(self.at[row], self.at[row + 1])
-            terms = self.terms[own]
-            mine = self.scratch[terms]
-            both = np.flatnonzero(mine)
-            product = mine[both] @ ((1.0 + np.log(self.times[own][both])) * self.idf[terms[both]])
+            terms, times = self.terms[own], self.times[own]
+            if len(terms) < len(numbers):  # the shorter of two sorted lists is looked up in the longer
+                place = np.minimum(np.searchsorted(numbers, terms), len(numbers) - 1)
+                mine = np.flatnonzero(numbers[place] == terms)
+                theirs = place[mine]
+            else:
+                place = np.minimum(np.searchsorted(terms, numbers), len(terms) - 1)
+                theirs = np.flatnonzero(terms[place] == numbers)
+                mine = place[theirs]
+            product = weights[theirs] @ ((1.0 + np.log(times[mine])) * self.idf[terms[mine]])
             result.append(round(float(product) / float(self.norms[row]), 9))
-        self.scratch[numbers] = 0.0
         return result
 
     def nearest_all(self, queries, k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
@@ -342,7 +353,7 @@ class Index:
         vectors, found = [], []
         heads = np.zeros((len(at) - 1, self.shared), np.float32)
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            numbers = terms[a:b]
+            numbers = terms[a:b].astype(np.int32)
             weights = (1.0 + np.log(times[a:b])) * self.idf[numbers]
             weights = weights / math.sqrt(float(weights @ weights)) if b > a else weights
             place = self.place[numbers]
@@ -491,7 +502,16 @@ def _for_tasks(model: dict) -> dict:
 def _index(model: dict) -> Index:
     if isinstance(model["counts"], tuple):
         at, keys, times = map(_unpacked, model["counts"])
-        return Index(model["idf"], model["ids"], model["toxic"], _all_terms(at, keys, times, model["shorter"]))
+        parts, low = [], 0
+        while low < len(at) - 1:  # about half a million words at once
+            high = max(low + 1, int(np.searchsorted(at, at[low] + (1 << 19), "right")) - 1)
+            own = slice(at[low], at[high])
+            parts.append(_all_terms(at[low : high + 1] - at[low], keys[own], times[own], model["shorter"]))
+            low = high
+        size = np.concatenate([np.zeros(1, np.int64), *(np.diff(a) for a, _, _ in parts)])
+        flat = [np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k in (1, 2)]
+        parts.clear()
+        return Index(model["idf"], model["ids"], model["toxic"], (np.cumsum(size), *flat))
     return Index(model["idf"], model["ids"], model["toxic"], _flat(model["counts"]))
 
 

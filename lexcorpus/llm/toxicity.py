@@ -46,7 +46,7 @@ SHARED = 0.08  # terms that so many rows have keep their postings in blocks
 BLOCK = 32  # rows
 OPENED = 32  # rows, the most promising first, between two looks at the k-th cosine
 WIDE = 1 / 16  # queries that have to open more of the rows are multiplied with all blocks together
-SHARD_NUMBERS = 6_000_000  # postings in a shard
+SHARD_NUMBERS = 4_000_000  # postings in a shard
 KEPT_NUMBERS = 16_000_000  # postings in the unpacked shards that a worker keeps
 QUERIES = 128  # in one step
 PREFIXES = (4, 5)
@@ -289,11 +289,11 @@ class Index:
         one = np.array([g[0] for g in members], np.int64)
         self.rows = len(one)
         self.at = np.concatenate([[0], np.cumsum(size[one])]).astype(np.int64)
-        self.terms, self.times = np.empty(self.at[-1], np.int32), np.empty(self.at[-1], np.int32)
-        for k, (a, b) in enumerate(zip(at[one].tolist(), at[one + 1].tolist())):
-            own = slice(self.at[k], self.at[k + 1])
-            self.terms[own], self.times[own] = terms[a:b], times[a:b]
-        count = np.bincount(self.terms, minlength=len(idf))
+        self.given, self.terms, self.times = at, terms, times  # in the order given
+        self.begin, self.end = at[one], at[one + 1]
+        count = np.zeros(len(idf), np.int64)
+        for a, b in zip(self.begin.tolist(), self.end.tolist()):
+            count[terms[a:b]] += 1
         shared = np.flatnonzero(count > SHARED * self.rows)
         self.shared = len(shared)
         self.place = np.full(len(idf), -1, np.int32)
@@ -303,15 +303,16 @@ class Index:
         self.norms = np.ones(self.rows)
         self._kept: dict[int, Shard] = {}
 
-    def _weights(self, rows: slice) -> np.ndarray:
-        """Unit weights of consecutive rows."""
-        at = self.at[rows.start : rows.stop + 1]
-        weights = np.log(self.times[at[0] : at[-1]])
-        weights += 1.0
-        weights *= self.idf[self.terms[at[0] : at[-1]]]
-        self.norms[rows] = np.sqrt(np.add.reduceat(weights * weights, at[:-1] - at[0]))
-        weights /= np.repeat(self.norms[rows], np.diff(at))
-        return weights.astype(np.float32)
+    def _shard(self, low: int, high: int) -> Shard:
+        own = list(zip(self.begin[low:high].tolist(), self.end[low:high].tolist()))
+        at = self.at[low : high + 1] - self.at[low]
+        terms = np.concatenate([self.terms[a:b] for a, b in own])
+        weights = np.empty(len(terms), np.float32)
+        for k, (a, b) in enumerate(own):
+            exact = (1.0 + np.log(self.times[a:b], dtype=np.float64)) * self.idf[self.terms[a:b]]
+            self.norms[low + k] = math.sqrt(float(exact @ exact))
+            weights[at[k] : at[k + 1]] = exact / self.norms[low + k]
+        return Shard(low, at, terms, weights, self.place, self.shared)
 
     def shards(self) -> Iterator[Shard]:
         low = 0
@@ -319,8 +320,7 @@ class Index:
             high = max(low + 1, int(np.searchsorted(self.at, self.at[low] + SHARD_NUMBERS, "right")) - 1)
             shard = self._kept.get(low)
             if shard is None:
-                at = self.at[low : high + 1]
-                shard = Shard(low, at - at[0], self.terms[at[0] : at[-1]], self._weights(slice(low, high)), self.place, self.shared)
+                shard = self._shard(low, high)
                 if self.at[high] <= KEPT_NUMBERS:
                     self._kept[low] = shard
             yield shard
@@ -330,7 +330,7 @@ class Index:
         """In double precision, to nine places."""
         result = []
         for row in rows:
-            own = slice(self.at[row], self.at[row + 1])
+            own = slice(self.begin[row], self.end[row])
             terms, times = self.terms[own], self.times[own]
             if len(terms) < len(numbers):  # the shorter of two sorted lists is looked up in the longer
                 place = np.minimum(np.searchsorted(numbers, terms), len(numbers) - 1)
@@ -340,7 +340,7 @@ class Index:
                 place = np.minimum(np.searchsorted(terms, numbers), len(terms) - 1)
                 theirs = np.flatnonzero(terms[place] == numbers)
                 mine = place[theirs]
-            product = weights[theirs] @ ((1.0 + np.log(times[mine])) * self.idf[terms[mine]])
+            product = weights[theirs] @ ((1.0 + np.log(times[mine], dtype=np.float64)) * self.idf[terms[mine]])
             result.append(round(float(product) / float(self.norms[row]), 9))
         return result
 
@@ -465,14 +465,14 @@ def _fitted(vectors: DataFrame, labels: DataFrame, vocabulary: list[str], limit:
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _shared_index(share)
-            own_ids, (at, keys, times) = share.value["ids"], map(_unpacked, share.value["counts"])
+            own_ids, at = share.value["ids"], index.given
             for batch in batches:
                 everywhere = batch.column("id").to_numpy()
                 for low in range(0, len(everywhere), QUERIES):
                     places = everywhere[low : low + QUERIES]
                     size = np.diff(at)[places]
                     own = _ranges(at[places], size)
-                    queries = _all_terms(np.concatenate([[0], np.cumsum(size)]), keys[own], times[own], share.value["shorter"])
+                    queries = np.concatenate([[0], np.cumsum(size)]), index.terms[own], index.times[own]
                     votes = [index.vote(near) for near in index.nearest_all(queries, leave=own_ids[places].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(votes, pa.float64())], names=["id", "vote"])
 
@@ -506,10 +506,12 @@ def _index(model: dict) -> Index:
         while low < len(at) - 1:  # about half a million words at once
             high = max(low + 1, int(np.searchsorted(at, at[low] + (1 << 19), "right")) - 1)
             own = slice(at[low], at[high])
-            parts.append(_all_terms(at[low : high + 1] - at[low], keys[own], times[own], model["shorter"]))
+            part = _all_terms(at[low : high + 1] - at[low], keys[own], times[own], model["shorter"])
+            parts.append((*part[:2], part[2].astype(np.min_scalar_type(int(part[2].max(initial=0))))))
             low = high
+        del keys, times
         size = np.concatenate([np.zeros(1, np.int64), *(np.diff(a) for a, _, _ in parts)])
-        flat = [np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k in (1, 2)]
+        flat = [np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]) for k, kind in ((1, np.int32), (2, np.uint8))]
         parts.clear()
         return Index(model["idf"], model["ids"], model["toxic"], (np.cumsum(size), *flat))
     return Index(model["idf"], model["ids"], model["toxic"], _flat(model["counts"]))

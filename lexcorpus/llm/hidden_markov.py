@@ -10,7 +10,13 @@ the tokens behind the last symbol are joined with the count table, however many
 Training: every partition runs the scaled forward-backward recursion over its texts and gives out
 expected counts of states, steps and symbols; these are added up by symbol, combined before the
 exchange, and re-estimated. The start is random; each of the ``PASSES`` runs over every training
-text. Scoring runs the scaled forward recursion over whole texts, which gives their exact likelihood.
+text, from its first token to its last. Scoring runs the scaled forward recursion over whole texts,
+which gives their exact likelihood.
+
+All texts of a block advance together, a lane each. Texts of more than ``LONG`` tokens are laid out
+as several lanes of ``LANE`` tokens. That cuts nothing: the product of its steps tells what each lane
+does to any state it is entered with, so the states at all lane edges follow exactly, forwards and
+backwards, and the step over an edge is counted like any other.
 
 A null text is an empty one: a single end token. Repeated rows are rows of their own. A null id
 has the remainder of an empty string and belongs to the held-out part. Without training texts
@@ -19,20 +25,23 @@ every token is unknown.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, discard, keep
+from .common import chunks, keep
 
 ALPHABET = 1 << 15
 STATES = 8
 PASSES = 10
-SEGMENT = 256  # training texts are cut into runs of so many tokens; scoring never cuts
+LONG, LANE = 4096, 512  # layout only, the result is the same
+BLOCK_TOKENS = 1 << 19
 END = "\n"  # no word contains white space
 SMOOTHING = 0.1
 
@@ -64,7 +73,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """``token, c`` over all rows of ``docs``; each task counts what it holds before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
+        found: Counter[bytes] = Counter()
         rows = 0
 
         def flush() -> pa.RecordBatch:
@@ -77,88 +86,195 @@ def token_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 for text in part.column("text").cast(pa.binary()).to_pylist():
-                    for word in (text or b"").lower().split():
-                        found[word] = found.get(word, 0) + 1
+                    found.update((text or b"").lower().split())
                 rows += part.num_rows
                 if len(found) > 200_000:
                     yield flush()
-                    found, rows = {}, 0
+                    found, rows = Counter(), 0
         yield flush()
 
     partial = docs.select("text").mapInArrow(run, "token string, c long")
     return partial.groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _symbols(part: pa.RecordBatch, alphabet: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Symbols of all texts, where each text's begin, and the words behind the last symbol."""
+def _symbols(part: pa.RecordBatch, alphabet: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
+    """Symbols of all texts, where each text's begin, and the counts of the words behind the last symbol."""
     other, end = len(alphabet), alphabet.get(END.encode(), len(alphabet))
     symbols, at, rare = [], [0], []
     for text in part.column("text").cast(pa.binary()).to_pylist():
         words = (text or b"").lower().split()
-        own = [alphabet.get(w, other) for w in words]
-        rare.append([w for w, s in zip(words, own) if s == other])
-        own.append(end)
-        symbols.append(np.array(own, np.int32))
+        own = np.empty(len(words) + 1, np.int32)
+        own[:-1] = np.fromiter(map(alphabet.get, words, repeat(other)), np.int32, len(words))
+        own[-1] = end
+        symbols.append(own)
         at.append(at[-1] + len(own))
+        rare.append(Counter([words[k] for k in np.flatnonzero(own[:-1] == other).tolist()]))
     return np.concatenate(symbols) if symbols else np.zeros(0, np.int32), np.array(at), rare
 
 
-def forward(symbols: np.ndarray, at: np.ndarray, model: Model, keep_states: bool = False):
-    """Natural log likelihood of every sequence; all sequences advance together, longest first.
+class Lanes:
+    """Sequences side by side, longest first. Tokens are in the order of their time, so one step of all is one slice."""
 
-    With ``keep_states``: also the scaled forward rows and scales by token.
-    """
-    size = np.diff(at)
-    order = np.argsort(-size, kind="stable")
-    begin, size = at[:-1][order], size[order]
-    score = np.zeros(len(size))
-    alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
-    state = np.repeat(model.start[None], len(size), axis=0)
-    rows = np.empty((len(symbols), len(model.start))) if keep_states else None
-    scales = np.empty(len(symbols)) if keep_states else None
-    for t, count in enumerate(alive.tolist()):
-        if t:
-            state = state[:count] @ model.step
-        place = begin[:count] + t
-        state = state[:count] * model.emit[symbols[place]]
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        score[:count] += np.log(scale)
-        if keep_states:
-            rows[place], scales[place] = state, scale
-    result = np.empty(len(size))
-    result[order] = score
-    return (result, rows, scales, order, alive) if keep_states else result
-
-
-def expected(symbols: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, steps and emissions of the sequences, and their log likelihood."""
-    score, rows, scales, order, alive = forward(symbols, at, model, keep_states=True)
-    begin = at[:-1][order]
-    states = len(model.start)
-    step, behind = np.zeros((states, states)), np.ones((0, states))
-    for t in range(len(alive) - 1, -1, -1):
-        count = int(alive[t])
-        place = begin[:count] + t
-        if len(behind) < count:  # sequences that end here
-            behind = np.concatenate([behind, np.ones((count - len(behind), states))])
-        here = rows[place]
-        rows[place] = here * behind  # now the posterior of the state
-        if t:
-            ahead = behind * model.emit[symbols[place]] / scales[place][:, None]
-            step += rows[begin[:count] + t - 1].T @ ahead
-            behind = ahead @ model.step.T
-    emit = np.stack([np.bincount(symbols, rows[:, k], len(model.emit)) for k in range(states)], axis=1)
-    return rows[begin].sum(axis=0), step * model.step, emit, float(score.sum())
+    def __init__(self, symbols: np.ndarray, at: np.ndarray):
+        size = np.diff(at)
+        self.order = np.argsort(-size, kind="stable")
+        rank = np.empty_like(self.order)
+        rank[self.order] = np.arange(len(size))
+        alive = np.searchsorted(-size[self.order], -np.arange(int(size.max(initial=0))), "left")
+        self.edge = np.concatenate([[0], np.cumsum(alive)])
+        lane = np.repeat(np.arange(len(size)), size)
+        self._rank = rank[lane]
+        place = self.edge[np.arange(len(symbols)) - at[lane]] + self._rank
+        self._place, self.symbols = place, np.empty_like(symbols)
+        self.symbols[place] = symbols
+
+    def slices(self) -> list[tuple[int, int]]:
+        return list(pairwise(self.edge.tolist()))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of ``values`` by lane, in the lanes' own order."""
+        result = np.empty(len(self.order))
+        result[self.order] = np.bincount(self._rank, values[self._place], len(self.order))
+        return result
 
 
-def _segments(at: np.ndarray, length: int) -> np.ndarray:
-    """``at`` with further cuts so that no sequence is longer than ``length``."""
+def _lane_edges(at: np.ndarray, long: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where lanes begin (and the last one ends), and the text of each lane."""
     size = np.diff(at)
-    parts = np.maximum(1, -(-size // length))
-    start = np.repeat(at[:-1], parts)
-    inner = np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.append(start + inner * length, at[-1])
+    parts = np.where(size > long, -(-size // lane), 1)
+    text = np.repeat(np.arange(len(size)), parts)
+    inner = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.append(at[:-1][text] + inner * lane, at[-1]), text
+
+
+def _products(symbols: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
+    """``[lane, out, in]``: the state after a lane that is entered in one state, up to one factor by lane."""
+    lanes, states = Lanes(symbols, at), len(model.start)
+    emit = np.take(np.ascontiguousarray(model.emit.T, np.float64), lanes.symbols, axis=1)
+    ended, step = np.empty((len(lanes.order), states, states)), np.ascontiguousarray(model.step.T)
+    grid = np.zeros((states, states, 0))  # out, in, lane: those that go on
+    for t, (low, high) in enumerate(lanes.slices()):
+        count = high - low
+        if t == 0:
+            grid = np.eye(states)[:, :, None] * emit[:, None, low:high]
+        else:
+            if count < grid.shape[2]:
+                ended[count : grid.shape[2]] = grid[:, :, count:].transpose(2, 0, 1)
+                grid = np.ascontiguousarray(grid[:, :, :count])
+            grid = (step @ grid.reshape(states, -1)).reshape(states, states, count)
+            grid *= emit[:, None, low:high]
+        if t % 4 == 3:  # a double has room for a few steps
+            grid /= grid.sum(axis=(0, 1))
+    ended[: grid.shape[2]] = grid.transpose(2, 0, 1)
+    found = np.empty_like(ended)
+    found[lanes.order] = ended
+    return found
+
+
+def _edges(symbols: np.ndarray, at: np.ndarray, text: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By lane: the states it is entered with, those before (0 where a text begins), and what lies behind its end."""
+    states, count = len(model.start), len(text)
+    enter = np.repeat(model.start[:, None], count, axis=1)
+    before, behind = np.zeros((states, count)), np.ones((states, count))
+    inner = np.zeros(count, bool)  # lanes that are not a whole text
+    inner[1:] |= text[1:] == text[:-1]
+    inner[:-1] |= text[1:] == text[:-1]
+    which = np.flatnonzero(inner)
+    if not len(which):
+        return enter, before, behind
+    size = np.diff(at)
+    tokens = np.repeat(inner, size)
+    product = _products(symbols[tokens], np.concatenate([[0], np.cumsum(size[which])]), model)
+    ends = np.empty((len(which), states))
+    for k, lane in enumerate(which.tolist()):
+        if k and text[lane] == text[lane - 1]:
+            before[:, lane] = ends[k - 1]
+            enter[:, lane] = ends[k - 1] @ model.step
+        end = product[k] @ enter[:, lane]
+        ends[k] = end / end.sum()
+    for k in range(len(which) - 2, -1, -1):
+        lane = which[k]
+        if text[lane] == text[which[k + 1]]:
+            value = model.step @ (behind[:, which[k + 1]] @ product[k + 1])
+            behind[:, lane] = value / (ends[k] @ value)
+    return enter, before, behind
+
+
+def _advance(lanes: Lanes, emit: np.ndarray, enter: np.ndarray, step: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Fills ``rows`` with the scaled forward states of all tokens (``rows`` may be ``emit``); their scales."""
+    scales, last = np.empty(emit.shape[1], emit.dtype), 0
+    state, onwards = enter[:, lanes.order].astype(emit.dtype), np.ascontiguousarray(step.T, emit.dtype)
+    for t, (low, high) in enumerate(lanes.slices()):
+        state = onwards @ rows[:, last : last + high - low] if t else state[:, : high - low]
+        here = np.multiply(state, emit[:, low:high], out=rows[:, low:high])
+        here /= np.sum(here, axis=0, out=scales[low:high])
+        last = low
+    return scales
+
+
+def forward(symbols: np.ndarray, at: np.ndarray, model: Model, long: int = LONG, lane: int = LANE) -> np.ndarray:
+    """Natural log likelihood of every text."""
+    edges, text = _lane_edges(at, long, lane)
+    lanes = Lanes(symbols, edges)
+    enter, _, _ = _edges(symbols, edges, text, model)
+    emit = np.take(np.ascontiguousarray(model.emit.T), lanes.symbols, axis=1)
+    scales = _advance(lanes, emit, enter, model.step, emit)
+    return np.bincount(text, lanes.sums(np.log(scales)), len(at) - 1)
+
+
+def expected(
+    symbols: np.ndarray, at: np.ndarray, model: Model, long: int = LONG, lane: int = LANE, kind: type = np.float64
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, steps and emissions of the texts, and their log likelihood. ``kind``: precision of a step."""
+    edges, text = _lane_edges(at, long, lane)
+    lanes = Lanes(symbols, edges)
+    enter, before, behind = _edges(symbols, edges, text, model)
+    ahead = np.take(np.ascontiguousarray(model.emit.T, kind), lanes.symbols, axis=1)
+    rows = np.empty_like(ahead)
+    scales = _advance(lanes, ahead, enter, model.step, rows)
+    before, behind = before[:, lanes.order].astype(kind), behind[:, lanes.order].astype(kind)
+    states, onwards = len(model.start), np.ascontiguousarray(model.step, kind)
+    step, slices = np.zeros((states, states)), lanes.slices()
+    for t in range(len(slices) - 1, -1, -1):
+        low, high = slices[t]
+        count = high - low
+        here, next_ = rows[:, low:high], ahead[:, low:high]
+        next_ *= behind[:, :count]
+        next_ /= scales[low:high]
+        here *= behind[:, :count]  # now the posterior of the state
+        last = rows[:, slices[t - 1][0] : slices[t - 1][0] + count] if t else before
+        step += last @ next_.T
+        if t:
+            np.matmul(onwards, next_, out=behind[:, :count])
+    begins = np.concatenate([[True], text[1:] != text[:-1]])[lanes.order] if len(text) else np.zeros(0, bool)
+    start = rows[:, : len(begins)][:, begins].sum(axis=1, dtype=np.float64)
+    emit = np.stack([np.bincount(lanes.symbols, rows[k], len(model.emit)) for k in range(states)], axis=1)
+    return start, step * model.step, emit, float(np.log(scales, dtype=np.float64).sum())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of encoded texts with about ``BLOCK_TOKENS`` tokens at once, or one longer text; their symbols and edges."""
+    held, tokens = [], 0
+
+    def block() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lists = rows.column("symbols")
+        at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        return rows, lists.flatten().to_numpy(), at
+
+    for batch in batches:
+        edges = np.concatenate([[0], np.cumsum(batch.column("symbols").value_lengths().to_numpy(zero_copy_only=False))])
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(edges, edges[low] + BLOCK_TOKENS - tokens, "right")) - 1)
+            held.append(batch.slice(low, high - low))
+            tokens += int(edges[high] - edges[low])
+            low = high
+            if tokens >= BLOCK_TOKENS or low < batch.num_rows:
+                yield block()
+                held, tokens = [], 0
+    if held:
+        yield block()
 
 
 def _expectations(encoded: DataFrame, shared, states: int) -> DataFrame:
@@ -167,17 +283,9 @@ def _expectations(encoded: DataFrame, shared, states: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
         start, step, emit, score = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
-        for batch in batches:
-            lists = batch.column("symbols")
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy()
-            edges = np.concatenate([[0], np.cumsum(size)])
-            low = 0
-            while low < len(size):  # about a quarter million tokens at once
-                high = max(low + 1, int(np.searchsorted(edges, edges[low] + (1 << 18), "right")) - 1)
-                part = expected(flat[edges[low] : edges[high]], _segments(edges[low : high + 1] - edges[low], SEGMENT), model)
-                start, step, emit, score = start + part[0], step + part[1], emit + part[2], score + part[3]
-                low = high
+        for _, symbols, at in _blocks(batches):
+            part = expected(symbols, at, model, kind=np.float32)
+            start, step, emit, score = start + part[0], step + part[1], emit + part[2], score + part[3]
         seen = np.flatnonzero(emit.any(axis=1))
         rows = np.concatenate([emit[seen], step, start[None], np.full((1, states), score / states)])
         names = np.concatenate([seen, -1 - np.arange(states + 2)])
@@ -194,18 +302,29 @@ def _expectations(encoded: DataFrame, shared, states: int) -> DataFrame:
     )
 
 
-def _encoded(docs: DataFrame, shared) -> DataFrame:
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, row, symbols, rare`` of every row of ``docs(doc_id, row, text)``, texts of like length together.
+
+    ``rare`` counts the tokens behind the last symbol as ``(token, times)``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.words)  # bounded by ALPHABET
+    kind = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(**shared.value)
-        alphabet = {w.encode(): k for k, w in enumerate(model.words)}
+        alphabet = {w.encode(): k for k, w in enumerate(shared.value)}
         for batch in batches:
             for part in chunks(batch, "text"):
-                symbols, at, _ = _symbols(part, alphabet)
+                symbols, at, rare = _symbols(part, alphabet)
+                tokens = [[{"token": w.decode("utf-8", "replace"), "times": n} for w, n in times.items()] for times in rare]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(symbols))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(symbols))], names=["symbols"]
+                    [part.column("doc_id"), part.column("row"), lists, pa.array(tokens, kind)], names=["doc_id", "row", "symbols", "rare"]
                 )
 
-    return docs.select("text").mapInArrow(run, "symbols array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), "row", "text").mapInArrow(
+        run, "doc_id long, row long, symbols array<int>, rare array<struct<token:string,times:long>>"
+    )
+    return keep(rows.sortWithinPartitions(F.size("symbols")), "encoded")
 
 
 def _improved(encoded: DataFrame, model: Model) -> Model:
@@ -251,63 +370,46 @@ def first_model(counts: DataFrame, alphabet: int = ALPHABET, states: int = STATE
     return model
 
 
-def train(docs: DataFrame, counts: DataFrame, alphabet: int = ALPHABET, states: int = STATES, passes: int = PASSES) -> Model:
-    model = first_model(counts, alphabet, states)
-    if not model.total:
-        return model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(model))
-    encoded = keep(_encoded(docs, shared), "encoded")
-    shared.unpersist()
-    for _ in range(passes):
-        model = _improved(encoded, model)
-    discard(encoded)
+def train(encoded: DataFrame, model: Model, passes: int = PASSES) -> Model:
+    """``model`` after ``passes`` passes over all rows of ``encoded``."""
+    if model.total:
+        for _ in range(passes):
+            model = _improved(encoded, model)
     return model
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """``doc_id, row, n_tokens, n_known, base_score, score`` of every row of ``docs(doc_id, row, text)``.
+def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``doc_id, row, n_tokens, n_known, base_score, score`` of every row that ``encode`` gave.
 
-    Tokens of the alphabet are scored in the task; the others leave it as ``(row, token, times)``
-    and are joined with the counts. ``row`` tells rows apart.
+    Tokens of the alphabet are scored in the task; the others are joined with the counts. ``row``
+    tells rows apart.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(model))  # bounded by ALPHABET * STATES
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(model))  # bounded by ALPHABET * STATES
     scale = model.total + SMOOTHING * (model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
-        alphabet = {w.encode(): k for k, w in enumerate(model.words)}
         base = np.append(np.log10((model.counts + SMOOTHING) / scale), 0.0)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                symbols, at, rare = _symbols(part, alphabet)
-                known = np.concatenate([[0], np.cumsum(symbols < len(alphabet))])
-                sums = np.concatenate([[0.0], np.cumsum(base[symbols])])
-                tokens = [[] for _ in rare]
-                for k, words in enumerate(rare):
-                    times: dict[bytes, int] = {}
-                    for word in words:
-                        times[word] = times.get(word, 0) + 1
-                    tokens[k] = [{"token": w.decode("utf-8", "replace"), "times": n} for w, n in times.items()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("row"),
-                        pa.array(np.diff(at)),
-                        pa.array(known[at[1:]] - known[at[:-1]]),
-                        pa.array(np.add.reduceat(base[symbols], at[:-1]) if len(symbols) else sums[1:]),
-                        pa.array(forward(symbols, at, model) / np.log(10)),
-                        pa.array(tokens, pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))),
-                    ],
-                    names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-
-    kind = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<token:string,times:long>>"
-    first = keep(docs.select("doc_id", "row", "text").mapInArrow(run, kind), "scored")
+        for rows, symbols, at in _blocks(batches):
+            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"),
+                    rows.column("row"),
+                    pa.array(np.diff(at)),
+                    pa.array(np.bincount(text, symbols < len(model.words), len(at) - 1).astype(np.int64)),
+                    pa.array(np.bincount(text, base[symbols], len(at) - 1)),
+                    pa.array(forward(symbols, at, model) / np.log(10)),
+                ],
+                names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    first = encoded.select("doc_id", "row", "symbols").mapInArrow(
+        run, "doc_id long, row long, n_tokens long, n_known long, base_score double, score double"
+    )
     c = F.coalesce("c", F.lit(0))
     rare = (
-        first.select("row", F.explode("rare").alias("r"))
+        encoded.select("row", F.explode("rare").alias("r"))
         .select("row", "r.token", "r.times")
         .join(counts, "token", "left")
         .groupBy("row")
@@ -331,11 +433,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 def score_corpus(docs: DataFrame, alphabet: int = ALPHABET, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """Trains on the rows whose ``crc32(doc_id) mod 10`` is not 0 and scores all of them."""
     held_out = remainder(F.col("doc_id"), 10) == 0
-    training = docs.where(~held_out).select("text")
-    counts = keep(token_counts(training), "counts")
-    model = train(training, counts, alphabet, states, passes)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return score(rows, model, counts).select(
+    counts = keep(token_counts(docs.where(~held_out).select("text")), "counts")
+    model = first_model(counts, alphabet, states)
+    encoded = encode(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), model)
+    model = train(encoded.where(~held_out).select("symbols"), model, passes)
+    return score(encoded, model, counts).select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",

@@ -177,6 +177,53 @@ def test_language_model_scores(spark):
     assert hidden_markov.score_corpus(spark.createDataFrame([], KIND)).collect() == []
 
 
+@pytest.mark.parametrize("sizes", [(300, 1), (1000,), (1, 40, 1000, 7, 300, 128, 129)])
+def test_expected_counts_are_those_of_whole_texts(sizes):
+    """Against forward and backward sums in plain Python, by lanes far shorter than the texts and by none."""
+    dice = np.random.default_rng(5)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    states, alphabet = 3, 6
+    emit, step = norm(dice.random((alphabet, states)) ** 4 + 1e-6, 0), norm(dice.random((states, states)) ** 3, 1)
+    words = [f"w{k}" for k in range(alphabet - 1)]
+    model = hidden_markov.Model(words, np.ones(alphabet - 1, int), 5, 5, norm(dice.random(states), 0), step, emit)
+    texts = [dice.integers(0, alphabet, n).tolist() for n in sizes]
+    starts, steps, counts, scores = np.zeros(states), np.zeros((states, states)), np.zeros((alphabet, states)), []
+    for text in texts:
+        ahead, score = [], 0.0
+        for t, symbol in enumerate(text):
+            row = [(model.start[k] if not t else sum(ahead[-1][j] * step[j, k] for j in range(states))) * emit[symbol, k] for k in range(states)]
+            score += math.log(sum(row))
+            ahead.append([x / sum(row) for x in row])
+        scores.append(score)
+        behind = [1.0] * states
+        for t in range(len(text) - 1, -1, -1):
+            both = [ahead[t][k] * behind[k] for k in range(states)]
+            for k in range(states):
+                counts[text[t], k] += both[k] / sum(both)
+                starts[k] += both[k] / sum(both) if t == 0 else 0.0
+            if t:
+                pairs = np.array([[ahead[t - 1][j] * step[j, k] * emit[text[t], k] * behind[k] for k in range(states)] for j in range(states)])
+                steps += pairs / pairs.sum()
+                behind = [sum(step[j, k] * emit[text[t], k] * behind[k] for k in range(states)) for j in range(states)]
+                behind = [x / sum(behind) for x in behind]
+    flat, at = np.array(sum(texts, []), np.int32), np.cumsum([0, *sizes])
+    for long, lane in ((10**9, 512), (128, 64), (16, 7), (1, 1)):
+        assert hidden_markov.forward(flat, at, model, long, lane) == pytest.approx(scores)
+        for kind, near in ((np.float64, 1e-6), (np.float32, 1e-3)):
+            found = hidden_markov.expected(flat, at, model, long, lane, kind)
+            assert found[0] == pytest.approx(starts, rel=near, abs=near) and found[1] == pytest.approx(steps, rel=near, abs=near)
+            assert found[2] == pytest.approx(counts, rel=near, abs=near) and found[3] == pytest.approx(sum(scores), rel=near)
+    assert found[0].sum() == pytest.approx(len(sizes), rel=1e-5) and found[1].sum() == pytest.approx(sum(sizes) - len(sizes), rel=1e-5)
+
+
+def test_training_does_not_depend_on_the_layout(spark, monkeypatch):
+    docs = documents(spark, [*ODD, *prose(3, 80, (0, 5, 700))])
+    whole = {r.doc_id: r.score for r in hidden_markov.score_corpus(docs, alphabet=60, states=3, passes=4).collect()}
+    monkeypatch.setattr(hidden_markov, "BLOCK_TOKENS", 900)
+    small = {r.doc_id: r.score for r in hidden_markov.score_corpus(docs.repartition(7), alphabet=60, states=3, passes=4).collect()}
+    assert small == pytest.approx(whole, rel=1e-4)
+
+
 def test_every_pass_covers_every_training_text(spark, monkeypatch):
     seen, improved = [], hidden_markov._improved
 

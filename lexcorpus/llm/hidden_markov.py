@@ -25,6 +25,7 @@ every token is unknown.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ from .common import chunks, keep
 ALPHABET = 1 << 15
 STATES = 8
 PASSES = 10
-LONG, LANE = 4096, 512  # layout only, the result is the same
+LONG, LANE = 2048, 256  # layout only, the result is the same
 BLOCK_TOKENS = 1 << 19
 END = "\n"  # no word contains white space
 SMOOTHING = 0.1
@@ -308,17 +309,21 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     ``rare`` counts the tokens behind the last symbol as ``(token, times)``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.words)  # bounded by ALPHABET
-    kind = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = {w.encode(): k for k, w in enumerate(shared.value)}
         for batch in batches:
             for part in chunks(batch, "text"):
                 symbols, at, rare = _symbols(part, alphabet)
-                tokens = [[{"token": w.decode("utf-8", "replace"), "times": n} for w, n in times.items()] for times in rare]
+                tokens = pa.array([w for times in rare for w in times], pa.binary()).cast(pa.string())
+                times = pa.array([n for times in rare for n in times.values()], pa.int64())
+                edges = np.cumsum([0, *map(len, rare)])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(symbols))
+                rest = pa.ListArray.from_arrays(
+                    pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([tokens, times], names=["token", "times"])
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), lists, pa.array(tokens, kind)], names=["doc_id", "row", "symbols", "rare"]
+                    [part.column("doc_id"), part.column("row"), lists, rest], names=["doc_id", "row", "symbols", "rare"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "row", "text").mapInArrow(
@@ -415,18 +420,18 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(
             F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.col("times") * F.log10((c + SMOOTHING) / F.lit(scale))).alias("base"),
-            F.sum(F.col("times") * F.log10((c + SMOOTHING) / F.lit(model.rest))).alias("inside"),
+            F.sum("times").alias("times"),
+            F.sum(F.col("times") * F.log10(c + SMOOTHING)).alias("log"),
         )
     )
-    none = F.lit(0.0)
+    share = lambda mass: F.coalesce(F.col("log") - F.col("times") * math.log10(mass), F.lit(0.0))
     return first.join(rare, "row", "left").select(
         "doc_id",
         "row",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("base", none)).alias("base_score"),
-        (F.col("score") + F.coalesce("inside", none)).alias("score"),
+        (F.col("base_score") + share(scale)).alias("base_score"),
+        (F.col("score") + share(model.rest)).alias("score"),
     )
 
 

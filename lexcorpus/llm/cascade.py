@@ -4,7 +4,8 @@ Every rule names the measures it needs and gives, from those, whether a document
 bounded sample (``SAMPLE_ROWS`` rows, picked by hash) each rule's time per document and the share
 of documents it rejects are measured; rules then run in descending order of rejection per cost, and
 a document that one rule rejects is never seen by the next. The order changes the time, never the
-verdict, so reruns agree although times vary.
+verdict, so reruns agree although times vary. Lines and windows that seem equal by hash are compared
+byte by byte.
 
 ``base_statistics`` are returned for every document and are computed in one vectorised pass; the
 rules use them where they can and compute what else they need only for the documents still alive.
@@ -16,6 +17,7 @@ row is judged for itself. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -110,9 +112,20 @@ class Texts:
     def _n_dup_lines(self) -> np.ndarray:
         starts, ends, owner = self._lines()
         at = np.searchsorted(owner, np.arange(self.rows + 1))
-        same = _repeats(self._hashes().ranges(starts, ends), at)
+        hashed = self._hashes().ranges(starts, ends)
+        same = _repeats(hashed, at)
+        for i in np.unique(owner[same]).tolist():  # texts that seem to repeat a line
+            part = np.arange(at[i], at[i + 1])
+            part = part[np.isin(hashed[part], hashed[part][same[part]])]
+            seen: set[bytes] = set()
+            for k, line in zip(part.tolist(), self._bytes(starts[part], ends[part])):
+                same[k] = line in seen
+                seen.add(line)
         return np.bincount(owner[same], minlength=self.rows).astype(np.int64)
 
+    def _bytes(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+
     def _n_repeat_words(self) -> np.ndarray:
         starts, ends, at = self._words()
         word = self._hashes().ranges(starts, ends)
@@ -133,7 +146,11 @@ class Texts:
         cover = np.zeros(len(word) + 1, np.int64)
         for i in np.unique(owner_of[twice]).tolist():  # texts that repeat a window at all
             part = slice(window_at[i], window_at[i + 1])
-            found = np.isin(key[part], ordered[part][twice[part]])
+            found = np.flatnonzero(np.isin(key[part], ordered[part][twice[part]]))
+            first = window[part][found]
+            windows = [tuple(self._bytes(starts[w : w + WINDOW], ends[w : w + WINDOW])) for w in first.tolist()]
+            times = Counter(windows)
+            found = found[np.fromiter((times[w] > 1 for w in windows), bool, len(windows))]
             np.add.at(cover, window[part][found], 1)
             np.add.at(cover, window[part][found] + WINDOW, -1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])

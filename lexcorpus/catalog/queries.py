@@ -999,7 +999,7 @@ def text_report(spark, sf_dir):
 def stream_extract(spark, sf_dir):
     """The documents as a stream of files, extracted into a table."""
     schema = table(spark, sf_dir, "documents").schema
-    source = jobs.read_stream(spark, sf_dir, schema, glob="documents.parquet")
+    source = jobs.read_stream(spark, f"{sf_dir}/documents.parquet", schema)
     out = scratch_path(spark, "stream-out")
     rows = source.select(F.col("doc_id").cast("string").alias("id"), rendered("text").alias("text"))
 
@@ -1013,7 +1013,7 @@ def stream_extract(spark, sf_dir):
 @query
 def stream_enrich(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
-    source = jobs.read_stream(spark, sf_dir, schema, glob="documents.parquet")
+    source = jobs.read_stream(spark, f"{sf_dir}/documents.parquet", schema)
     out = scratch_path(spark, "stream-results")
     rows = source.select(
         F.col("doc_id").cast("string").alias("id"), T.build_prompt(rendered("text")).alias("prompt")
@@ -1027,7 +1027,7 @@ def stream_enrich(spark, sf_dir):
 def stream_enrich_state(spark, sf_dir):
     """Every document arrives twice; each id is asked once."""
     schema = table(spark, sf_dir, "documents").schema
-    arriving = [jobs.read_stream(spark, sf_dir, schema, glob="documents.parquet") for _ in range(2)]
+    arriving = [jobs.read_stream(spark, f"{sf_dir}/documents.parquet", schema) for _ in range(2)]
     out = scratch_path(spark, "stream-results")
     rows = arriving[0].unionByName(arriving[1]).select(
         F.col("doc_id").cast("string").alias("id"), T.build_prompt(rendered("text")).alias("prompt")

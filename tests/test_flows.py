@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from lexcorpus.catalog import queries
 from lexcorpus.functions.headings import classify_rules, extract_section
 from lexcorpus.functions.similarity import similarity
 from lexcorpus.functions.vectors import argmax
@@ -361,3 +362,18 @@ def test_streams(spark, corpus, tmp_path):
     res = readers.read_results(spark, str(tmp_path / "res"))
     assert res.count() == 300 and res.select("id").distinct().count() == 300
     assert res.select("batch").distinct().count() >= 2
+
+
+@pytest.mark.parametrize("name", ["stream_extract", "stream_enrich", "stream_enrich_state"])
+@pytest.mark.parametrize("files", [0, 3])  # 0: one file without a folder
+def test_stream_queries_read_a_file_or_a_folder(spark, tmp_path, name, files):
+    text = "word " * 30 + ".\nTha" + " more" * 20
+    rows = spark.createDataFrame([(i, f"{text} {i}", "en", "src1", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = tmp_path / "documents.parquet"
+    if files:
+        rows.repartition(files).write.parquet(str(path))
+    else:
+        rows.toPandas().to_parquet(path)
+        (tmp_path / "labels.parquet").write_bytes(b"not read")
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(int(r.id) for r in out.collect()) == list(range(40))

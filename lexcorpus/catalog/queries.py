@@ -819,8 +819,9 @@ GRID = ({"regParam": 0.001}, {"regParam": 0.01}, {"regParam": 0.3, "elasticNetPa
 
 
 def _classified(spark, sf_dir):
-    labeled = labels.reindex_labels(_labeled(spark, sf_dir)).where(F.length("verdict_text") > 0)
-    return materialize(labeled.select("id", "verdict_text", "label"), "labeled")
+    """Written before the labels are numbered and empty texts left out: either would extract and mask all texts again."""
+    masked = materialize(_labeled(spark, sf_dir).select("id", "verdict_text", "label"), "masked")
+    return materialize(labels.reindex_labels(masked).where(F.length("verdict_text") > 0), "labeled")
 
 
 @query
@@ -860,9 +861,7 @@ def classifier_fit_check(spark, sf_dir):
 
 
 def _predicted(spark, sf_dir):
-    labeled = labels.reindex_labels(_labeled(spark, sf_dir)).where(F.length("verdict_text") > 0)
-    rows = materialize(labeled.select("id", "verdict_text", "label"), "labeled")
-    split = materialize(sampling.stratified_split(rows, "label"), "split")
+    split = materialize(sampling.stratified_split(_classified(spark, sf_dir), "label"), "split")
     train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
     scored, _ = features.train_text_classifier(train, test, "verdict_text", min_df=2)
     return scored

@@ -377,3 +377,19 @@ def test_stream_queries_read_a_file_or_a_folder(spark, tmp_path, name, files):
         (tmp_path / "labels.parquet").write_bytes(b"not read")
     out = queries.QUERIES[name](spark, str(tmp_path))
     assert sorted(int(r.id) for r in out.collect()) == list(range(40))
+
+
+def test_classifier_rows_are_masked_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def span(k):
+        seen.add(1)
+        return "" if k % 10 == 0 else f"span {k}"
+
+    masked = spark.range(60).select(
+        F.col("id").cast("string"), F.udf(span)("id").alias("verdict_text"), (F.col("id") % 3 * 5).cast("int").alias("label")
+    )
+    monkeypatch.setattr(queries, "_labeled", lambda *_: masked)
+    rows = queries._classified(spark, "")
+    assert sorted((int(r.id), r.label) for r in rows.collect()) == [(k, k % 3) for k in range(60) if k % 10]
+    assert seen.value == 60

@@ -13,8 +13,8 @@ exchange, and re-estimated. The start is random; each of the ``PASSES`` runs ove
 text, from its first token to its last. Scoring runs the scaled forward recursion over whole texts,
 which gives their exact likelihood.
 
-All texts of a block advance together, a lane each. Texts of more than ``LONG`` tokens are laid out
-as several lanes of ``LANE`` tokens. That cuts nothing: the product of its steps tells what each lane
+All texts of a block advance together, a lane each. Texts of more than ``LONG`` tokens, unless ``WIDTH``
+texts of the block are as long, are laid out as several lanes of ``LANE`` tokens. That cuts nothing: the product of its steps tells what each lane
 does to any state it is entered with, so the states at all lane edges follow exactly, forwards and
 backwards, and the step over an edge is counted like any other.
 
@@ -41,8 +41,8 @@ from .common import chunks, keep
 ALPHABET = 1 << 15
 STATES = 8
 PASSES = 10
-LONG, LANE = 2048, 256  # layout only, the result is the same
-BLOCK_TOKENS = 1 << 19
+LONG, LANE, WIDTH = 2048, 256, 128  # layout only, the result is the same
+BLOCK_TOKENS = 1 << 20
 END = "\n"  # no word contains white space
 SMOOTHING = 0.1
 
@@ -139,9 +139,11 @@ class Lanes:
         return result
 
 
-def _lane_edges(at: np.ndarray, long: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where lanes begin (and the last one ends), and the text of each lane."""
+def _lane_edges(at: np.ndarray, long: int | None, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where lanes begin (and the last one ends), and the text of each lane. Without ``long`` the block decides."""
     size = np.diff(at)
+    if long is None:  # a step of many texts costs less than the products of their lanes
+        long = max(LONG, int(np.partition(size, len(size) - WIDTH)[len(size) - WIDTH])) if len(size) >= WIDTH else LONG
     parts = np.where(size > long, -(-size // lane), 1)
     text = np.repeat(np.arange(len(size)), parts)
     inner = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -213,7 +215,7 @@ def _advance(lanes: Lanes, emit: np.ndarray, enter: np.ndarray, step: np.ndarray
     return scales
 
 
-def forward(symbols: np.ndarray, at: np.ndarray, model: Model, long: int = LONG, lane: int = LANE) -> np.ndarray:
+def forward(symbols: np.ndarray, at: np.ndarray, model: Model, long: int | None = None, lane: int = LANE) -> np.ndarray:
     """Natural log likelihood of every text."""
     edges, text = _lane_edges(at, long, lane)
     lanes = Lanes(symbols, edges)
@@ -224,7 +226,7 @@ def forward(symbols: np.ndarray, at: np.ndarray, model: Model, long: int = LONG,
 
 
 def expected(
-    symbols: np.ndarray, at: np.ndarray, model: Model, long: int = LONG, lane: int = LANE, kind: type = np.float64
+    symbols: np.ndarray, at: np.ndarray, model: Model, long: int | None = None, lane: int = LANE, kind: type = np.float64
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, steps and emissions of the texts, and their log likelihood. ``kind``: precision of a step."""
     edges, text = _lane_edges(at, long, lane)
@@ -249,22 +251,34 @@ def expected(
             np.matmul(onwards, next_, out=behind[:, :count])
     begins = np.concatenate([[True], text[1:] != text[:-1]])[lanes.order] if len(text) else np.zeros(0, bool)
     start = rows[:, : len(begins)][:, begins].sum(axis=1, dtype=np.float64)
-    emit = np.stack([np.bincount(lanes.symbols, rows[k], len(model.emit)) for k in range(states)], axis=1)
+    places = lanes.symbols.astype(np.intp)
+    emit = np.stack([np.bincount(places, rows[k], len(model.emit)) for k in range(states)], axis=1)
     return start, step * model.step, emit, float(np.log(scales, dtype=np.float64).sum())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _kind(words: list[str]) -> np.dtype:
+    """How symbols are written: the last one is ``len(words)``."""
+    return np.dtype("<u2" if len(words) < 1 << 16 else "<i4")
+
+
+def _unpacked(column: pa.BinaryArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all rows of a column of bytes, and where each row's begin."""
+    offsets, data = column.buffers()[1:]
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = int(at[-1] - at[0]) // kind.itemsize
+    return np.frombuffer(data, kind, size, int(at[0])) if size else np.zeros(0, kind), (at - at[0]) // kind.itemsize
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of encoded texts with about ``BLOCK_TOKENS`` tokens at once, or one longer text; their symbols and edges."""
     held, tokens = [], 0
 
     def block() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        lists = rows.column("symbols")
-        at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-        return rows, lists.flatten().to_numpy(), at
+        return rows, *_unpacked(rows.column("packed"), kind)
 
     for batch in batches:
-        edges = np.concatenate([[0], np.cumsum(batch.column("symbols").value_lengths().to_numpy(zero_copy_only=False))])
+        edges = _unpacked(batch.column("packed"), kind)[1]
         low = 0
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(edges, edges[low] + BLOCK_TOKENS - tokens, "right")) - 1)
@@ -284,7 +298,7 @@ def _expectations(encoded: DataFrame, shared, states: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
         start, step, emit, score = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
-        for _, symbols, at in _blocks(batches):
+        for _, symbols, at in _blocks(batches, _kind(model.words)):
             part = expected(symbols, at, model, kind=np.float32)
             start, step, emit, score = start + part[0], step + part[1], emit + part[2], score + part[3]
         seen = np.flatnonzero(emit.any(axis=1))
@@ -297,17 +311,19 @@ def _expectations(encoded: DataFrame, shared, states: int) -> DataFrame:
 
     columns = [f"s{k}" for k in range(states)]
     return (
-        encoded.mapInArrow(run, "symbol long, " + ", ".join(f"{c} double" for c in columns))
+        encoded.select("packed").mapInArrow(run, "symbol long, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("symbol")
         .agg(*[F.sum(c).alias(c) for c in columns])
     )
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, row, symbols, rare`` of every row of ``docs(doc_id, row, text)``, texts of like length together.
+    """``doc_id, row, packed, rare, symbols`` of every row of ``docs(doc_id, row, text)``, texts of like length together.
 
-    ``rare`` counts the tokens behind the last symbol as ``(token, times)``.
+    Symbols are written as bytes in ``packed``, see ``_kind``: a list of numbers costs the reader of every pass several
+    times as much. ``symbols`` shows them as numbers; they are only computed where that column is read. ``rare`` counts the tokens behind the last symbol as ``(token, times)``.
     """
+    kind = _kind(model.words)
     shared = docs.sparkSession.sparkContext.broadcast(model.words)  # bounded by ALPHABET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,18 +334,22 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 tokens = pa.array([w for times in rare for w in times], pa.binary()).cast(pa.string())
                 times = pa.array([n for times in rare for n in times.values()], pa.int64())
                 edges = np.cumsum([0, *map(len, rare)])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(symbols))
+                buffers = [None, pa.py_buffer((at * kind.itemsize).astype(np.int32)), pa.py_buffer(symbols.astype(kind))]
+                lists = pa.Array.from_buffers(pa.binary(), len(at) - 1, buffers)
                 rest = pa.ListArray.from_arrays(
                     pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([tokens, times], names=["token", "times"])
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), lists, rest], names=["doc_id", "row", "symbols", "rare"]
+                    [part.column("doc_id"), part.column("row"), lists, rest], names=["doc_id", "row", "packed", "rare"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "row", "text").mapInArrow(
-        run, "doc_id long, row long, symbols array<int>, rare array<struct<token:string,times:long>>"
+        run, "doc_id long, row long, packed binary, rare array<struct<token:string,times:long>>"
     )
-    return keep(rows.sortWithinPartitions(F.size("symbols")), "encoded")
+    width = kind.itemsize
+    number = ", ".join(f"substring(packed, {width} * k - {j}, 1)" for j in range(width))
+    symbols = f"transform(sequence(1, octet_length(packed) div {width}), k -> cast(conv(hex(concat({number})), 16, 10) as int))"
+    return keep(rows.sortWithinPartitions(F.octet_length("packed")), "encoded").withColumn("symbols", F.expr(symbols))
 
 
 def _improved(encoded: DataFrame, model: Model) -> Model:
@@ -395,7 +415,7 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
         base = np.append(np.log10((model.counts + SMOOTHING) / scale), 0.0)
-        for rows, symbols, at in _blocks(batches):
+        for rows, symbols, at in _blocks(batches, _kind(model.words)):
             text = np.repeat(np.arange(len(at) - 1), np.diff(at))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -409,7 +429,7 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    first = encoded.select("doc_id", "row", "symbols").mapInArrow(
+    first = encoded.select("doc_id", "row", "packed").mapInArrow(
         run, "doc_id long, row long, n_tokens long, n_known long, base_score double, score double"
     )
     c = F.coalesce("c", F.lit(0))
@@ -441,7 +461,7 @@ def score_corpus(docs: DataFrame, alphabet: int = ALPHABET, states: int = STATES
     counts = keep(token_counts(docs.where(~held_out).select("text")), "counts")
     model = first_model(counts, alphabet, states)
     encoded = encode(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), model)
-    model = train(encoded.where(~held_out).select("symbols"), model, passes)
+    model = train(encoded.where(~held_out).select("packed", "symbols"), model, passes)
     return score(encoded, model, counts).select(
         "doc_id",
         held_out.alias("held_out"),

@@ -237,6 +237,22 @@ def test_every_pass_covers_every_training_text(spark, monkeypatch):
     assert len(seen) == hidden_markov.PASSES and all(tokens == total > 50 for tokens, total in seen)
 
 
+@pytest.mark.parametrize("words", [["a", "b", "\n"], [*(f"w{k}" for k in range(70_000)), "a", "b", "\n"]])
+def test_symbols_are_written_as_bytes(spark, words):
+    model = hidden_markov.Model(words, np.ones(len(words), int), len(words), len(words), *[np.zeros(0)] * 3)
+    docs = spark.createDataFrame([(1, 10, "a B zz b"), (2, 20, None), (3, 30, "b")], "doc_id long, row long, text string")
+    encoded = hidden_markov.encode(docs, model)
+    first = len(words) - 3
+    want = {10: [first, first + 1, first + 3, first + 1, first + 2], 20: [first + 2], 30: [first + 1, first + 2]}
+    assert {r.row: r.symbols for r in encoded.select("row", "symbols").collect()} == want
+    assert dict(encoded.dtypes)["packed"] == "binary" and encoded.where("get(rare, 0).token = 'zz'").count() == 1
+    batches = encoded.select("row", "packed").toArrow().to_batches()
+    for batch in (batches, [b.slice(1) for b in batches]):
+        for rows, symbols, at in hidden_markov._blocks(iter(batch), hidden_markov._kind(words)):
+            got = [symbols[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+            assert got == [want[r] for r in rows.column("row").to_pylist()]
+
+
 # -- toxicity ---------------------------------------------------------------
 
 

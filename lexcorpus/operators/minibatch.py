@@ -91,12 +91,13 @@ def _step(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["c", "i", "n"])
 
     sums = points.mapInArrow(run, "c long, i long, n long").groupBy("c", "i").agg(F.sum("n").alias("n"))
-    table = sums.toPandas()  # at most centers x (vocabulary + 1) + 1 rows
+    table = sums.toArrow()  # at most centers x (vocabulary + 1) + 1 rows
+    c, i, n = (table.column(name).to_numpy() for name in ("c", "i", "n"))
     total, count = np.zeros((k, size)), np.zeros(k)
-    words, rows = table[table["i"] >= 0], table[table["i"] == -1]
-    total[words["c"], words["i"]] = words["n"] / UNIT
-    count[rows["c"]] = rows["n"]
-    return total, count, float(table[table["i"] == -2]["n"].sum()) / UNIT
+    words, rows = i >= 0, i == -1
+    total[c[words], i[words]] = n[words] / UNIT
+    count[c[rows]] = n[rows]
+    return total, count, float(n[i == -2].sum()) / UNIT
 
 
 def _uniform(seed: int, turn: str) -> float:

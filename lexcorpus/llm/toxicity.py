@@ -35,7 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import chunks, discard, keep
 from .hidden_markov import remainder
@@ -46,8 +46,11 @@ SHARED = 0.08  # terms that so many rows have keep their postings in blocks
 BLOCK = 32  # rows
 OPENED = 32  # rows, the most promising first, between two looks at the k-th cosine
 WIDE = 1 / 16  # queries that have to open more of the rows are multiplied with all blocks together
-SHARD_NUMBERS = 4_000_000  # postings in a shard
-KEPT_NUMBERS = 16_000_000  # postings in the unpacked shards that a worker keeps
+SHARD_NUMBERS = 12_000_000  # postings in a shard
+KEPT_NUMBERS = 12_000_000  # postings in the unpacked shards that a worker keeps
+PIECE = 1 << 18  # postings unpacked at once
+STEP = 1 << 15  # postings added up at once
+PROBES = 16  # queries
 QUERIES = 128  # in one step
 PREFIXES = (4, 5)
 POSTING = np.dtype([("row", np.int32), ("weight", np.float32)])
@@ -73,7 +76,7 @@ def _picked(labels: DataFrame, limit: int) -> DataFrame:
 
 def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     """``doc_id, text, toxic`` of the labelled rows that may be learned from."""
-    return docs.select(F.col("doc_id").cast("long"), "text").join(_picked(labels, limit), "doc_id")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(_picked(labels, limit)), "doc_id")  # ids and labels of ``limit`` rows
 
 
 def _vocabulary(rows: DataFrame) -> list[str]:
@@ -90,21 +93,32 @@ def _vocabulary(rows: DataFrame) -> list[str]:
     return sorted(terms.column("term").to_pylist())
 
 
-class _Memo(dict):
-    """Number of the longest term of the vocabulary that a word has, or -1; the shorter ones follow from it."""
+class _Numbers(dict):
+    """The vocabulary's numbers; a word it lacks has that of its longest term there, or -1. The shorter terms follow from it."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self._vocabulary = vocabulary
+    def __init__(self, vocabulary: list[str]):
+        super().__init__(zip(vocabulary, range(len(vocabulary))))
+        self._others: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        known = (self._vocabulary.get(t, -1) for t in (word, *reversed(terms_of(word)[1:])))
-        self[word] = found = next((k for k in known if k >= 0), -1)
+        found = self._others.get(word)
+        if found is None:
+            if len(self._others) > 100_000:
+                self._others.clear()
+            found = next((self[t] for t in reversed(terms_of(word)[1:]) if t in self), -1)
+            self._others[word] = found
         return found
 
 
+def _shared_numbers(names) -> _Numbers:
+    """The broadcast vocabulary, unpacked once per worker."""
+    value = names.value
+    if "numbers" not in value:
+        words = zlib.decompress(value.pop("words")).decode()
+        value["numbers"] = _Numbers(words.split("\n") if words else [])
+    return value["numbers"]
+
+
 def _shorter(vocabulary: list[str]) -> np.ndarray:
     """For each term the numbers of the shorter terms that come with it, -1 where there is none."""
     numbers = {t: k for k, t in enumerate(vocabulary)}
@@ -129,9 +143,9 @@ def _grouped(owner: np.ndarray, terms: np.ndarray, times: np.ndarray, rows: int,
     return np.searchsorted(owner, np.arange(rows + 1)), (key - owner * max(distinct, 1)).astype(np.int32), sums.astype(np.int32)
 
 
-def _keys(texts: list[str | None], memo: _Memo, distinct: int):
+def _keys(texts: list[str | None], numbers: _Numbers, distinct: int):
     """Longest known terms of every text, see ``_grouped``."""
-    found = [list(map(memo.__getitem__, _words(t))) for t in texts]
+    found = [list(map(numbers.__getitem__, _words(t))) for t in texts]
     owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
     flat = np.fromiter(chain.from_iterable(found), np.int64, len(owner))
     owner, flat = owner[flat >= 0], flat[flat >= 0]
@@ -185,46 +199,70 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Shard:
     """Rows ``low``, ``low + 1``, ... by term: postings, and blocks with largest weights for ``shared`` terms."""
 
-    def __init__(self, low: int, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, place: np.ndarray, shared: int):
-        self.low, self.rows = low, len(at) - 1
-        owner = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(at))
+    def __init__(self, low: int, rows: int, counts: np.ndarray, shared: int):
+        """``counts``: how many postings each term will have; rows are then given in order to ``add``, and ``close`` ends that."""
+        self.low, self.rows = low, rows
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+        self.postings = np.empty(int(self.at[-1]), POSTING)
+        self.dense = np.zeros((-(-rows // BLOCK) * BLOCK, shared), np.float32)  # whole blocks
+        self.opened = 0  # rows whose shared terms were read
+        self._next = self.at[:-1].copy()
+
+    def add(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, place: np.ndarray) -> None:
         heads = place[terms]
         inside = heads >= 0
-        self.dense = np.zeros((self.rows, shared), np.float32)
         self.dense[owner[inside], heads[inside]] = weights[inside]
-        self.length = np.sqrt(np.einsum("ij,ij->i", self.dense, self.dense, dtype=np.float64))
-        starts = np.arange(0, self.rows, BLOCK)
-        self.largest = np.maximum.reduceat(self.dense, starts, axis=0)
-        self.block = np.arange(self.rows) // BLOCK
         rest = np.flatnonzero(~inside)
         rest = rest[np.argsort(terms[rest], kind="stable")]
-        del heads, inside
-        postings = np.empty(len(rest), POSTING)
-        postings["row"], postings["weight"] = owner[rest], weights[rest]
-        self.postings = postings.view(np.int64)  # copied faster than pairs
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms[rest], minlength=len(place)))])
-        self.opened = 0  # rows whose shared terms were read
-
-    def search(self, numbers, weights, head, bounds, wanted: int, floor: float, error: float):
-        """Rows opened and their cosines; or the sums without shared terms and None if too many rows have to be opened."""
+        sorted_terms = terms[rest]
+        first = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
+        size = np.diff(np.append(first, len(rest)))
+        own = sorted_terms[first]
+        to = _ranges(self._next[own], size)
+        self.postings["row"][to], self.postings["weight"][to] = owner[rest], weights[rest]
+        self._next[own] += size
+
+    def close(self) -> Shard:
+        del self._next
+        self.postings = self.postings.view(np.int64)  # copied faster than pairs
+        blocks = self.dense.reshape(-1, BLOCK, self.dense.shape[1])
+        self.largest = blocks.max(axis=1)
+        self.length = np.sqrt(np.einsum("ijk,ijk->ij", blocks, blocks, dtype=np.float64))
+        return self
+
+    def rest(self, numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of all terms but the shared ones, by row."""
         start, end = self.at[numbers], self.at[numbers + 1]
-        some = end > start
-        pairs = list(zip(start[some].tolist(), end[some].tolist()))
-        if pairs:
-            read = np.concatenate([self.postings[a:b] for a, b in pairs]).view(POSTING)
-            values = read["weight"] * np.repeat(weights[some].astype(np.float32), (end - start)[some])
-            score = np.bincount(read["row"], values, self.rows)
-        else:
-            score = np.zeros(self.rows)
-        bound = score + np.minimum(self.length * math.sqrt(float(head @ head)), bounds[self.block])
-        size = min(OPENED, self.rows)
-        top = np.argpartition(bound, self.rows - size)[self.rows - size :]
+        some = np.flatnonzero(end > start)
+        if not len(some):
+            return np.zeros(len(self.dense))
+        start, size, factors = start[some], (end - start)[some], weights[some].astype(np.float32)
+        pairs, edges = list(zip(start.tolist(), end[some].tolist())), np.cumsum(size)
+        result, low = np.zeros(len(self.dense)), 0
+        while low < len(pairs):  # a step's arrays stay in the cache
+            high = max(low + 1, int(np.searchsorted(edges, edges[low] - size[low] + STEP, "right")))
+            read = np.concatenate([self.postings[a:b] for a, b in pairs[low:high]]).view(POSTING)
+            values = np.repeat(factors[low:high], size[low:high])
+            values *= read["weight"]
+            result += np.bincount(read["row"], values, len(result))
+            low = high
+        return result
+
+    def search(self, score: np.ndarray, head, bounds, wanted: int, floor: float, error: float):
+        """Rows opened and their cosines, and what the last of the nearest rows reaches; no rows (None) if too many have to be opened.
+
+        ``score``: sums without shared terms.
+        """
+        blocks = np.minimum(self.length * math.sqrt(float(head @ head)), bounds[:, None])
+        bound = score + blocks.ravel()
+        size = min(OPENED, len(bound))
+        top = np.argpartition(bound, len(bound) - size)[len(bound) - size :]
         found, cosines = top, score[top] + self.dense[top] @ head
         floor = max(floor, _least(cosines, wanted) - 2 * error)
         bound[top] = 0.0
         more = np.flatnonzero((bound > 0) & (bound + error >= floor))
         if len(more) > WIDE * self.rows:
-            return score, None, floor
+            return None, None, floor
         more = more[np.argsort(-bound[more])]
         for k in range(0, len(more), OPENED):
             part = more[k : k + OPENED]
@@ -233,31 +271,44 @@ class Shard:
             found, cosines = np.concatenate([found, part]), np.concatenate([cosines, score[part] + self.dense[part] @ head])
             floor = max(floor, _least(cosines, wanted) - 2 * error)
         self.opened += len(found)
-        return (found, *self._near(cosines, wanted, floor, error))
+        return (*self._near(found, cosines, floor), floor)
 
-    @staticmethod
-    def _near(cosines: np.ndarray, wanted: int, floor: float, error: float):
-        floor = max(floor, _least(cosines, wanted) - 2 * error)
-        return np.where((cosines > 0) & (cosines >= floor), cosines, 0.0), floor
+    def _near(self, rows: np.ndarray, cosines: np.ndarray, floor: float):
+        near = (cosines > 0) & (cosines >= floor)
+        return rows[near] + self.low, cosines[near]
 
     def search_all(self, vectors, heads: np.ndarray, floors: list[float], error: float):
         """For each query: rows, their cosines up to ``error``, and a bound that the last of its nearest rows reach.
 
-        Every row that can be among the ``wanted`` nearest of a query above its floor is given out.
+        Every row that can be among the ``wanted`` nearest of a query above its floor is given out. Where the first
+        ``PROBES`` queries all have to open too many rows, the others are not tried.
         """
-        bounds, result, wide = heads @ self.largest.T, [], []
+        bounds, result, wide, narrow = heads @ self.largest.T, [], [], False
+        sums = np.zeros((len(vectors), len(self.dense)), np.float32)
         for i, (numbers, weights, wanted) in enumerate(vectors):
+            result.append((np.zeros(0, np.int64), np.zeros(0), floors[i]))
             if len(numbers):
-                result.append(self.search(numbers, weights, heads[i], bounds[i], wanted, floors[i], error))
-                if result[i][1] is None:
-                    wide.append(i)
-            else:
-                result.append((np.zeros(0, np.int64), np.zeros(0), 0.0))
-        for i, product in zip(wide, heads[wide] @ self.dense.T if wide else ()):
-            self.opened += self.rows
-            cosines = result[i][0] + product
-            result[i] = (np.arange(self.rows), *self._near(cosines, vectors[i][2], result[i][2], error))
-        return [(rows[cosines > 0] + self.low, cosines[cosines > 0], floor) for rows, cosines, floor in result]
+                score = self.rest(numbers, weights)
+                if narrow or len(wide) < PROBES:
+                    result[i] = self.search(score, heads[i], bounds[i], wanted, floors[i], error)
+                    if result[i][0] is not None:
+                        narrow = True
+                        continue
+                sums[len(wide)] = score
+                wide.append(i)
+        if wide:
+            sums = sums[: len(wide)]
+            sums += heads[wide] @ self.dense.T
+            for i, cosines in zip(wide, sums):
+                self.opened += self.rows
+                floor = max(result[i][2], _least(cosines, vectors[i][2]) - 2 * error)
+                result[i] = (*self._near(*self._above(cosines, floor), floor), floor)
+        return result
+
+    @staticmethod
+    def _above(cosines: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(cosines >= np.float32(floor) - np.float32(1e-6))
+        return rows, cosines[rows].astype(np.float64)
 
 
 def _least(values: np.ndarray, wanted: int) -> float:
@@ -292,8 +343,8 @@ class Index:
         self.given, self.terms, self.times = at, terms, times  # in the order given
         self.begin, self.end = at[one], at[one + 1]
         count = np.zeros(len(idf), np.int64)
-        for a, b in zip(self.begin.tolist(), self.end.tolist()):
-            count[terms[a:b]] += 1
+        for low, high in self._pieces(0, self.rows):
+            count += np.bincount(terms[self._places(low, high)], minlength=len(idf))
         shared = np.flatnonzero(count > SHARED * self.rows)
         self.shared = len(shared)
         self.place = np.full(len(idf), -1, np.int32)
@@ -301,18 +352,39 @@ class Index:
         # single precision: every factor and every partial sum is rounded, and a cosine is 1 at most
         self.error = (self.shared + 8) * 2.0**-23
         self.norms = np.ones(self.rows)
+        self._logs = 1.0 + np.log(np.arange(1, int(times.max(initial=0)) + 1)) if int(times.max(initial=0)) < 1 << 16 else None
+        self._asked, self._weights = np.zeros(len(idf), bool), np.zeros(len(idf))  # of the query that is compared
         self._kept: dict[int, Shard] = {}
 
+    def _pieces(self, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """The rows in pieces of about ``PIECE`` postings."""
+        while low < high:
+            end = min(high, max(low + 1, int(np.searchsorted(self.at, self.at[low] + PIECE, "right")) - 1))
+            yield low, end
+            low = end
+
+    def _places(self, low: int, high: int) -> np.ndarray:
+        """Where the terms of the rows lie."""
+        return _ranges(self.begin[low:high], self.end[low:high] - self.begin[low:high])
+
+    def _factors(self, places: np.ndarray) -> np.ndarray:
+        times = self.times[places]
+        logs = 1.0 + np.log(times, dtype=np.float64) if self._logs is None else self._logs[times.astype(np.intp) - 1]
+        return logs * self.idf[self.terms[places]]
+
     def _shard(self, low: int, high: int) -> Shard:
-        own = list(zip(self.begin[low:high].tolist(), self.end[low:high].tolist()))
-        at = self.at[low : high + 1] - self.at[low]
-        terms = np.concatenate([self.terms[a:b] for a, b in own])
-        weights = np.empty(len(terms), np.float32)
-        for k, (a, b) in enumerate(own):
-            exact = (1.0 + np.log(self.times[a:b], dtype=np.float64)) * self.idf[self.terms[a:b]]
-            self.norms[low + k] = math.sqrt(float(exact @ exact))
-            weights[at[k] : at[k + 1]] = exact / self.norms[low + k]
-        return Shard(low, at, terms, weights, self.place, self.shared)
+        counts = np.zeros(len(self.idf), np.int64)
+        for a, b in self._pieces(low, high):
+            counts += np.bincount(self.terms[self._places(a, b)], minlength=len(counts))
+        counts[self.place >= 0] = 0
+        shard = Shard(low, high - low, counts, self.shared)
+        for a, b in self._pieces(low, high):
+            places, size = self._places(a, b), np.diff(self.at[a : b + 1])
+            exact = self._factors(places)
+            self.norms[a:b] = np.sqrt(np.add.reduceat(exact * exact, self.at[a:b] - self.at[a]))
+            exact /= np.repeat(self.norms[a:b], size)
+            shard.add(np.repeat(np.arange(a - low, b - low, dtype=np.int32), size), self.terms[places], exact.astype(np.float32), self.place)
+        return shard.close()
 
     def shards(self) -> Iterator[Shard]:
         low = 0
@@ -326,23 +398,20 @@ class Index:
             yield shard
             low = high
 
-    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, rows: list[int]) -> list[float]:
+    def _cosines(self, numbers: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> list[float]:
         """In double precision, to nine places."""
-        result = []
-        for row in rows:
-            own = slice(self.begin[row], self.end[row])
-            terms, times = self.terms[own], self.times[own]
-            if len(terms) < len(numbers):  # the shorter of two sorted lists is looked up in the longer
-                place = np.minimum(np.searchsorted(numbers, terms), len(numbers) - 1)
-                mine = np.flatnonzero(numbers[place] == terms)
-                theirs = place[mine]
-            else:
-                place = np.minimum(np.searchsorted(terms, numbers), len(terms) - 1)
-                theirs = np.flatnonzero(terms[place] == numbers)
-                mine = place[theirs]
-            product = weights[theirs] @ ((1.0 + np.log(times[mine], dtype=np.float64)) * self.idf[terms[mine]])
-            result.append(round(float(product) / float(self.norms[row]), 9))
-        return result
+        if not len(rows):
+            return []
+        begin, end = self.begin[rows], self.end[rows]
+        edges = np.cumsum(end - begin)
+        self._asked[numbers], self._weights[numbers] = True, weights
+        terms = np.concatenate([self.terms[a:b] for a, b in zip(begin.tolist(), end.tolist())])
+        both = np.flatnonzero(self._asked[terms])
+        owner = np.searchsorted(edges, both, "right")
+        products = self._weights[terms[both]] * self._factors(both + (end - edges)[owner])
+        self._asked[numbers] = False
+        sums = np.bincount(owner, products, len(rows))
+        return [round(x, 9) for x in (sums / self.norms[rows]).tolist()]
 
     def nearest_all(self, queries, k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each query the k nearest examples as (cosine, place), nearest first; ties go to the smaller id.
@@ -370,7 +439,7 @@ class Index:
             if found[i][0]:
                 rows, cosines = np.concatenate(found[i][0]), np.concatenate(found[i][1])
                 rows = rows[cosines >= _least(cosines, wanted) - 2 * self.error]
-                for row, cosine in zip(rows.tolist(), self._cosines(numbers, weights, rows.tolist())):
+                for row, cosine in zip(rows.tolist(), self._cosines(numbers, weights, rows)):
                     for r in range(self.first[row], min(self.first[row] + wanted, self.first[row + 1])):
                         if cosine > 0 and (leave is None or self.ids[r] != leave[i]):
                             near.append((-cosine, int(self.ids[r]), r))
@@ -426,13 +495,16 @@ def _vectors(docs: DataFrame, names, columns: list[str]) -> DataFrame:
     """``row`` (the given columns), ``id``, ``key`` and a text's longest known terms with their counts."""
     row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None).cast("struct<doc_id:long>")
     own = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    within = "text" in columns  # then it need not travel twice
+    own = own.drop("text") if within else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {t: k for k, t in enumerate(names.value)}
-        memo = _Memo(numbers)
+        numbers = _shared_numbers(names)
         for batch in batches:
+            if within:
+                batch = batch.append_column("text", batch.column("row").field("text"))
             for part in chunks(batch, "text"):
-                at, keys, times = _keys(part.column("text").to_pylist(), memo, len(numbers))
+                at, keys, times = _keys(part.column("text").to_pylist(), numbers, len(numbers))
                 at = pa.array(at, pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (keys, times)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "id", "key")] + lists, names=["row", "id", "key", "keys", "times"])
@@ -441,17 +513,24 @@ def _vectors(docs: DataFrame, names, columns: list[str]) -> DataFrame:
 
 
 def _known(docs: DataFrame, labels: DataFrame, limit: int):
-    """The examples' vocabulary, for the workers."""
-    return docs.sparkSession.sparkContext.broadcast(_vocabulary(examples(docs, labels, limit)))  # bounded by the examples
+    """The examples' vocabulary, and the same for the workers."""
+    vocabulary = _vocabulary(examples(docs, labels, limit))
+    return vocabulary, _broadcast_names(docs.sparkSession, vocabulary)
 
 
-def _fitted(vectors: DataFrame, labels: DataFrame, vocabulary: list[str], limit: int) -> dict:
+def _broadcast_names(spark: SparkSession, vocabulary: list[str]):
+    """Bounded by the examples; compressed, since broadcasts lie on every executor's disk."""
+    return spark.sparkContext.broadcast({"words": zlib.compress("\n".join(vocabulary).encode(), 1)})
+
+
+def _fitted(vectors: DataFrame, labels: DataFrame, vocabulary: list[str], limit: int):
+    """The model, and what the workers need of it."""
     spark = vectors.sparkSession
     shorter = _shorter(vocabulary)
     shared = spark.sparkContext.broadcast(shorter)
     frequency, total = _frequencies(vectors, shared)
     idf = np.log(1.0 + total / np.maximum(frequency, 1))
-    picked = vectors.select("id", "key", "keys", "times").join(_picked(labels, limit).withColumnRenamed("doc_id", "id"), "id")
+    picked = vectors.select("id", "key", "keys", "times").join(F.broadcast(_picked(labels, limit).withColumnRenamed("doc_id", "id")), "id")
     found = picked.toArrow().sort_by([("id", "ascending"), ("key", "ascending")]).combine_chunks()  # at most about ``limit`` rows
     ids, toxic = found.column("id").to_numpy(), (found.column("toxic").to_numpy() > 0).astype(int)
     flat = [found.column(c).combine_chunks() for c in ("keys", "times")]
@@ -460,8 +539,8 @@ def _fitted(vectors: DataFrame, labels: DataFrame, vocabulary: list[str], limit:
     model = {"vocabulary": vocabulary, "shorter": shorter, "idf": idf, "ids": ids, "toxic": toxic, "curve": (1.0, 0.0)}
     model["counts"] = tuple(_packed(x) for x in vectors_of)
     del found, flat, vectors_of
+    share = spark.sparkContext.broadcast(_for_tasks(model))  # bounded by the texts of EXAMPLES examples
     if len(ids):
-        share = spark.sparkContext.broadcast(_for_tasks(model))
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _shared_index(share)
@@ -480,23 +559,23 @@ def _fitted(vectors: DataFrame, labels: DataFrame, vocabulary: list[str], limit:
         for place, vote in spark.range(len(ids)).mapInArrow(alone, "id long, vote double").collect():
             votes[place] = vote
         model["curve"] = _calibrated(votes, np.array(toxic, float))
-        share.unpersist()
     shared.unpersist()
-    return model
+    return model, share
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> dict:
     """What scoring needs: vocabulary, IDF, example vectors and the calibration; bounded by the texts of ``limit`` examples."""
-    names = _known(docs, labels, limit)
+    vocabulary, names = _known(docs, labels, limit)
     vectors = keep(_vectors(docs, names, []), "vectors")
-    model = _fitted(vectors, labels, names.value, limit)
+    model, share = _fitted(vectors, labels, vocabulary, limit)
+    share.unpersist()
     names.unpersist()
     discard(vectors)
     return model
 
 
 def _for_tasks(model: dict) -> dict:
-    return {k: v for k, v in model.items() if k != "vocabulary"}
+    return {k: v for k, v in model.items() if k not in ("vocabulary", "curve")}
 
 
 def _index(model: dict) -> Index:
@@ -522,27 +601,28 @@ def _shared_index(share) -> Index:
     model = share.value
     if "index" not in model:
         model["index"] = _index(model)
+        del model["counts"]  # of this worker
     return model["index"]
 
 
-def _scored(vectors: DataFrame, model: dict) -> DataFrame:
+def _scored(vectors: DataFrame, share, curve: tuple[float, float]) -> DataFrame:
     """The columns in ``row``, ``toxicity`` and ``evidence``."""
-    share = vectors.sparkSession.sparkContext.broadcast(_for_tasks(model))  # bounded by the texts of EXAMPLES examples
-    near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    names = ("doc_id", "cosine", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, (slope, offset) = _shared_index(share), share.value["curve"]
+        index, (slope, offset) = _shared_index(share), curve
         for whole in batches:
             for low in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(low, QUERIES)
-                scores, evidence = [], []
-                for near in index.nearest_all(_batch_terms(batch, share.value["shorter"])):
-                    vote = index.vote(near)
-                    scores.append(1 / (1 + math.exp(-(slope * float(_logit(vote)) + offset))) if len(share.value["ids"]) else 0.0)
-                    evidence.append([{"doc_id": int(index.ids[r]), "cosine": c, "toxic": int(index.toxic[r])} for c, r in near])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], names=["row", "toxicity", "evidence"]
-                )
+                found = index.nearest_all(_batch_terms(batch, share.value["shorter"]))
+                logits = [slope * float(_logit(index.vote(near))) + offset for near in found]
+                scores = [1 / (1 + math.exp(-x)) if len(share.value["ids"]) else 0.0 for x in logits]
+                rows = np.array([r for near in found for _, r in near], np.int64)
+                cosines = pa.array([c for near in found for c, _ in near], pa.float64())
+                values = [pa.array(index.ids[rows]), cosines, pa.array(index.toxic[rows].astype(np.int32))]
+                edges = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                evidence = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(values, names=names))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), evidence], names=["row", "toxicity", "evidence"])
 
     kind = vectors.schema["row"].dataType
     out = vectors.select("row", "keys", "times").mapInArrow(
@@ -557,17 +637,18 @@ def _plain(docs: DataFrame) -> list[str]:
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of ``docs``, ``toxicity`` (0 to 1) and ``evidence`` (the nearest examples and their cosines)."""
-    names = docs.sparkSession.sparkContext.broadcast(model["vocabulary"])
-    return _scored(_vectors(docs, names, _plain(docs)), model)
+    names = _broadcast_names(docs.sparkSession, model["vocabulary"])
+    share = docs.sparkSession.sparkContext.broadcast(_for_tasks(model))  # bounded by the texts of EXAMPLES examples
+    return _scored(_vectors(docs, names, _plain(docs)), share, model["curve"])
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, limit: int = EXAMPLES) -> DataFrame:
     """``scored(docs, fit(docs, labels))`` with the given columns of ``docs``, reading and tokenising each text once."""
-    names = _known(docs, labels, limit)
+    vocabulary, names = _known(docs, labels, limit)
     vectors = keep(_vectors(docs, names, _plain(docs) if columns is None else columns), "vectors")
-    model = _fitted(vectors, labels, names.value, limit)
+    model, share = _fitted(vectors, labels, vocabulary, limit)
     names.unpersist()
-    return _scored(vectors, model)
+    return _scored(vectors, share, model["curve"])
 
 
 def held_out() -> Column:

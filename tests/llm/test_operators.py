@@ -306,6 +306,50 @@ def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch, numbers):
         assert index.shared and 0 < shard.opened < 0.5 * shard.rows * (len(asked) + 5)
 
 
+@pytest.mark.parametrize("numbers", [1_000_000, 700])
+def test_queries_multiplied_untried_find_the_same(monkeypatch, numbers):
+    dice = np.random.default_rng(9)
+    for name, value in (("SHARD_NUMBERS", numbers), ("KEPT_NUMBERS", numbers), ("PIECE", 100), ("STEP", 50), ("PROBES", 2)):
+        monkeypatch.setattr(toxicity, name, value)  # rows and postings are handled in small pieces
+    # terms that nearly all rows share decide, so every query has to open most rows
+    counts = [Counter({k: int(dice.integers(1, 9)) for k in [*dice.choice(20, 12, replace=False).tolist(), 20 + i % 200]}) for i in range(300)]
+    idf = np.concatenate([np.full(20, 2.0), np.full(200, 0.1)])
+    index = toxicity._index({"idf": idf, "ids": list(range(300)), "toxic": [0] * 300, "counts": counts})
+    tried = []
+    search = toxicity.Shard.search
+    monkeypatch.setattr(toxicity.Shard, "search", lambda *a: tried.append(1) or search(*a))
+    grid = np.zeros((300, 220))
+    for i, c in enumerate(counts):
+        for k, n in c.items():
+            grid[i, k] = (1 + math.log(n)) * idf[k]
+    grid /= np.linalg.norm(grid, axis=1)[:, None]
+    for i, got in enumerate(index.nearest_all(toxicity._flat(counts[:100]))):
+        want = sorted((-s, k) for k, s in enumerate(np.round(grid @ grid[i], 9).tolist()))[: toxicity.NEIGHBOURS]
+        assert [int(index.ids[r]) for _, r in got] == [k for _, k in want]
+        assert [s for s, _ in got] == pytest.approx([-s for s, _ in want], abs=2e-9)
+    if numbers == 1_000_000:
+        assert len(tried) == 2
+
+
+def test_texts_are_not_shuffled_for_their_labels(spark):
+    docs = documents(spark, ["one two", "three four", None])
+    labels = spark.createDataFrame([(7, 1), (14, 0)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = toxicity.examples(docs, labels)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and {r.doc_id for r in rows.collect()} <= {7, 14}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_vocabulary_finds_the_longest_term():
+    words = ["abcd*", "abcde*", "abcdefg", "xy"]
+    numbers = toxicity._Numbers(words)
+    found = [numbers[w] for w in ("abcdefg", "abcdefz", "abcdzzz", "abcd", "xy", "q", "abcdefz")]
+    assert found == [2, 1, 0, -1, 3, -1, 1] and len(numbers) == len(words)
+
+
 def test_one_pass_scores_as_two(spark):
     texts = [f"common{i % 3} word{i % 7} vile{'ness' * (i % 2)} x{i % 11}" for i in range(120)]
     docs = documents(spark, [*texts, None, ""]).withColumn("keys", F.lit("own")).withColumn("row", F.lit(1))

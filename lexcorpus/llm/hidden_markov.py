@@ -41,8 +41,9 @@ from .common import chunks, keep
 ALPHABET = 1 << 15
 STATES = 8
 PASSES = 10
-LONG, LANE, WIDTH = 2048, 256, 128  # layout only, the result is the same
+LONG, LANE, WIDTH = 2048, 256, 64  # layout only, the result is the same
 BLOCK_TOKENS = 1 << 20
+STEP = 1 << 16  # tokens counted at once
 END = "\n"  # no word contains white space
 SMOOTHING = 0.1
 
@@ -123,10 +124,11 @@ class Lanes:
         rank[self.order] = np.arange(len(size))
         alive = np.searchsorted(-size[self.order], -np.arange(int(size.max(initial=0))), "left")
         self.edge = np.concatenate([[0], np.cumsum(alive)])
-        lane = np.repeat(np.arange(len(size)), size)
-        self._rank = rank[lane]
-        place = self.edge[np.arange(len(symbols)) - at[lane]] + self._rank
-        self._place, self.symbols = place, np.empty_like(symbols)
+        kind = np.int32 if len(symbols) < 1 << 31 else np.int64
+        self._rank = np.repeat(rank.astype(kind), size)
+        time = np.arange(len(symbols), dtype=kind) - np.repeat(at[:-1].astype(kind), size)
+        place = self.edge.astype(kind)[time] + self._rank
+        self._place, self.symbols = place, np.empty(len(symbols), np.intp)  # looked up as they are
         self.symbols[place] = symbols
 
     def slices(self) -> list[tuple[int, int]]:
@@ -251,9 +253,12 @@ def expected(
             np.matmul(onwards, next_, out=behind[:, :count])
     begins = np.concatenate([[True], text[1:] != text[:-1]])[lanes.order] if len(text) else np.zeros(0, bool)
     start = rows[:, : len(begins)][:, begins].sum(axis=1, dtype=np.float64)
-    places = lanes.symbols.astype(np.intp)
-    emit = np.stack([np.bincount(places, rows[k], len(model.emit)) for k in range(states)], axis=1)
-    return start, step * model.step, emit, float(np.log(scales, dtype=np.float64).sum())
+    emit = np.zeros((states, len(model.emit)))
+    for low in range(0, len(symbols), STEP):  # a step's arrays stay in the cache
+        places = lanes.symbols[low : low + STEP]
+        for k in range(states):
+            emit[k] += np.bincount(places, rows[k, low : low + STEP], len(model.emit))
+    return start, step * model.step, emit.T, float(np.log(scales, dtype=np.float64).sum())
 
 
 def _kind(words: list[str]) -> np.dtype:

@@ -157,6 +157,20 @@ def test_forward_equals_the_sum_over_paths():
     assert counts.sum(axis=1) == pytest.approx(np.bincount(flat, minlength=4)) and score == pytest.approx(hidden_markov.forward(flat, at, model).sum())
 
 
+def test_counts_added_in_steps_are_the_same(monkeypatch):
+    dice = np.random.default_rng(5)
+    emit = dice.random((40, 3))
+    model = hidden_markov.Model([f"w{k}" for k in range(39)], np.ones(39, int), 39, 39, np.full(3, 1 / 3), np.full((3, 3), 1 / 3), emit / emit.sum(axis=0))
+    size = dice.integers(1, 90, 50)
+    at = np.concatenate([[0], np.cumsum(size)])
+    symbols = dice.integers(0, 40, at[-1]).astype(np.uint16)
+    whole = hidden_markov.expected(symbols, at, model)
+    monkeypatch.setattr(hidden_markov, "STEP", 64)
+    for a, b in zip(whole, hidden_markov.expected(symbols, at, model)):
+        assert a == pytest.approx(b, rel=1e-12)
+    assert whole[2].sum(axis=1) == pytest.approx(np.bincount(symbols, minlength=40))
+
+
 def test_language_model_scores(spark):
     dice = random.Random(2)
     tongues = [[f"{p}{i}" for i in range(40)] for p in ("x", "y")]
